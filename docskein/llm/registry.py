@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "secrets", "pii")
+MODULES = ("ogg", "secrets", "warc", "pii", "line_dedup")
 
 
 def _modules():

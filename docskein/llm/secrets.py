@@ -124,8 +124,8 @@ WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({span_sql([
     ("assign", _ASSIGN_RE2, _VALUE),
     ("access", r"AKIA[A-Z0-9]+", "length(x.m) >= 18"),
-    ("hex", r"[0-9a-f]+", "length(x.m) >= 16"),
-    ("bare", r"[A-Za-z0-9/+=]+", "length(x.m) = 40 AND regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]')"),
+    ("hex", r"[0-9a-f]{16,}", "true"),
+    ("bare", r"[A-Za-z0-9/+=]{40,}", "length(x.m) = 40 AND regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]')"),
     ("endpoint", r"(?:https?://|arn:aws:)[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", "true"),
 ])}),
 base AS (SELECT * FROM spans WHERE ord < 3),
