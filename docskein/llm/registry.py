@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ogg", "secrets", "warc", "pii", "line_dedup")
+MODULES = ("ogg", "packing", "secrets", "langid", "warc", "pii", "line_dedup")
 
 
 def _modules():
