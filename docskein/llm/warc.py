@@ -3,7 +3,7 @@
 Writing: one scan counts the digests of payloads (partial aggregation, so a
 payload that a third of all pages share costs one row per task), a join gives
 every page its keeper, and Spark's text sink writes the records: with the line
-separator CR LF CR LF each file is a WARC/1.1 file.
+separator CR LF CR LF each file is a compressed WARC/1.1 file.
 
 Reading: archives come as binary files, one row each.  After a failed check
 the reader searches for the next version line or gzip member that holds a valid
@@ -32,6 +32,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAX_HEADER = 1 << 16
 MAX_MEMBER = 1 << 30
+STEP = 1 << 16
 
 
 def base32(hex_digest: Column) -> Column:
@@ -82,8 +83,10 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
 
 def write_warc(records: DataFrame, path: str, *, records_per_file: int = 8192) -> None:
-    """Write ``record`` rows as WARC files of at most ``records_per_file``."""
-    records.select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    """Write ``record`` rows as gzip-compressed WARC files of at most
+    ``records_per_file`` records; one member holds a file's records."""
+    out = records.select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+    out.option("compression", "gzip").text(path)
 
 
 # --- reading ----------------------------------------------------------------
@@ -132,21 +135,21 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return fields | {"payload": payload, "payload_bytes": size}, end + 4, ""
 
 
-def parse_at(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """As ``parse_record``, for a plain record or a gzip member that holds one."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
-        return parse_record(data, at)
-    member = zlib.decompressobj(31)
-    try:
-        plain = member.decompress(data[at:], MAX_MEMBER)
-    except zlib.error as e:
-        return None, at, f"gzip: {e}"
-    if not member.eof:
-        return None, at, "gzip member without end"
-    record, end, why = parse_record(plain, 0)
-    if record is None or end != len(plain):
-        return None, at, why or "more than a record in a member"
-    return record, len(data) - len(member.unused_data), ""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(plain bytes, end, "") of the gzip member at ``at``; after an error what
+    came before it, about where it is, and the reason."""
+    member, out, pos = zlib.decompressobj(31), [], at
+    held = 0
+    while not member.eof:
+        if pos >= len(data) or held > MAX_MEMBER:
+            return b"".join(out), min(pos, len(data)), "gzip member without end"
+        try:
+            out.append(member.decompress(data[pos : pos + STEP]))
+        except zlib.error as e:
+            return b"".join(out), pos + 1, f"gzip: {e}"
+        held += len(out[-1])
+        pos += STEP
+    return b"".join(out), min(pos, len(data)) - len(member.unused_data), ""
 
 
 def next_start(data: bytes, at: int) -> int:
@@ -157,28 +160,41 @@ def next_start(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict | None]]:
-    """(offset, length, reason, record): valid records in order, and between
-    them quarantined gaps (record None) with the first reason."""
+Found = tuple[int, int, int, str, dict | None]
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """(offset, length, inner offset, reason, record): valid records in order,
+    and between them quarantined gaps (record None) with the first reason.  A
+    gzip member may hold one record or many; inner offsets are places in it."""
     at, gap, why = 0, None, ""
     while at < len(data):
-        record, end, reason = parse_at(data, at)
-        if record is not None:
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            plain, end, reason = inflate(data, at)
+            inner = list(salvage(plain)) if VERSION.search(plain) else []
+            good = any(r for *_, r in inner)
+        else:
+            record, end, reason = parse_record(data, at)
+            inner, good = [(0, end - at, 0, "", record)], record is not None
+        if good:
             if gap is not None:
-                yield gap, at - gap, why, None
+                yield gap, at - gap, 0, why, None
                 gap = None
-            yield at, end - at, "", record
+            for offset, _, _, r_why, r in inner:
+                yield at, end - at, offset, r_why, r
+        if good and not reason:
             at = end
             continue
         if gap is None:
-            gap, why = at, reason
+            # A broken member is a gap even where its first records came out.
+            gap, why = at, reason or "no record in a member"
         at = next_start(data, at + 1)
-    if gap is not None:
-        yield gap, len(data) - gap, why, None
+    if gap is not None and gap < len(data):
+        yield gap, len(data) - gap, 0, why, None
 
 
 SCHEMA = (
-    "path string, offset bigint, length bigint, status string, reason string, record_type string, record_id string, "
+    "path string, offset bigint, length bigint, inner_offset bigint, status string, reason string, record_type string, record_id string, "
     "target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 )
 
@@ -192,15 +208,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, rows, held = batch.column(0)[i].as_py(), [], 0
-                for offset, length, reason, r in salvage(batch.column(1)[i].as_py()):
+                for offset, length, inner, reason, r in salvage(batch.column(1)[i].as_py()):
                     payload = r["payload"] if r else None
                     r = r or {}
                     rows.append((
-                        name, offset, length, "gap" if reason else "record", reason or None, r.get("warc-type"), _bare(r.get("warc-record-id")),
+                        name, offset, length, inner, "gap" if reason else "record", reason or None, r.get("warc-type"), _bare(r.get("warc-record-id")),
                         r.get("warc-target-uri"), _bare(r.get("warc-refers-to")), (r.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
                         r.get("payload_bytes"), payload,
                     ))
-                    held += length
+                    held += len(payload or b"")
                     if held > 4_000_000:
                         yield _batch(rows)
                         rows, held = [], 0
