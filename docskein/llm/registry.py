@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ogg", "packing", "pieces", "secrets", "langid", "warc", "pii", "line_dedup")
+MODULES = ("ogg", "topk", "packing", "pieces", "jaccard", "secrets", "langid", "warc", "pii", "line_dedup")
 
 
 def _modules():
