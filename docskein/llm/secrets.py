@@ -100,6 +100,25 @@ def _link(found: DataFrame, row_id: str, reach: int) -> DataFrame:
     return parts.where(good).groupBy(row_id).agg(F.collect_list("s").alias("linked"))
 
 
+def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
+    """``docs`` with every stretch of text that found spans cover replaced by
+    ``mark``; spans that overlap or touch are one stretch.  Texts without spans
+    (and null texts) stay as they are."""
+    found = find_secrets(docs, text_col=text_col, **options)
+    text, spans = F.col(text_col), F.col("secrets")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] > acc["last"]
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        end = F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), end.alias("last"))
+
+    done = F.aggregate(spans, start, step)
+    clean = F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return found.select(*[(clean if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c.lower() != "secrets" or c == text_col])
+
+
 # --- query ------------------------------------------------------------------
 
 NAME = "op6_secrets"
