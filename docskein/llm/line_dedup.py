@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import need, row_key, whole_text
+from docskein.llm.common import materialize, need, row_key, whole_text
 
+BROADCAST_LINES = 250_000  # rows of 24 bytes: at most some 15 MB in a task
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,6 +65,9 @@ def dedup_lines(
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    shared = materialize(shared, "shared-lines")
+    if shared.count() <= BROADCAST_LINES:
+        shared = F.broadcast(shared)
     dropped = (
         lines.join(shared, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
