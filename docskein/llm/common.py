@@ -28,10 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docskein/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start
-    from files that outlive any executor, and the work above runs once."""
+    from files that outlive any executor, and the work above runs once.
+
+    ``rows``, where a bound on the number of (narrow) rows is known, keeps small
+    tables in few files; their number grows with the bound.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

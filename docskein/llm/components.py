@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from docskein.llm.common import materialize
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v longs): label is the
     smallest node of its component.
 
     Each round takes the least label among neighbours and then the label of
     that label, so chains shrink by at least half; rounds end when no label
-    changes.  Every round is written to the shared folder, which cuts lineage.
+    changes.  Every round is written to the shared folder, which cuts lineage,
+    in as many files as the number of edges asks for.  ``rows`` is a bound on
+    that number, where one is known.
     """
-    both = materialize(
-        edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges"
-    )
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.where("u <> v").select(F.explode(ways).alias("e")).select("e.u", "e.v").distinct()
+    both = materialize(both, f"{name}-edges", rows=None if rows is None else 2 * rows)
+    n = both.count()
     # First labels: the least neighbour or itself.
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("changed")), name)
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("changed")), name, rows=n)
     while not labels.where("changed").isEmpty():
         near = (
             both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
@@ -29,6 +32,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = materialize(
-            low.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("changed")), name
+            low.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("changed")), name, rows=n
         )
     return labels.select("node", "label")

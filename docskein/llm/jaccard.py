@@ -260,16 +260,17 @@ def similar_documents(
 
     # Distinct sets of the families.
     rows = base.select("no", "id", "k1", "k2", "d1", "d2", "n")
+    n = rows.count()
     sets = materialize(
         rows.join(family.withColumnRenamed("node", "no"), "no").groupBy("d1", "d2")
         .agg(F.min("no").alias("node"), F.min("label").alias("family"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.min("id").alias("id"))
-        .select("d1", "d2", "node", "family", "copies", "k.k1", "k.k2", "n", "id"), "sets",
+        .select("d1", "d2", "node", "family", "copies", "k.k1", "k.k2", "n", "id"), "sets", rows=n,
     )
     sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("f"), F.sum(F.col("n").cast("long") * 8).alias("bytes")).where("f > 1")
     block_sets = F.least(F.greatest(F.col("f") / 64, F.lit(64)), F.lit(1024))
     sizes = sizes.select("family", F.greatest(F.ceil(F.col("f") / block_sets), F.ceil(F.col("bytes") / (16 << 20))).cast("int").alias("blocks"))
     wanted = materialize(
-        sets.join(sizes, "family").select("family", "node", "copies", "k1", "k2", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "wanted"
+        sets.join(sizes, "family").select("family", "node", "copies", "k1", "k2", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "wanted", rows=n,
     )
     fraction = Fraction(str(threshold))
     compared = (
@@ -280,7 +281,7 @@ def similar_documents(
     )
     compared = materialize(compared, "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "class")
+    parts = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "class", rows=compared.count())
     told = (
         sets.join(links, "node", "left").join(parts, "node", "left")
         .select("d1", "d2", "id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -327,7 +328,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     told = similar_documents(docs, id_col=id_col, text_col=text_col, **options)
     gone = told.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.xxhash64(F.lit(3), F.col(id_col), "k1", "k2").alias("g1"), F.xxhash64("k2", "k1", F.col(id_col)).alias("g2")).distinct()
-    gone = materialize(gone, "gone")
+    gone = materialize(gone, "gone", rows=docs.count())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     k1, k2 = row_key(F.col(text_col))
