@@ -22,7 +22,9 @@ the words between, and its last word.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 from docskein.llm.common import materialize, need, row_key, slices, whole_text
 
 MARK = "▁"
-CACHE_WORDS = 300_000
-LOCKSTEP = 40  # words up to this length are solved together
+CACHE_WORDS = 500_000
+TOGETHER = 48  # as many new words of one length are solved side by side
+SIDE_BY_SIDE = 32  # if they are at most this long
+BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
 NONE = float("-inf")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -67,7 +70,10 @@ class Vocabulary:
         self.hidden = {i for i, p in enumerate(proto.pieces) if p.type == kind.CONTROL}
         self.longest = max(map(len, self.score))
         self.breaks = not any(MARK in p.lstrip(MARK) for p in self.score)
-        self._hash_table()
+        self.texts = np.array([t if i not in self.hidden else "" for i, t in enumerate(self.text)], dtype=object)
+        self.is_byte = np.array([i in self.byte_of for i in range(len(self.text))])
+        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self._hash_pieces()
         self.known: dict[str, tuple[float, bytes]] = {}
 
     # --- text and ids
@@ -89,8 +95,11 @@ class Vocabulary:
     def decode(self, ids: bytes) -> str:
         """The normal form back as text: bytes joined, marks to spaces, and
         without the mark that encoding put in front."""
+        at = np.frombuffer(ids, "<u4")
+        if not self.is_byte[at].any():
+            return "".join(self.texts[at].tolist()).removeprefix(MARK).replace(MARK, " ")
         out, raw = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
+        for i in at.tolist():
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -105,73 +114,116 @@ class Vocabulary:
 
     # --- words
 
-    def _hash_table(self) -> None:
-        powers = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for _ in range(max(LOCKSTEP, self.longest)):
-                powers.append(powers[-1] * BASE)
-            self.powers = np.array(powers, dtype=np.uint64)
-            keys = list(self.score)
-            hashes = np.zeros(len(keys), dtype=np.uint64)
-            for i, k in enumerate(keys):
-                h = np.uint64(0)
-                for c in k:
-                    h = h * BASE + np.uint64(ord(c) + 1)
-                hashes[i] = h
-        if len(np.unique(hashes)) != len(hashes):
-            raise ValueError("pieces collide under this hash base")
+    def _word(self, word: str) -> tuple[float, bytes]:
+        """(score, packed ids) of the best segmentation of one word."""
+        get, longest, n = self.score.get, self.longest, len(word)
+        best, start, piece = [0.0] + [NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        for j in range(1, n + 1):
+            top, at, own = NONE, 0, -1
+            for i in range(max(0, j - longest), j):
+                got = get(word[i:j])
+                if got is not None:
+                    total = best[i] + got[0]
+                    if total > top:
+                        top, at, own = total, i, got[1]
+                elif i == j - 1:
+                    total = best[i] + self.unknown
+                    if total > top:
+                        top, at, own = total, i, -1
+            best[j], start[j], piece[j] = top, at, own
+        ids: list[list[int]] = []
+        j = n
+        while j:
+            i = start[j]
+            ids.append([piece[j]] if piece[j] >= 0 else self.ids_of(word[i:j]))
+            j = i
+        return best[n], self.pack([x for part in reversed(ids) for x in part])
+
+    def _hash_pieces(self) -> None:
+        powers = [1]
+        for _ in range(max(SIDE_BY_SIDE, self.longest)):
+            powers.append(powers[-1] * int(BASE) % 2**64)
+        self.powers = np.array(powers, dtype=np.uint64)
+        pieces = list(self.score)
+        hashes = np.zeros(len(pieces), dtype=np.uint64)
+        for i, p in enumerate(pieces):
+            hashes[i] = sum((ord(c) + 1) * powers[len(p) - 1 - k] for k, c in enumerate(p)) % 2**64
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.hash_score = np.array([self.score[keys[i]][0] for i in order])
-        self.hash_id = np.array([self.score[keys[i]][1] for i in order], dtype=np.int64)
-
-    def _lockstep(self, words: list[str]) -> None:
-        """Solve words of one length at once, position by position."""
+        # The last entry is met by no piece; it keeps every place in range.
+        self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
+        self.hash_score = np.array([self.score[pieces[i]][0] for i in order] + [NONE])
+        self.hash_id = np.array([self.score[pieces[i]][1] for i in order] + [-1], dtype=np.int64)
+
+    def _side_by_side(self, words: list[str]) -> None:
+        """Many words of one length: the same recurrence as ``_word``, for all of
+        them at each pair of places.  Substrings are looked up by their hash;
+        the pieces on the best path are compared with the text, and a word that
+        a chance hit misled is solved alone."""
         m, n = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-        h = np.zeros((m, n + 1), dtype=np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+        h = np.zeros((n + 1, m), dtype=np.uint64)
         for j in range(n):
-            h[:, j + 1] = h[:, j] * BASE + codes[:, j]
-        best = np.full((m, n + 1), NONE)
-        best[:, 0] = 0
-        start, piece = np.zeros((m, n + 1), dtype=np.int64), np.full((m, n + 1), -1, dtype=np.int64)
+            h[j + 1] = h[j] * BASE + codes[j]
+        best = np.full((n + 1, m), NONE)
+        best[0] = 0.0
+        start, piece = np.zeros((n + 1, m), dtype=np.int64), np.full((n + 1, m), -1, dtype=np.int64)
+
+        def offer(i: int, j: int, rows: np.ndarray, scores: np.ndarray | float, ids: np.ndarray | int) -> None:
+            total = best[i, rows] + scores
+            good = total > best[j, rows]
+            rows = rows[good]
+            best[j, rows], start[j, rows] = total[good], i
+            piece[j, rows] = ids if isinstance(ids, int) else ids[good]
+
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
-                sub = h[:, j] - h[:, i] * self.powers[j - i]
+                sub = h[j] - h[i] * self.powers[j - i]
                 at = np.minimum(np.searchsorted(self.hashes, sub), len(self.hashes) - 1)
                 hit = self.hashes[at] == sub
-                score = np.where(hit, self.hash_score[at], self.unknown if i == j - 1 else NONE)
-                total = best[:, i] + score
-                better = total > best[:, j]
-                best[better, j], start[better, j] = total[better], i
-                piece[better, j] = np.where(hit, self.hash_id[at], -1)[better]
-        for r, word in enumerate(words):
-            ids: list[int] = []
-            j = n
+                rows = np.flatnonzero(hit)
+                if len(rows):
+                    offer(i, j, rows, self.hash_score[at[rows]], self.hash_id[at[rows]])
+                if i == j - 1 and len(rows) < m:
+                    offer(i, j, np.flatnonzero(~hit), self.unknown, -1)
+        text = self.text
+        for word, total, starts, pieces in zip(words, best[n].tolist(), start.T.tolist(), piece.T.tolist()):
+            ids, j, true = [], n, True
             while j:
-                i, p = int(start[r, j]), int(piece[r, j])
-                ids[:0] = [p] if p >= 0 else self.ids_of(word[i:j])
+                i, p = starts[j], pieces[j]
+                if p < 0:
+                    ids += reversed(self.ids_of(word[i:j]))
+                else:
+                    true = true and text[p] == word[i:j]
+                    ids.append(p)
                 j = i
-            self.known[word] = (float(best[r, n]), self.pack(ids))
+            ids.reverse()
+            self.known[word] = (total, array("I", ids).tobytes()) if true else self._word(word)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Solve the words that are not known yet."""
+        words = set(words)
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = words
+        by_length: dict[int, list[str]] = {}
+        for w in fresh:
+            by_length.setdefault(len(w), []).append(w)
+        for n, group in by_length.items():
+            if n <= SIDE_BY_SIDE and len(group) >= TOGETHER:
+                with np.errstate(over="ignore"):
+                    self._side_by_side(group)
+            else:
+                for w in group:
+                    self.known[w] = self._word(w)
 
     def solve(self, words: list[str]) -> list[tuple[float, bytes]]:
         """(score, packed ids) of each word between two meeting points."""
-        missing: dict[int, dict[str, None]] = {}
         known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = list(set(words))
-        for w in fresh:
-            missing.setdefault(len(w), {})[w] = None
-        for n, group in missing.items():
-            if n <= LOCKSTEP and len(group) > 3:
-                with np.errstate(over="ignore"):
-                    self._lockstep(list(group))
-                continue
-            for w in group:
-                part = self.forward(w, n, np.zeros(1))
-                known[w] = (float(part.best[n][0]), self.pack(self.trace(part, n)[1]))
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            self.learn(words)
         return [known[w] for w in words]
 
     # --- parts of chunks: all entries at once
@@ -263,14 +315,24 @@ class Vocabulary:
         reach = [x for x in exits if tail.best[size - last + x][0] > NONE]
         return shared, {x: (begin, self.pack(self.trace(tail, size - last + x)[1])) for x in reach}
 
+    def encode_all(self, texts: list[str]) -> list[tuple[float, bytes]]:
+        """``encode`` of each text, their new words solved together."""
+        if not self.breaks:
+            return [self.encode(t) for t in texts]
+        split = [self.words(self.normal(t)) for t in texts]
+        self.learn(chain.from_iterable(split))
+        known = self.known
+        found = ([known[w] for w in words] for words in split)
+        return [(float(sum([s for s, _ in got])), b"".join([ids for _, ids in got])) for got in found]
+
     def encode(self, text: str) -> tuple[float, bytes]:
         """(score, packed ids) of a text, in one piece."""
         text = self.normal(text)
         if not text:
             return 0.0, b""
         if self.breaks:
-            got = self.solve(re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text))
-            return float(sum(s for s, _ in got)), b"".join(w for _, w in got)
+            got = self.solve(self.words(text))
+            return float(sum([s for s, _ in got])), b"".join([w for _, w in got])
         part = self.forward(text, len(text), np.zeros(1))
         return float(part.best[len(text)][0]), self.pack(self.trace(part, len(text))[1])
 
@@ -319,7 +381,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for part in slices(batches):
-            made = [v.encode(t) for t in part.column(1).to_pylist()]
+            made = v.encode_all(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([m[1] for m in made], pa.binary()), pa.array([m[0] for m in made], pa.float64())], names=["id", "ids", "path_score"],
             )
