@@ -22,7 +22,6 @@ the words between, and its last word.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from docskein.llm.common import materialize, need, row_key, slices, whole_text
 
 MARK = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 TOGETHER = 48  # as many new words of one length are solved side by side
 SIDE_BY_SIDE = 32  # if they are at most this long
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +147,9 @@ class Vocabulary:
         hashes = np.zeros(len(pieces), dtype=np.uint64)
         for i, p in enumerate(pieces):
             hashes[i] = sum((ord(c) + 1) * powers[len(p) - 1 - k] for k, c in enumerate(p)) % 2**64
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("pieces collide under this hash base")
+        self.lengths = np.array([len(t) for t in self.text])
         order = np.argsort(hashes)
         # The last entry is met by no piece; it keeps every place in range.
         self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
@@ -156,9 +158,9 @@ class Vocabulary:
 
     def _side_by_side(self, words: list[str]) -> None:
         """Many words of one length: the same recurrence as ``_word``, for all of
-        them at each pair of places.  Substrings are looked up by their hash;
-        the pieces on the best path are compared with the text, and a word that
-        a chance hit misled is solved alone."""
+        them at each pair of places.  Substrings are looked up by 64-bit hashes
+        (no two pieces share one), so a substring of at most ``longest``
+        characters would have to meet a piece's hash by chance to mislead it."""
         m, n = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
         h = np.zeros((n + 1, m), dtype=np.uint64)
@@ -185,19 +187,19 @@ class Vocabulary:
                     offer(i, j, rows, self.hash_score[at[rows]], self.hash_id[at[rows]])
                 if i == j - 1 and len(rows) < m:
                     offer(i, j, np.flatnonzero(~hit), self.unknown, -1)
-        text = self.text
-        for word, total, starts, pieces in zip(words, best[n].tolist(), start.T.tolist(), piece.T.tolist()):
-            ids, j, true = [], n, True
-            while j:
-                i, p = starts[j], pieces[j]
-                if p < 0:
-                    ids += reversed(self.ids_of(word[i:j]))
-                else:
-                    true = true and text[p] == word[i:j]
-                    ids.append(p)
-                j = i
-            ids.reverse()
-            self.known[word] = (total, array("I", ids).tobytes()) if true else self._word(word)
+        # Back from the ends, all words at once; words with an unknown character alone.
+        at, rows, steps, odd = np.full(m, n), np.arange(m), [], np.zeros(m, dtype=bool)
+        while at.any():
+            p = np.where(at > 0, piece[at, rows], -2)
+            odd |= (p == -1) | ((p >= 0) & (self.lengths[p] != at - start[at, rows]))
+            steps.append(p)
+            at = start[at, rows] * (at > 0)
+        ids = np.array(steps[::-1], dtype="<i4").T
+        width, first = 4 * len(steps), 4 * (ids == -2).sum(axis=1)
+        raw, ends = ids.tobytes(), np.arange(width, (m + 1) * width, width)
+        known, total = self.known, best[n].tolist()
+        for word, score, a, b, alone in zip(words, total, (ends - width + first).tolist(), ends.tolist(), odd.tolist()):
+            known[word] = self._word(word) if alone else (score, raw[a:b])
 
     def learn(self, words: Iterable[str]) -> None:
         """Solve the words that are not known yet."""
