@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from docskein.llm.common import materialize, need, row_key, slices, whole_text
 
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 TOGETHER = 48  # as many new words of one length are solved side by side
 SIDE_BY_SIDE = 32  # if they are at most this long
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -187,19 +187,31 @@ class Vocabulary:
                     offer(i, j, rows, self.hash_score[at[rows]], self.hash_id[at[rows]])
                 if i == j - 1 and len(rows) < m:
                     offer(i, j, np.flatnonzero(~hit), self.unknown, -1)
-        # Back from the ends, all words at once; words with an unknown character alone.
-        at, rows, steps, odd = np.full(m, n), np.arange(m), [], np.zeros(m, dtype=bool)
+        # Back from the ends, all words at once; words with characters that no
+        # piece covers are put together one by one, from the same arrays.
+        at, rows, steps, odd, wrong = np.full(m, n), np.arange(m), [], np.zeros(m, dtype=bool), np.zeros(m, dtype=bool)
         while at.any():
             p = np.where(at > 0, piece[at, rows], -2)
-            odd |= (p == -1) | ((p >= 0) & (self.lengths[p] != at - start[at, rows]))
+            odd |= p == -1
+            wrong |= (p >= 0) & (self.lengths[p] != at - start[at, rows])
             steps.append(p)
             at = start[at, rows] * (at > 0)
         ids = np.array(steps[::-1], dtype="<i4").T
         width, first = 4 * len(steps), 4 * (ids == -2).sum(axis=1)
         raw, ends = ids.tobytes(), np.arange(width, (m + 1) * width, width)
         known, total = self.known, best[n].tolist()
-        for word, score, a, b, alone in zip(words, total, (ends - width + first).tolist(), ends.tolist(), odd.tolist()):
-            known[word] = self._word(word) if alone else (score, raw[a:b])
+        for word, score, a, b in zip(words, total, (ends - width + first).tolist(), ends.tolist()):
+            known[word] = (score, raw[a:b])
+        for r in np.flatnonzero(odd).tolist():
+            word, starts, pieces, j = words[r], start[:, r].tolist(), piece[:, r].tolist(), n
+            parts: list[list[int]] = []
+            while j:
+                i = starts[j]
+                parts.append([pieces[j]] if pieces[j] >= 0 else self.ids_of(word[i:j]))
+                j = i
+            known[word] = (total[r], self.pack([x for part in reversed(parts) for x in part]))
+        for r in np.flatnonzero(wrong).tolist():
+            known[words[r]] = self._word(words[r])
 
     def learn(self, words: Iterable[str]) -> None:
         """Solve the words that are not known yet."""
