@@ -2,8 +2,9 @@
 
 Writing: one scan counts the digests of payloads (partial aggregation, so a
 payload that a third of all pages share costs one row per task), a join gives
-every page its keeper, and Spark's text sink writes the records: with the line
-separator CR LF CR LF each file is a compressed WARC/1.1 file.
+every page its keeper, an Arrow pass makes each record a gzip member, and
+Spark's text sink writes files of members, as WARC/1.1 advises: damage to one
+member leaves the others readable.
 
 Reading: archives come as binary files, one row each.  After a failed check
 the reader searches for the next version line or gzip member that holds a valid
@@ -30,8 +31,8 @@ CRLF = "\r\n"
 RECORD_URN = "urn:docskein:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 MAX_HEADER = 1 << 16
-MAX_MEMBER = 1 << 30
 STEP = 1 << 16
 
 
@@ -82,11 +83,36 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     return df.select(F.concat(head, F.col("block")).alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, *, records_per_file: int = 8192) -> None:
-    """Write ``record`` rows as gzip-compressed WARC files of at most
-    ``records_per_file`` records; one member holds a file's records."""
-    out = records.select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
-    out.option("compression", "gzip").text(path)
+def write_warc(records: DataFrame, path: str, *, records_per_file: int = 8192, file_bytes: int = 8 << 20) -> None:
+    """Write ``record`` rows as gzip-compressed WARC files, one member for each
+    record.  A file ends with the record that brings it to ``records_per_file``
+    records or ``file_bytes`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, held = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                members.append(gzip.compress(record.as_py() + END.encode(), 6, mtime=0))
+                held += len(members[-1])
+                if len(members) >= records_per_file or held >= file_bytes:
+                    yield _file(members)
+                    members, held = [], 0
+        if members:
+            yield _file(members)
+
+    # The text sink adds a separator of one byte at least to each row, here a file.
+    # It is the zero byte that ends the last member.
+    files = records.select(F.col("record").cast("binary")).mapInArrow(run, "value binary")
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    """A row with the members but the last byte, which is zero: a member ends
+    with its record's length, and after one of 16 MiB an empty member is put."""
+    data = b"".join(members)
+    if data[-1]:
+        data += gzip.compress(b"", mtime=0)
+    return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
 
 
 # --- reading ----------------------------------------------------------------
@@ -139,25 +165,21 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     """(plain bytes, end, "") of the gzip member at ``at``; after an error what
     came before it, about where it is, and the reason."""
     member, out, pos = zlib.decompressobj(31), [], at
-    held = 0
     while not member.eof:
-        if pos >= len(data) or held > MAX_MEMBER:
+        if pos >= len(data):
             return b"".join(out), min(pos, len(data)), "gzip member without end"
         try:
             out.append(member.decompress(data[pos : pos + STEP]))
         except zlib.error as e:
             return b"".join(out), pos + 1, f"gzip: {e}"
-        held += len(out[-1])
         pos += STEP
     return b"".join(out), min(pos, len(data)) - len(member.unused_data), ""
 
 
 def next_start(data: bytes, at: int) -> int:
     """The next place from ``at`` on where a record may begin."""
-    version = VERSION.search(data, at)
-    member = data.find(b"\x1f\x8b\x08", at)
-    found = [x for x in (version.start() if version else -1, member) if x >= 0]
-    return min(found, default=len(data))
+    found = START.search(data, at)
+    return found.start() if found else len(data)
 
 
 Found = tuple[int, int, int, str, dict | None]
@@ -172,7 +194,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         if data[at : at + 3] == b"\x1f\x8b\x08":
             plain, end, reason = inflate(data, at)
             inner = list(salvage(plain)) if VERSION.search(plain) else []
-            good = any(r for *_, r in inner)
+            good = any(r for *_, r in inner) or not (plain or reason)
         else:
             record, end, reason = parse_record(data, at)
             inner, good = [(0, end - at, 0, "", record)], record is not None

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -142,3 +143,36 @@ def test_warc_edges(spark, tmp_path):
     small = warc.warc_records(pages, min_bytes=2).collect()
     assert sum("WARC-Type: revisit" in r.record for r in small) == 0
     assert warc.warc_records(pages.limit(0)).count() == 0
+
+
+def test_damage_to_written_archive(spark, tmp_path):
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{rng.random()}</p>" * 20) for i in range(60)], "page_id bigint, url string, html string")
+    path = tmp_path / "w"
+    warc.write_warc(warc.warc_records(pages).coalesce(1), str(path), records_per_file=40)
+    files = sorted(f for f in path.iterdir() if f.name.startswith("part-"))
+    assert sorted(len(ids_and_gaps(f.read_bytes())[0]) for f in files) == [20, 40]
+    for f in files:
+        data = bytearray(f.read_bytes())
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") in (20, 40)
+        whole, none = ids_and_gaps(bytes(data))
+        for at in (len(data) // 3, len(data) - 30):
+            bad = bytearray(data)
+            bad[at] ^= 0xFF
+            ids, gaps = ids_and_gaps(bytes(bad))
+            assert not none and len(ids) == len(whole) - 1 and len(gaps) == 1
+
+
+def test_members_of_all_sizes(spark, tmp_path):
+    pages = spark.range(4).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), if(id = 2, 17000000, 10)) AS html").coalesce(1)
+    path = tmp_path / "w"
+    for size in (1, 8 << 20):
+        warc.write_warc(warc.warc_records(pages), f"{path}{size}", file_bytes=size)
+        rows = warc.read_warc(spark, f"{path}{size}").select("record_id", "status", "payload_bytes").collect()
+        assert sorted(r.payload_bytes for r in rows) == [10, 10, 10, 17_000_000] and {r.status for r in rows} == {"record"}
+
+
+def test_empty_archive(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    warc.write_warc(warc.warc_records(pages), str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
