@@ -32,7 +32,6 @@ RECORD_URN = "urn:docskein:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-MAX_HEADER = 1 << 16
 STEP = 1 << 16
 
 
@@ -122,12 +121,24 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def header_end(data: bytes, at: int) -> int:
+    """Where the blank line after the header at ``at`` is, however long the
+    header; -1 where there is none.  The search ends at the next record, so that
+    many broken headers do not each search the whole file."""
+    size = STEP
+    while True:
+        stop = data.find(b"\r\n\r\n", at, at + size)
+        if stop >= 0 or at + size >= len(data) or data.find(b"\r\nWARC/1.", at, at + size) >= 0:
+            return stop
+        size *= 2
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """(record, end, "") for a plain record that passes every check at ``at``,
     else (None, at, reason)."""
     if not VERSION.match(data, at):
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    stop = header_end(data, at)
     if stop < 0:
         return None, at, "header without end"
     fields = {}

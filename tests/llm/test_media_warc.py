@@ -176,3 +176,14 @@ def test_empty_archive(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_warc(warc.warc_records(pages), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_long_url(spark, tmp_path):
+    url = "http://h/?q=" + "é WARC/1.1" * 20_000
+    pages = spark.createDataFrame([(1, url, "x"), (2, "data:" + "y" * 65_536, "z"), (3, "u", "w")], "page_id bigint, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.warc_records(pages), path)
+    rows = warc.read_warc(spark, path).collect()
+    assert {r.target_uri: r.payload for r in rows} == {url: b"x", "data:" + "y" * 65_536: b"z", "u": b"w"}
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 200_000
+    assert ids_and_gaps(cut + b"\r\n" + record(1)) == (["<urn:1>"], [(0, len(cut) + 2)])
