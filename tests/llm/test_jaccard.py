@@ -57,6 +57,23 @@ def test_depth_and_signatures():
         assert np.mean(agree) == pytest.approx(shared / (2 * n - shared), abs=0.03)
 
 
+@pytest.mark.parametrize("common, union", [(4, 5), (5, 6), (8, 10), (12, 15), (16, 20)])
+def test_trees_are_independent_on_small_sets(common, union):
+    depth, rng, missed = jaccard.shortened_depth(0.8, 0.9999), np.random.default_rng(common), 0
+    for _ in range(3000):
+        pool = rng.integers(0, 2**63, union, dtype=np.uint64)
+        own = (union - common) // 2
+        a, b = (np.unique(x) for x in (pool[: common + own], np.concatenate([pool[:common], pool[common + own :]])))
+        missed += not (jaccard.signature(a) == jaccard.signature(b))[:depth].all(axis=0).any()
+    assert missed <= 3  # 0.2 expected
+
+
+def test_signature_of_many_shingles():
+    s = np.unique(np.random.default_rng(4).integers(0, 2**63, 2 * jaccard.CELLS + 5, dtype=np.uint64))
+    halves = [jaccard.signature(x) for x in (s[:40_000], s[40_000:])]
+    assert (jaccard.signature(s) != halves[0]).any() and np.isin(jaccard.signature(s), np.stack(halves)).all()
+
+
 def test_query_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
     want = brute(docs)
