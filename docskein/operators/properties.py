@@ -22,6 +22,25 @@ def candidate_blocks(instances: DataFrame, properties: DataFrame, *, block: int
     return df.select("property_iri", "src_block", "dest_block", (size("ns", "src_block") * size("nd", "dest_block")).cast("long").alias("n_pairs"))
 
 
+def candidate_ranges(instances: DataFrame, properties: DataFrame, *, block: int = 20) -> DataFrame:
+    """The rows of ``candidate_blocks`` in a form that grows with the instances,
+    not with their product: per property and source block (of n_src instances)
+    the destination blocks 0 to last_dest_block, all of ``block`` instances but
+    the last one of n_last_dest, and the pairs of them all."""
+    sizes = instances.groupBy("class_iri").agg(F.count(F.lit(1)).alias("n"))
+    df = (
+        properties.select(F.col("iri").alias("property_iri"), "src_class", "dest_class")
+        .join(sizes.select(F.col("class_iri").alias("src_class"), F.col("n").alias("ns")), "src_class")
+        .join(sizes.select(F.col("class_iri").alias("dest_class"), F.col("n").alias("nd")), "dest_class")
+    )
+    last = lambda n: F.floor((F.col(n) - 1) / block).cast("int")
+    df = df.withColumn("last_dest_block", last("nd")).withColumn("src_block", F.explode(F.sequence(F.lit(0), last("ns"))))
+    df = df.withColumn("n_src", F.least(F.lit(block), F.col("ns") - F.col("src_block") * block).cast("long"))
+    return df.select(
+        "property_iri", "src_block", "n_src", "last_dest_block", (F.col("nd") - F.col("last_dest_block") * block).cast("long").alias("n_last_dest"), (F.col("n_src") * F.col("nd")).alias("n_pairs")
+    )
+
+
 def candidates_from_links(links: DataFrame, instances: DataFrame, properties: DataFrame) -> DataFrame:
     """Distinct (property_iri, src_id, dest_id) from links (src_id, dest_id)
     between instances, for every property whose classes they have."""

@@ -279,6 +279,21 @@ FROM props JOIN s x ON x.class_iri = src_class JOIN s y ON y.class_iri = dest_cl
 """
 
 
+def property_block_ranges(spark, sf_dir):
+    """The candidate space of every property, over all instances."""
+    return properties.candidate_ranges(shop.instances(spark, sf_dir), shop.metamodel(spark)[1])
+
+
+PROPERTY_BLOCK_RANGES = f"""
+WITH {INSTANCES_SQL}, {shop.PROPERTIES_SQL},
+b AS (SELECT class_iri, ((row_number() OVER (PARTITION BY class_iri ORDER BY instance_id) - 1) // 20)::INT AS block FROM instances),
+s AS (SELECT class_iri, block, count(*) AS n FROM b GROUP BY ALL),
+d AS (SELECT class_iri, max(block) AS last_dest_block, arg_max(n, block) AS n_last_dest, sum(n) AS n FROM s GROUP BY ALL)
+SELECT property_iri, s.block AS src_block, s.n AS n_src, last_dest_block, n_last_dest, (s.n * d.n)::BIGINT AS n_pairs
+FROM props JOIN s ON s.class_iri = src_class JOIN d ON d.class_iri = dest_class
+"""
+
+
 def property_candidates(spark, sf_dir):
     return properties.candidates_from_links(shop.links(spark, sf_dir), shop.instances(spark, sf_dir), shop.metamodel(spark)[1])
 
@@ -410,7 +425,7 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "sentence_split": (sentence_split, SENTENCES), "chunk_char": (chunk_char, CHUNK_CHAR), "chunk_page": (chunk_page, CHUNK_PAGE), "route_counts": (route_counts, ROUTE_COUNTS),
     "view_spans_topk": (view_spans_topk, VIEW_SPANS), "view_dedup": (view_dedup, VIEW_DEDUP), "view_summary": (view_summary, VIEW_SUMMARY),
     "class_resolve": (class_resolve, CLASS_RESOLVE), "class_policy_text": (class_policy_text, CLASS_POLICY), "class_judge": (class_judge, CLASS_JUDGE),
-    "class_correct_loop": (class_correct_loop, CLASS_LOOP), "class_consolidate": (class_consolidate, CLASS_CONSOLIDATE), "property_blocks": (property_blocks, PROPERTY_BLOCKS),
+    "class_correct_loop": (class_correct_loop, CLASS_LOOP), "class_consolidate": (class_consolidate, CLASS_CONSOLIDATE), "property_blocks": (property_blocks, PROPERTY_BLOCKS), "property_block_ranges": (property_block_ranges, PROPERTY_BLOCK_RANGES),
     "property_candidates": (property_candidates, PROPERTY_CANDIDATES), "property_verdicts": (property_verdicts, PROPERTY_VERDICTS), "property_validate": (property_validate, PROPERTY_VALIDATE),
     "label_enrich": (label_enrich, LABEL_ENRICH), "local_names": (local_names, LOCAL_NAMES), "slug": (slugs, SLUGS), "nodes_export": (nodes_export, NODES),
     "relationships_export": (relationships_export, RELATIONSHIPS), "turtle_triples": (turtle_triples, TRIPLES), "run_summary": (run_summary, RUN_SUMMARY), "document_ids": (document_ids, DOCUMENT_IDS),

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from docskein.functions.iri import stable_id
 from docskein.operators import classes, properties
 from docskein.operators.decide import LiveProvider, ReplayProvider, RuleProvider
+from docskein.plans import shop
+from docskein.plans.catalog import CATALOG
 from docskein.sources import export
 from docskein.sources.metamodel import read_metamodel, render_policies, render_rules
+from tests.conftest import DATA
 
 N = "http://m#"
 
@@ -115,3 +118,21 @@ def test_exports(spark, model, things, tmp_path):
     lines_ = next((tmp_path / "t").glob("*.txt")).read_text().splitlines()
     assert len(lines_) == len(got) and all(x.endswith(" .") and x.startswith("<") for x in lines_)
     assert [tuple(r) for r in export.run_summary(things, edges.distinct()).collect()] == [(3, 2)]
+
+
+def test_ranges_are_the_blocks(spark):
+    sizes = {"a": 41, "b": 20, "c": 1, "d": 67}
+    instances = spark.createDataFrame([(c,) for c, n in sizes.items() for _ in range(n)], "class_iri string")
+    props = spark.createDataFrame([("p", "a", "b"), ("q", "b", "d"), ("r", "c", "c"), ("s", "d", "a"), ("t", "a", "none")], "iri string, src_class string, dest_class string")
+    blocks = sorted(tuple(r) for r in properties.candidate_blocks(instances, props).collect())
+    made = []
+    for r in properties.candidate_ranges(instances, props).collect():
+        told = [(r.property_iri, r.src_block, k, r.n_src * (20 if k < r.last_dest_block else r.n_last_dest)) for k in range(r.last_dest_block + 1)]
+        assert sum(n for *_, n in told) == r.n_pairs
+        made += told
+    assert sorted(made) == blocks
+
+
+def test_every_property_has_its_blocks(spark):
+    told = CATALOG["property_block_ranges"][0](spark, f"{DATA}/sf0.001")
+    assert {r.property_iri for r in told.select("property_iri").distinct().collect()} == {p["iri"] for p in shop.PROPERTIES}
