@@ -25,7 +25,7 @@ from docskein.llm.common import need, slices
 
 ORDER = 3
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and numerals such as one half, which isalpha() leaves out
 UNDETERMINED = "und"
 
 
@@ -34,6 +34,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(data: bytes, start: bytes = b"\n" * ORDER) -> np.ndarray:
     """For every byte, that byte and the ORDER bytes before it as one integer."""
     x = np.frombuffer(start + data, dtype=np.uint8).astype(np.uint32)
@@ -112,7 +116,7 @@ class ContextTrees:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior under equal priors); und and 0 without a letter."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0
         bits = self.code_lengths(text.encode("utf-8"))
         best = int(bits.argmin())
@@ -125,14 +129,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, max_chars: int) -> DataFrame:
-    """At most ``docs_per_lang`` labelled documents a language, of at most
-    ``max_chars`` code points, the first by a hash.  The rank's limit is
+    """At most ``docs_per_lang`` labelled documents a language, the first by a
+    hash, and of each its first ``max_chars`` code points.  The rank's limit is
     applied before the shuffle, so no task sees a whole language."""
     doc = F.col(id_col)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc", "text"))
     return (
-        docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col).between(1, max_chars)))
-        .select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.col(text_col).alias("text"))
+        docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+        .select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.substring(text_col, 1, max_chars).alias("text"))
         .withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text")
     )
 
@@ -143,8 +147,8 @@ def identify_language(
     """``docs`` plus lang_pred and score (columns so called are replaced).
 
     Learns from labelled documents that ``held_out`` leaves, at most
-    ``docs_per_lang`` of at most ``max_chars`` code points a language (the
-    bound of the sample and of the broadcast); predicts from text alone, and
+    ``docs_per_lang`` a language and of each at most its first ``max_chars``
+    code points (the bound of the sample and of the broadcast); predicts from text alone, and
     reads the whole text.  Null or letterless text: und with score 0.  Without
     any labelled document everything is und.  Ties go to the first language in
     code-point order.  Repeated rows get equal predictions.

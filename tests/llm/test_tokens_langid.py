@@ -161,3 +161,19 @@ def test_language_edges(spark, docs):
     none = langid.identify_language(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
     assert langid.identify_language(df.limit(0)).count() == 0
+
+
+def test_language_of_long_documents_only(docs):
+    long = {d: "grüße aus dem wald " * 2000 for d in range(1, 12)}
+    rows = [(d, t, "de") for d, t in long.items()] + [(d, "what the weather will be", "en") for d in range(20, 40)]
+    df = docs(*[(d, t) for d, t, _ in rows])
+    lang = {d: x for d, _, x in rows}
+    df = df.withColumn("lang", F.when(F.col("doc_id") < 20, "de").otherwise("en"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify_language(df).collect()}
+    assert got == lang
+    assert {r.lang_pred for r in langid.identify_language(df, max_chars=10).collect()} == {"de", "en"}
+
+
+def test_numerals_are_not_letters():
+    trees = langid.ContextTrees({"en": ["some words"]})
+    assert [trees.predict(t)[0] for t in ("\u00bd \u00b2", "\u2167", "12_", "\u00bd a", "\u00e9")] == ["und", "und", "und", "en", "en"]
