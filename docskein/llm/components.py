@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize
+from docskein.llm.common import materialize, release
 
 
 def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFram
     Each round takes the least label among neighbours and then the label of
     that label, so chains shrink by at least half; rounds end when no label
     changes.  Every round is written to the shared folder, which cuts lineage,
-    in as many files as the number of edges asks for.  ``rows`` is a bound on
+    in as many files as the number of edges asks for, and the round before goes.  ``rows`` is a bound on
     that number, where one is known.
     """
     ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,10 @@ def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFram
         )
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = materialize(
+        after = materialize(
             low.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("changed")), name, rows=n
         )
+        release(labels)
+        labels = after
+    release(both)
     return labels.select("node", "label")

@@ -1,18 +1,20 @@
 """N-gram Jaccard join (operator 5): a MinHash LSH forest, then exact counts.
 
-1. Each text becomes a set of hashed word shingles.  Per tree the forest holds a
-   sequence of min-hashes; a prefix of it names a node of the tree's trie.
-2. Prefixes start at full depth and are shortened until two texts exactly at
-   the threshold meet in some tree with the target recall; that depth is where
-   candidates are taken.  Nodes below it (longer prefixes) are used as well,
-   so that a text is tied to its closest companions first.
-3. Every text of a node is tied to the node's first text (never to all), ties
-   are checked on sketches, and connected components of them are families.
-4. In a family all pairs of distinct sets are compared exactly, in blocks; a
-   block gives each set its number of links and a root, never a list of pairs.
-5. Components of the linked sets are the classes.
-
-Copies (equal shingle sets) count as one set from step 4 on.
+1. Each text becomes a set of hashed word shingles; equal sets become one.
+2. Per tree of the forest a set has a path of min-hashes.  The paths of all
+   trees are sorted (range partitions, so no node of a trie lands in one task),
+   which is the tries' own order: a node is a run of paths with a common prefix,
+   and a set's longest matches stand next to it.  Each set is tied to its
+   predecessor with the length of the prefix that the two share.
+3. Matched prefixes start at full length and are shortened until the recall
+   measured on the ties found so far reaches the target; never further than the
+   length at which two sets exactly at the threshold meet with that recall.
+4. Ties are checked on sketches, and connected components of them are families.
+5. In a family all sets that can be linked are compared exactly, in blocks.  A
+   block gives each set its number of links and its component in the block; two
+   blocks that meet give numbers of links, and a forest between components,
+   never a list of pairs.
+6. Components of the linked sets are the classes.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize, need, row_key, slices
+from docskein.llm.common import materialize, need, release, row_key, slices
 from docskein.llm.components import components
 
 WORDS = 5
 TREES = 32
 MAX_DEPTH = 12
+LONGER = 2  # levels of a path beyond those that the target recall asks for
 SKETCH = 128
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 BROADCAST_ROWS = 500_000  # keys of 16 bytes: at most some 20 MB in a task
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -91,89 +95,145 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """[depth, tree] min-hashes, each under a permutation of its own: two sets
+def signature(s: np.ndarray, levels: int = MAX_DEPTH) -> np.ndarray:
+    """[level, tree] min-hashes, each under a permutation of its own: two sets
     share one with probability equal to their Jaccard similarity, and the trees
     are independent however small the sets."""
-    out = np.full(len(PERMUTATIONS), np.iinfo(np.uint64).max)
+    factors = PERMUTATIONS[: levels * TREES]
+    out = np.full(len(factors), np.iinfo(np.uint64).max)
     for first in range(0, len(s), CELLS):
         part = s[first : first + CELLS]
         rows = CELLS // len(part)
         for r in range(0, len(out), rows):
             with np.errstate(over="ignore"):
-                h = PERMUTATIONS[r : r + rows, None] * part
+                h = factors[r : r + rows, None] * part
                 h = (h ^ (h >> np.uint64(29))) * MIX1
             out[r : r + rows] = np.minimum(out[r : r + rows], h.min(axis=1))
-    return out.reshape(MAX_DEPTH, TREES)
-
-
-def prefix_keys(sig: np.ndarray, depths: tuple[int, ...]) -> np.ndarray:
-    """[depth of ``depths``, tree]: one number for each prefix of each tree."""
-    key = mix(np.arange(TREES, dtype=np.uint64) + np.uint64(31))
-    out = np.empty((len(depths), TREES), dtype=np.uint64)
-    for p in range(MAX_DEPTH):
-        key = mix(key ^ sig[p])
-        for i, d in enumerate(depths):
-            if d == p + 1:
-                out[i] = key
-    return out
+    return out.reshape(levels, TREES)
+
+
+def tree_paths(sig: np.ndarray) -> bytes:
+    """Per tree its number (a byte) and its min-hashes (two bytes each)."""
+    levels = len(sig)
+    out = np.empty((TREES, 1 + 2 * levels), dtype=np.uint8)
+    out[:, 0] = np.arange(TREES)
+    out[:, 1:] = np.ascontiguousarray((sig.T >> np.uint64(16)).astype("<u2")).view(np.uint8)
+    return out.tobytes()
 
 
 def sketch(sig: np.ndarray) -> bytes:
-    return (sig.ravel()[:: sig.size // SKETCH][:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes()
+    return (sig.ravel()[:: max(1, sig.size // SKETCH)][:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes()
+
 
+def closeness(threshold: float) -> float:
+    """The least similarity of sketches that ties: of two sets at the threshold
+    one in 30,000 lies below it, and sets that are each at the threshold to a
+    third one usually lie above it."""
+    return max(0.0, min(threshold**2, threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5))
 
-def _base(docs: DataFrame, id_col: str, text_col: str, words: int, depths: tuple[int, ...]) -> DataFrame:
-    """Per row: no, id, text key, set digest, set size, prefix keys, sketch."""
+
+def _base(docs: DataFrame, id_col: str, text_col: str, words: int, levels: int) -> DataFrame:
+    """Per row: no, id, text key, set digest, set size, paths, sketch."""
     k1, k2 = row_key(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, k1 bigint, k2 bigint, d1 bigint, d2 bigint, n int, keys array<array<bigint>>, sketch binary"
+    schema = f"id {kind}, k1 bigint, k2 bigint, d1 bigint, d2 bigint, n int, paths binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            d1, d2, n, keys, sketches = [], [], [], [], []
+            d1, d2, n, paths, sketches = [], [], [], [], []
             for s in shingle_sets(part.column(3).to_pylist(), words):
                 n.append(len(s))
                 if not len(s):
-                    d1.append(None), d2.append(None), keys.append(None), sketches.append(None)
+                    d1.append(None), d2.append(None), paths.append(None), sketches.append(None)
                     continue
-                sig = signature(s)
+                sig = signature(s, levels)
                 with np.errstate(over="ignore"):
                     d1.append(int(mix(s).sum().view(np.int64)))
                     d2.append(int(mix(s ^ MIX1).sum().view(np.int64)))
-                keys.append(prefix_keys(sig, depths).T.view(np.int64).tolist())
+                paths.append(tree_paths(sig))
                 sketches.append(sketch(sig))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()),
-                 pa.array(keys, pa.list_(pa.list_(pa.int64()))), pa.array(sketches, pa.binary())],
-                names=["id", "k1", "k2", "d1", "d2", "n", "keys", "sketch"],
+                 pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["id", "k1", "k2", "d1", "d2", "n", "paths", "sketch"],
             )
 
-    return materialize(rows.mapInArrow(run, schema).withColumn("no", F.monotonically_increasing_id()), "forest")
+    return materialize(rows.mapInArrow(run, schema).withColumn("no", F.monotonically_increasing_id()), "rows")
+
 
+def neighbours(least: int):
+    """A pass over sorted (key, node) rows: ties (u, v, depth) of each row to the
+    one before it, where their paths share at least ``least`` levels, and the
+    first and last row of a partition as they are (u, key)."""
 
-def _ties(base: DataFrame, closeness: float) -> DataFrame:
-    """(u, v): rows tied to the first row of a trie node, where sketches agree."""
-    nodes = base.where("keys IS NOT NULL").select("no", F.explode("keys").alias("k"))
-    shared = nodes.groupBy(F.element_at("k", 1).alias("top")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("top")
-    deeper = nodes.withColumn("top", F.element_at("k", 1)).join(shared, "top").select("no", F.explode("k").alias("node"))
-    deeper = materialize(deeper, "nodes")
-    firsts = deeper.groupBy("node").agg(F.min("no").alias("v"))
-    ties = deeper.join(firsts, "node").where("no <> v").select(F.col("no").alias("u"), "v").distinct()
-    sketches = base.where("sketch IS NOT NULL").select("no", "sketch")
-    pairs = ties.join(sketches.select(F.col("no").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("no").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(u, v, depth, keys):
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary())], names=["u", "v", "depth", "key"])
+
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            nodes = b.column(1).to_numpy(zero_copy_only=False)
+            if before is None:
+                yield rows([nodes[0]], [None], [None], [keys[0].tobytes()])
+            else:
+                keys, nodes = np.concatenate([before[0], keys]), np.concatenate([before[1], nodes])
+            shared = np.cumprod(keys[1:] == keys[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int32)
+            depth = (shared - 1) // 2
+            good = np.flatnonzero((depth >= least) & (nodes[1:] != nodes[:-1]))
+            u, v = nodes[1:][good], nodes[:-1][good]
+            yield rows(np.maximum(u, v), np.minimum(u, v), depth[good], [None] * len(good))
+            before = keys[-1:], nodes[-1:]
+        if before is not None:
+            yield rows([before[1][0]], [None], [None], [before[0][0].tobytes()])
+
+    return run
+
+
+def _ties(forest: DataFrame, levels: int, least: int) -> DataFrame:
+    """(u, v, depth, close): neighbours in some sorted trie, with the longest
+    prefix that they share in one and the similarity of their sketches."""
+    width = 1 + 2 * levels
+    trie = forest.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trie = trie.select(F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("key"), "node")
+    schema = "u bigint, v bigint, depth int, key binary"
+    found = materialize(trie.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(neighbours(least), schema), "neighbours")
+    # The last row of a partition and the first of the next: two rows a partition.
+    ends = found.where("key IS NOT NULL").select("key", F.col("u").alias("node")).repartition(1).sortWithinPartitions("key", "node").mapInArrow(neighbours(least), schema)
+    ties = found.unionByName(ends).where("key IS NULL").groupBy("u", "v").agg(F.max("depth").alias("depth"))
+    sketches = forest.select("node", "sketch")
+    pairs = (
+        ties.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
+        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "depth", "a", "b")
+    )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (3, 4))
             chance = 1 / 256
-            good = ((a == b).mean(axis=1) - chance) / (1 - chance) >= closeness
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(((a == b).mean(axis=1) - chance) / (1 - chance))], names=["u", "v", "depth", "close"])
+
+    return materialize(pairs.mapInArrow(close, "u bigint, v bigint, depth int, close double"), "ties")
+
 
-    return pairs.mapInArrow(close, "u bigint, v bigint")
+def measured_depth(ties: DataFrame, levels: int, least: int, threshold: float, target: float) -> int:
+    """The length to which matched prefixes are shortened: the greatest at which
+    the ties found have the target recall.  A tie between sets of similarity s
+    is found with probability p = recall(depth, trees, s), so it stands for 1 / p
+    of its kind (one row of sums is read)."""
+    near, depths = F.col("close") >= threshold, range(least, levels + 1)
+    chance = lambda d: 1 - F.pow(1 - F.pow(F.least("close", F.lit(1.0)), F.lit(d)), F.lit(TREES))
+    sums = ties.agg(
+        *[F.coalesce(F.count_if(near & (F.col("depth") >= d)), F.lit(0)).alias(f"found{d}") for d in depths],
+        *[F.coalesce(F.sum(F.when(near & (F.col("depth") >= d), 1 / chance(d))), F.lit(0.0)).alias(f"meant{d}") for d in depths],
+    ).first()
+    reached = [d for d in depths if sums[f"found{d}"] and sums[f"found{d}"] >= target * sums[f"meant{d}"]]
+    return max(reached, default=least)
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -211,33 +271,125 @@ def _roots(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(group: pd.DataFrame, threshold: Fraction) -> pd.DataFrame:
-    group = group.sort_values("node")
-    left, right = group[group["left"]], group[~group["left"]]
-    sets = lambda g: [np.frombuffer(s, np.uint64) for s in g["members"]]
-    same = group["i"].iloc[0] == group["j"].iloc[0]
-    if same:
-        right = left
-    elif not len(left) or not len(right):
-        return pd.DataFrame({"node": [], "links": [], "root": []})
-    hit = linked(sets(left), sets(right), threshold)
-    if same:
+def _sets(packed: bytes, sizes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(packed, np.uint64), np.cumsum(sizes)[:-1])
+
+
+def _diagonal(threshold: Fraction):
+    """The sets of a block among each other: one row a block."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in group["members"]]
+        hit = linked(sets, sets, threshold)
         np.fill_diagonal(hit, False)
-        both, nodes = hit, left["node"].to_numpy()
-        counts = hit @ left["copies"].to_numpy()
-    else:
-        n = len(left)
-        both = np.zeros((n + len(right),) * 2, dtype=bool)
-        both[:n, n:], both[n:, :n] = hit, hit.T
-        nodes = np.concatenate([left["node"], right["node"]])
-        counts = np.concatenate([hit @ right["copies"].to_numpy(), hit.T @ left["copies"].to_numpy()])
-    some = counts > 0
-    return pd.DataFrame({"node": nodes[some], "links": counts[some], "root": nodes[_roots(both)][some]})
-
-
-def similar_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = 0.8, target_recall: float = 0.9999, closeness: float = 0.5
-) -> DataFrame:
+        many = bool(group["many"].iloc[0])
+        first = group.iloc[0]
+        return pd.DataFrame({
+            "family": [first["family"]], "bucket": [first["bucket"]], "block": [first["block"]], "blocks": [first["blocks"]], "next_blocks": [first["next_blocks"]],
+            "nodes": [nodes], "copies": [copies], "links": [hit @ copies], "roots": [nodes[_roots(hit)]],
+            "sizes": [np.array([len(s) for s in sets])], "packed": [b"".join(group["members"]) if many else None],
+        })
+
+    return run
+
+
+def forest_between(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[dict]:
+    """Links between two blocks as a forest over the roots ``a`` and ``b`` of
+    their members' components: fewer edges than there are components."""
+    (ua, ia), (ub, ib) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    met = np.zeros((len(ua), len(ub)), dtype=bool)
+    r, c = np.nonzero(hit)
+    met[ia[r], ib[c]] = True
+    n = len(ua)
+    both = np.zeros((n + len(ub),) * 2, dtype=bool)
+    both[:n, n:], both[n:, :n] = met, met.T
+    every, root = np.concatenate([ua, ub]), _roots(both)
+    return [{"u": int(every[i]), "v": int(every[k])} for i, k in enumerate(root.tolist()) if i != k]
+
+
+def _meet(threshold: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), 1):
+                x = {k: v[0] for k, v in part.to_pydict().items()}
+                hit = linked(_sets(x["a_packed"], x["a_sizes"]), _sets(x["b_packed"], x["b_sizes"]), threshold)
+                if not hit.any():
+                    continue
+                counts = [hit @ np.array(x["b_copies"]), hit.T @ np.array(x["a_copies"])]
+                edges = [forest_between(hit, np.array(x["a_roots"]), np.array(x["b_roots"])), []]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["family"]] * 2, pa.int64()), pa.array([x["bucket"], x["b_bucket"]], pa.int32()), pa.array([x["block"], x["b_block"]], pa.int32()),
+                     pa.array([c.tolist() for c in counts], pa.list_(pa.int64())), pa.array(edges, pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())])))],
+                    names=["family", "bucket", "block", "links", "edges"],
+                )
+
+    return run
+
+
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    own = group[group["nodes"].notna()].iloc[0]
+    return pd.DataFrame({"nodes": [own["nodes"]], "roots": [own["roots"]], "links": [np.sum([np.asarray(x) for x in group["links"]], axis=0)]})
+
+
+def _blocks(mates: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """``mates`` (sets with their family) plus the block they are compared in.
+
+    A family that fits a block is one.  A larger one is first cut by size: sets
+    are linked only if the smaller has at least ``threshold`` times the larger
+    one's size, so only neighbouring buckets of that ratio ever meet; buckets
+    are cut into blocks by a hash."""
+    size = (F.count(F.lit(1)).alias("f"), F.sum(F.col("n").cast("long") * 8).alias("bytes"))
+    number = F.greatest(F.ceil(F.col("f") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    many = mates.groupBy("family").agg(*size).select("family", (number > 1).alias("many"))
+    step = float(np.log(1 / (threshold - 1e-9)))
+    placed = mates.join(many, "family").withColumn("bucket", F.when(F.col("many"), F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
+    counts = placed.groupBy("family", "bucket").agg(*size).select("family", "bucket", number.alias("blocks"))
+    after = counts.select("family", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next_blocks"))
+    counts = counts.join(after, ["family", "bucket"], "left").withColumn("next_blocks", F.coalesce("next_blocks", F.lit(0)))
+    placed = placed.join(counts, ["family", "bucket"])
+    return materialize(
+        placed.select("family", "bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "next_blocks", "many", "node", "copies", "k1", "k2"), "wanted", rows=rows
+    )
+
+
+def _linked_sets(docs: DataFrame, mates: DataFrame, text_col: str, words: int, threshold: float, rows: int) -> DataFrame:
+    """(node, links, label) of the sets in families: the number of other rows
+    that they are linked to, and their class."""
+    fraction = Fraction(str(threshold))
+    wanted = _blocks(mates, threshold, rows)
+    place = "family bigint, bucket int, block int"
+    longs = "nodes array<bigint>, copies array<bigint>, links array<bigint>, roots array<bigint>"
+    inner = materialize(
+        _with_sets(docs, wanted, text_col, words).groupBy("family", "bucket", "block")
+        .applyInPandas(_diagonal(fraction), f"{place}, blocks int, next_blocks int, {longs}, sizes array<int>, packed binary"), "blocks",
+    )
+    big = inner.where("packed IS NOT NULL")
+    each = lambda df: df.select(F.explode(F.arrays_zip("nodes", "links", "roots")).alias("x")).select(F.col("x.nodes").alias("node"), F.col("x.links").alias("links"), F.col("x.roots").alias("root"))
+    small = each(inner.where("packed IS NULL"))
+    if big.isEmpty():
+        return small.withColumnRenamed("root", "label")
+    # A block meets the later ones of its bucket and all of the next bucket.
+    own = F.when(F.col("blocks") > F.col("block") + 1, F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda b: F.struct(F.col("bucket").alias("b_bucket"), b.alias("b_block"))))
+    more = F.when(F.col("next_blocks") > 0, F.transform(F.sequence(F.lit(0), F.col("next_blocks") - 1), lambda b: F.struct((F.col("bucket") + 1).alias("b_bucket"), b.alias("b_block"))))
+    empty = F.array().cast("array<struct<b_bucket:int,b_block:int>>")
+    meetings = big.select("family", "bucket", "block", F.explode(F.concat(F.coalesce(own, empty), F.coalesce(more, empty))).alias("m")).select("family", "bucket", "block", "m.*")
+    side = lambda prefix, keys: big.select(*[F.col(c).alias(k) for c, k in keys], *[F.col(c).alias(f"{prefix}_{c}") for c in ("packed", "sizes", "copies", "roots")])
+    cross = materialize(
+        meetings.join(side("a", [("family", "family"), ("bucket", "bucket"), ("block", "block")]), ["family", "bucket", "block"])
+        .join(side("b", [("family", "family"), ("bucket", "b_bucket"), ("block", "b_block")]), ["family", "b_bucket", "b_block"])
+        .mapInArrow(_meet(fraction), f"{place}, links array<bigint>, edges array<struct<u:bigint,v:bigint>>"), "meetings",
+    )
+    nothing = F.lit(None).cast("array<bigint>")
+    every = big.select("family", "bucket", "block", "nodes", "roots", "links").unionByName(cross.select("family", "bucket", "block", nothing.alias("nodes"), nothing.alias("roots"), "links"))
+    totals = every.groupBy("family", "bucket", "block").applyInPandas(_summed, "nodes array<bigint>, roots array<bigint>, links array<bigint>")
+    joined = components(cross.select(F.explode("edges").alias("e")).select("e.u", "e.v"), "class", rows=rows)
+    told = each(totals).join(joined.select(F.col("node").alias("root"), "label"), "root", "left").select("node", "links", F.coalesce("label", "root").alias("label"))
+    return small.withColumnRenamed("root", "label").unionByName(told)
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
     """One row per row: id_col, text key (k1, k2), class_id and n_links.
 
     Documents are linked when the Jaccard similarity of their sets of
@@ -251,46 +403,36 @@ def similar_documents(
     an empty table.  All sizes of groups are handled alike: no cap on
     candidates, and no task holds more than two blocks of a family.
 
-    The depth of the forest's prefixes follows from ``threshold`` and
-    ``target_recall`` (32 trees; 0.8 and 0.9999 give depth 6).
+    The length to which prefixes may be shortened follows from ``threshold`` and
+    ``target_recall`` (32 trees; 0.8 and 0.9999 give 6 levels, paths have 8).
     """
     need(docs, id=id_col, text=text_col)
-    top = shortened_depth(threshold, target_recall)
-    depths = tuple(sorted({top, (top + MAX_DEPTH) // 2, MAX_DEPTH}))
-    base = _base(docs, id_col, text_col, words, depths)
-    family = components(_ties(base, closeness), "family")
-
-    # Distinct sets of the families.
+    least = shortened_depth(threshold, target_recall)
+    levels = min(MAX_DEPTH, least + LONGER)
+    base = _base(docs, id_col, text_col, words, levels)
     rows = base.select("no", "id", "k1", "k2", "d1", "d2", "n")
     n = rows.count()
     sets = materialize(
-        rows.join(family.withColumnRenamed("node", "no"), "no").groupBy("d1", "d2")
-        .agg(F.min("no").alias("node"), F.min("label").alias("family"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.min("id").alias("id"))
-        .select("d1", "d2", "node", "family", "copies", "k.k1", "k.k2", "n", "id"), "sets", rows=n,
-    )
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("f"), F.sum(F.col("n").cast("long") * 8).alias("bytes")).where("f > 1")
-    block_sets = F.least(F.greatest(F.col("f") / 64, F.lit(64)), F.lit(1024))
-    sizes = sizes.select("family", F.greatest(F.ceil(F.col("f") / block_sets), F.ceil(F.col("bytes") / (16 << 20))).cast("int").alias("blocks"))
-    wanted = materialize(
-        sets.join(sizes, "family").select("family", "node", "copies", "k1", "k2", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "wanted", rows=n,
-    )
-    fraction = Fraction(str(threshold))
-    compared = (
-        _with_sets(docs, wanted, text_col, words)
-        .select("family", "node", "copies", "members", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("family", "node", "copies", "members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"))
-        .groupBy("family", "i", "j").applyInPandas(lambda g: _compare(g, fraction), "node bigint, links bigint, root bigint")
+        rows.where("d1 IS NOT NULL").groupBy("d1", "d2")
+        .agg(F.min("no").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.min("id").alias("id"))
+        .select("d1", "d2", "node", "copies", "k.k1", "k.k2", "n", "id"), "sets", rows=n,
     )
-    compared = materialize(compared, "compared")
-    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = components(compared.select(F.col("node").alias("u"), F.col("root").alias("v")), "class", rows=compared.count())
-    told = (
-        sets.join(links, "node", "left").join(parts, "node", "left")
+    forest = materialize(base.select(F.col("no").alias("node"), "paths", "sketch").join(sets.select("node"), "node", "left_semi"), "forest")
+    ties = _ties(forest, levels, least)
+    depth = measured_depth(ties, levels, least, threshold, target_recall)
+    family = components(ties.where((F.col("depth") >= depth) & (F.col("close") >= closeness(threshold))).select("u", "v"), "family")
+    release(forest)
+    mates = sets.join(family.select("node", F.col("label").alias("family")), "node").select("family", "node", "copies", "k1", "k2", "n")
+    told = _linked_sets(docs, mates, text_col, words, threshold, n)
+    # Sets that are linked or have copies; all others stand alone.
+    known = (
+        sets.join(told, "node", "left").where("label IS NOT NULL OR copies > 1")
         .select("d1", "d2", "id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    names = told.groupBy("label").agg(F.min("id").alias("class_id"))
-    told = told.join(names, "label").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known"))
-    out = rows.join(told, ["d1", "d2"], "left")
+    known = materialize(known, "known", rows=n)
+    names = known.groupBy("label").agg(F.min("id").alias("class_id"))
+    known = known.join(names, "label").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known"))
+    out = rows.join(known, ["d1", "d2"], "left")
     return out.select(
         F.col("id").alias(id_col), "k1", "k2", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
