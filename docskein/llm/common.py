@@ -95,3 +95,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+HOT_KEYS = 250_000
+
+
+def skewed_join(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``small`` (unique ``keys``; a written table),
+    whose column ``weight`` says how many rows have a key.
+
+    Keys with more than 1 / HOT_KEYS of all weight are broadcast: there are
+    fewer than HOT_KEYS of them, whatever the data.  Other rows are shuffled to
+    their keys, so that none meets more than that share of them in one task.
+    ``how`` is inner or left (columns of ``small`` are null where there is none).
+    """
+    told = small.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("all")).first()
+    fields = [c for c in small.columns if c not in (*keys, weight)]
+    own = rows.columns
+    packed = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("_there"), *fields).alias(name))
+    if told["n"] <= HOT_KEYS:
+        hot, rest = small, None
+    else:
+        limit = told["all"] / HOT_KEYS
+        hot, rest = small.where(F.col(weight) > limit), small.where(F.col(weight) <= limit)
+    out = rows.join(F.broadcast(packed(hot, "_hot")), keys, "left" if rest is not None else how)
+    if rest is None:
+        return out.select(*own, *[F.col("_hot").getField(c).alias(c) for c in fields])
+    met = out.where("_hot IS NOT NULL").select(*own, *[F.col("_hot").getField(c).alias(c) for c in fields])
+    others = out.where("_hot IS NULL").select(*own).join(packed(rest, "_rest"), keys, how).select(*own, *[F.col("_rest").getField(c).alias(c) for c in fields])
+    return met.unionByName(others)

@@ -2,8 +2,8 @@
 
 Native: only DataFrame functions.  Lines are exploded as 128-bit hashes (never
 as text), distinct documents are counted per hash in two partial aggregations,
-frequent hashes are joined back to give each document its list of dropped
-positions, and the document is reassembled by position from its own text.  The
+frequent hashes are joined back (the most frequent ones by broadcast, so that no
+task gets all rows of one) to give each document its list of dropped positions, and the document is reassembled by position from its own text.  The
 text itself is shuffled once, in the last join.
 """
 
@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize, need, row_key, whole_text
+from docskein.llm.common import materialize, need, row_key, skewed_join, whole_text
 
-BROADCAST_LINES = 250_000  # rows of 24 bytes: at most some 15 MB in a task
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,13 +62,11 @@ def dedup_lines(
         lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper", "n_docs")
     )
     shared = materialize(shared, "shared-lines")
-    if shared.count() <= BROADCAST_LINES:
-        shared = F.broadcast(shared)
     dropped = (
-        lines.join(shared, ["h1", "h2"])
+        skewed_join(lines, shared, ["h1", "h2"], "n_docs")
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     )

@@ -23,18 +23,25 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Words that raise a span's score when they stand near it, by kind.
+#: Whole words that raise a span's score when they stand near it, by kind.
 CONTEXT = {
-    "email": ["mail", "contact", "write to", "reach"],
+    "email": ["mail", "email", "e-mail", "contact", "write to", "reach"],
     "ip": ["ip", "server", "host", "address"],
     "card": ["card", "visa", "credit", "payment", "amex"],
-    "phone": ["phone", "tel", "call", "mobile", "fax"],
+    "phone": ["phone", "telephone", "tel", "call", "mobile", "fax"],
     "iban": ["iban", "account", "bank", "transfer"],
 }
 #: Words that lower it.
 DENY = ["example", "version", "order", "invoice", "isbn", "serial", "test"]
-#: Score before context: what the validator of the kind is worth.
-BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9}
+#: Hundredths before context: what the validator of the kind is worth.
+BASE_SCORE = {"email": 80, "ip": 50, "card": 80, "phone": 60, "iban": 90}
+HELPS, DENIES = 20, 30
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def word_pattern(words: list[str]) -> str:
+    """One of ``words`` as a whole word, in both engines' syntax."""
+    return f"(?:^|[^a-z0-9_])(?:{'|'.join(words)})(?:[^a-z0-9_]|$)"
 
 
 def digits(hit: Column) -> Column:
@@ -75,7 +82,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", window: int = 40) -> Da
     (mod-97) is added by the method.  Starts and ends are code points, end
     exclusive, sorted by start and then kind in the order above.  The score is
     the kind's base score plus 0.2 when a context word stands within
-    ``window`` code points, less 0.3 for a denying word, within 0 and 1.
+    ``window`` code points, less 0.3 for a denying word, within 0 and 1.  Words
+    count as whole words, in either case.
 
     Null or empty text: no spans.  Spans of different kinds may overlap; all
     stay.  Repeated rows and null ids need no care: each row stands alone.  A
@@ -100,15 +108,15 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", window: int = 40) -> Da
 
 
 def _scored(s: Column) -> Column:
-    near = F.lower(F.concat_ws(" ", s["before"], s["after"]))
-    base, helps = F.lit(0.0), F.lit(False)
+    near = F.translate(F.concat_ws(" ", s["before"], s["after"]), UPPER, LOWER)
+    base, helps = F.lit(0), F.lit(False)
     for kind, words in CONTEXT.items():
         base = F.when(s["kind"] == kind, F.lit(BASE_SCORE[kind])).otherwise(base)
-        helps = F.when(s["kind"] == kind, near.rlike("|".join(words))).otherwise(helps)
-    score = base + F.when(helps, 0.2).otherwise(0.0) - F.when(near.rlike("|".join(DENY)), 0.3).otherwise(0.0)
+        helps = F.when(s["kind"] == kind, near.rlike(word_pattern(words))).otherwise(helps)
+    score = base + F.when(helps, HELPS).otherwise(0) - F.when(near.rlike(word_pattern(DENY)), DENIES).otherwise(0)
     return F.struct(
         s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"),
-        F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2).alias("score"),
+        (F.least(F.greatest(score, F.lit(0)), F.lit(100)) / 100).alias("score"),
     )
 
 
@@ -122,7 +130,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs).withColumn("base", F.filter("pii", lambda s: s["kind"].isin(*BASE)))
     counts = [count_kind("base", k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("pii")).alias("spans"))
+    # In the order of the spans, in hundredths.
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def count_kind(spans: str, kind: str) -> Column:
@@ -135,10 +145,11 @@ def span_sql(kinds: list[tuple[str, str, str]]) -> str:
     for order, (kind, pattern, test) in enumerate(kinds):
         quoted = pattern.replace("'", "''")
         out.append(f"""
-  SELECT doc_id, '{kind}' AS kind, {order} AS ord, x.s AS s, x.s + length(x.m) AS e FROM (
+  SELECT doc_id, '{kind}' AS kind, {order} AS ord, x.s AS s, x.s + length(x.m) AS e, x.near AS near FROM (
     SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{
       's': coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0)
-         + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0), 'm': ms[i]}})) AS x
+         + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0), 'm': ms[i],
+      'near': right(ps[i], 40) || ' ' || left(ps[i + 1], 40)}})) AS x
     FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS ms, string_split_regex(t, '{quoted}') AS ps
           FROM texts)) WHERE {test}""")
     return " UNION ALL ".join(out)
@@ -163,14 +174,18 @@ spans AS ({span_sql([
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{_DIGITS} BETWEEN 9 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", _IBAN),
 ])}),
+scored AS (
+  SELECT *, greatest(0, least(100, CASE kind {" ".join(f"WHEN '{k}' THEN {BASE_SCORE[k]} + CASE WHEN regexp_matches(low, '{word_pattern(w)}') THEN {HELPS} ELSE 0 END" for k, w in CONTEXT.items())} END
+    - CASE WHEN regexp_matches(low, '{word_pattern(DENY)}') THEN {DENIES} ELSE 0 END)) AS score
+  FROM (SELECT *, translate(near, '{UPPER}', '{LOWER}') AS low FROM spans)),
 joined AS (
-  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+  SELECT doc_id, string_agg(score::VARCHAR, ',' ORDER BY s, ord) AS scores, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
     count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (kind <> 'iban') AS base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS every
-  FROM spans GROUP BY doc_id)
+  FROM scored GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip,
   coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(scores, '') AS scores
 FROM texts LEFT JOIN joined USING (doc_id)
 """

@@ -8,12 +8,12 @@ reported only when the parts that complete it lie within ``reach`` code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import fresh, materialize, need, whole_text
+from docskein.llm.common import need, whole_text
 from docskein.llm.pii import count_kind, span_sql
-from docskein.llm.spans import SPAN, add_spans, render
+from docskein.llm.spans import NO_SPANS, add_spans, let, render, running
 
 # Fixed patterns of the base kinds, in the order in which they are listed.  The
 # last two state their least length in the pattern: their classes make a run
@@ -45,15 +45,13 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", reach: int = 400) -
     the scope of a link is the row.  An empty table gives an empty table.  A
     column already called secrets is replaced.
 
-    Linking is an interval join done as a sweep: parts are ordered by place in
-    their scope and each looks at the nearest complementary part on both
-    sides, so no pair list is made however many parts a document holds.  Only
-    documents with an access span and a weak part take part; the others keep
-    their base spans.  Found spans (no texts) are written to the shared folder
-    first, so the scan of the texts runs once.
+    Linking is an interval join done as a sweep: the parts of a scope are
+    ordered by place, and running maxima and minima give each the nearest
+    complementary part on both sides, so no pair list is made however many parts
+    a document holds.  All of it is expressions over the row: no shuffle, and
+    nothing is written.
     """
     need(docs, text=text_col)
-    row_id = fresh("row_id", docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     df = docs.select(row, whole_text(text_col).alias("t"))
     t = F.col("t")
@@ -64,40 +62,49 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", reach: int = 400) -
     linkable = F.size("access") > 0
     df = add_spans(df, "bare", "t", "bare", 3, BARE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), probe=linkable)
     df = add_spans(df, "endpoint", "t", "endpoint", 4, ENDPOINT, yes, probe=linkable & t.contains(":"))
-    df = df.withColumn("base", F.concat("assign", "access", "hex"))
-    df = df.withColumn("weak", F.when((F.size("bare") > 0) | (F.size("endpoint") > 0), F.concat("bare", "endpoint")).otherwise(F.array().cast(f"array<{SPAN}>")))
-
-    found = materialize(df.select("row", "base", "weak").withColumn(row_id, F.monotonically_increasing_id()), "secrets")
-    linked = _link(found.where(F.size("weak") > 0).select(row_id, "base", "weak"), row_id, reach)
-    every = F.concat(F.col("base"), F.coalesce("linked", F.array().cast(f"array<{SPAN}>")))
-    spans = F.transform(F.sort_array(every), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"], s["hit"]))
     own = [c for c in docs.columns if c.lower() != "secrets"]
-    out = found.select(row_id, "row", "base").join(linked, row_id, "left")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], spans.alias("secrets"))
+    df = df.select("row", F.sort_array(F.concat("assign", "access", "hex")).alias("base"), F.sort_array(F.concat("bare", "endpoint")).alias("weak"))
+    df = df.withColumn("linked", F.when(F.size("weak") > 0, _linked(reach)).otherwise(F.array().cast(NO_SPANS)))
+    spans = F.transform(F.sort_array(F.concat("base", "linked")), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"], s["hit"]))
+    return df.select(*[F.col("row").getField(c).alias(c) for c in own], spans.alias("secrets"))
+
+
+FAR = 2**30
+
+
+def _near(parts: Column, test, reach: int) -> Column:
+    """Per part (ordered by start): whether a part that passes ``test`` lies
+    within ``reach``, on either side or over it."""
+    ends = F.transform(parts, lambda s: F.when(test(s), s["end"]).otherwise(-FAR))
+    starts = F.transform(F.reverse(parts), lambda s: F.when(test(s), s["start"]).otherwise(FAR))
+    left = running(ends, F.lit(-FAR), lambda a, b: F.greatest(a, b), "int")
+    right = F.reverse(running(starts, F.lit(FAR), lambda a, b: F.least(a, b), "int"))
+    return F.transform(F.arrays_zip(parts.alias("s"), left.alias("l"), right.alias("r")), lambda x: (x["s"]["start"] - x["l"] <= reach) | (x["r"] - x["s"]["end"] <= reach))
 
 
-def _link(found: DataFrame, row_id: str, reach: int) -> DataFrame:
-    """row_id and ``linked``: the weak spans whose complements are in reach."""
-    parts = found.select(row_id, F.explode(F.concat("base", "weak")).alias("s")).select(row_id, "s", F.col("s.start").alias("b"), F.col("s.end").alias("e"), F.col("s.kind").alias("kind"))
+def _pick(parts: Column, flags: Column) -> Column:
+    """The parts whose flag is set."""
+    return F.transform(F.filter(F.arrays_zip(parts.alias("s"), flags.alias("f")), lambda x: x["f"]), lambda x: x["s"])
+
+
+def _linked(reach: int) -> Column:
+    """The weak spans of ``weak`` whose complements in ``base`` are in reach."""
+    is_base = lambda s: s["ord"] < 3
+    is_bare = lambda s: s["kind"] == "bare"
+    every = F.sort_array(F.concat("base", "weak"))
     # A bare key that overlaps a base span is that span, not a further part.
-    base_end = F.when(F.col("kind").isin("assign", "access", "hex"), F.col("e"))
-    base_start = F.when(F.col("kind").isin("assign", "access", "hex"), F.col("b"))
-    place = Window.partitionBy(row_id).orderBy("b", "e", "kind")
-    before, after = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
-    parts = parts.withColumn(
-        "free", (F.col("kind") != "bare") | ((F.coalesce(F.max(base_end).over(before), F.lit(-1)) <= F.col("b")) & (F.coalesce(F.min(base_start).over(after), F.lit(2**31 - 1)) >= F.col("e")))
-    ).where("free")
-
-    def near(test: Column) -> Column:
-        left = F.max(F.when(test, F.col("e"))).over(before)
-        right = F.min(F.when(test, F.col("b"))).over(after)
-        return F.coalesce(F.col("b") - left <= reach, F.lit(False)) | F.coalesce(right - F.col("e") <= reach, F.lit(False))
-
-    parts = parts.withColumn("by_access", near(F.col("kind") == "access"))
-    parts = parts.withColumn("secret", (F.col("kind") == "assign") | ((F.col("kind") == "bare") & F.col("by_access")))
-    parts = parts.withColumn("by_secret", near(F.col("secret")))
-    good = ((F.col("kind") == "bare") & F.col("by_access")) | ((F.col("kind") == "endpoint") & F.col("by_access") & F.col("by_secret"))
-    return parts.where(good).groupBy(row_id).agg(F.collect_list("s").alias("linked"))
+    overlaps = lambda parts: F.zip_with(parts, _near(parts, is_base, -1), lambda s, f: ~(is_bare(s) & f))
+    free = let(every, lambda parts: _pick(parts, overlaps(parts)))
+
+    def by_access(parts: Column) -> Column:
+        near = _near(parts, lambda s: s["kind"] == "access", reach)
+        return _pick(parts, F.zip_with(parts, near, lambda s, f: is_base(s) | f))
+
+    def by_secret(parts: Column) -> Column:
+        near = _near(parts, lambda s: s["kind"].isin("assign", "bare"), reach)
+        return _pick(parts, F.zip_with(parts, near, lambda s, f: is_bare(s) | ((s["kind"] == "endpoint") & f)))
+
+    return let(let(free, by_access), by_secret)
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
@@ -105,18 +112,39 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[sec
     ``mark``; spans that overlap or touch are one stretch.  Texts without spans
     (and null texts) stay as they are."""
     found = find_secrets(docs, text_col=text_col, **options)
-    text, spans = F.col(text_col), F.col("secrets")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(-1).alias("last"))
+    clean = F.when(F.size("secrets") == 0, F.col(text_col)).otherwise(let(F.transform("secrets", lambda s: F.struct(s["start"].alias("b"), s["end"].alias("e"))), lambda s: _redacted(F.col(text_col), s, mark)))
+    return found.select(*[(clean if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c.lower() != "secrets" or c == text_col])
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] > acc["last"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        end = F.greatest(acc["at"], s["end"])
-        return F.struct(end.alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), end.alias("last"))
 
-    done = F.aggregate(spans, start, step)
-    clean = F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return found.select(*[(clean if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c.lower() != "secrets" or c == text_col])
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with a mark for each stretch of ``spans`` (b, e; by b).
+
+    A substring costs its distance from the front of its string, so the text is
+    first cut into as many parts as each part then has stretches: about two
+    square roots of their number of passes over the text, not their number."""
+    far = running(F.transform(spans, lambda s: s["e"]), F.lit(0), lambda a, b: F.greatest(a, b), "int")
+    # A stretch begins where no span before it reaches; it ends at the greatest end before the next.
+    zipped = F.arrays_zip(spans["b"].alias("b"), far.alias("e"), F.concat(F.array(F.lit(-1)), F.slice(far, 1, F.size(far) - 1)).alias("p"))
+
+    def stretches(z: Column) -> Column:
+        begins = F.transform(F.filter(z, lambda x: x["b"] > x["p"]), lambda x: x["b"])
+        ends = F.transform(F.filter(F.arrays_zip(z.alias("x"), F.concat(F.slice(spans["b"], 2, F.size(spans)), F.array(F.lit(FAR))).alias("n")), lambda y: y["n"] > y["x"]["e"]), lambda y: y["x"]["e"])
+        return F.arrays_zip(begins.alias("b"), ends.alias("e"))
+
+    def parts(s: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(s))).cast("int")
+        # Each part: its stretches, from the end of the stretch before it to its own last end.
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / step).cast("int")), lambda i: F.struct(
+            F.slice(s, i * step + 1, step).alias("s"), F.when(i > 0, F.element_at(s, F.greatest(i * step, F.lit(1)))["e"]).otherwise(0).alias("at")))
+        done = F.transform(cut, lambda c: let(F.struct(c["s"].alias("s"), c["at"].alias("at"), F.substring(text, c["at"] + 1, F.element_at(c["s"], -1)["e"] - c["at"]).alias("t")), one))
+        return F.concat(F.array_join(done, ""), F.substring(text, F.element_at(s, -1)["e"] + 1, F.length(text)))
+
+    def one(c: Column) -> Column:
+        starts = F.concat(F.array(c["at"]), F.transform(c["s"], lambda x: x["e"]))
+        gaps = F.zip_with(F.slice(starts, 1, F.size(c["s"])), c["s"], lambda a, x: F.concat(F.substring(c["t"], a - c["at"] + 1, x["b"] - a), F.lit(mark)))
+        return F.array_join(gaps, "")
+
+    return let(let(zipped, stretches), parts)
 
 
 # --- query ------------------------------------------------------------------
