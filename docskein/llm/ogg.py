@@ -12,6 +12,7 @@ Everything works on one row at a time inside Arrow batches; nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ BOS, EOS, CONTINUED = 2, 4, 1
 PAGE_HEADER = struct.Struct("<4sBBqIII B".replace(" ", ""))
 PCM_HEADER = struct.Struct(">8sHHIIBBHI")
 NO_GRANULE = -1
+CHANNEL = re.compile(rb"channel=([0-9]{1,4})/([0-9]{1,4})(?![0-9])")
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -108,6 +110,7 @@ class Packet:
     start_s: float = 0.0
     end_s: float = 0.0
     whole: bool = True
+    placed: bool = False  # whether its time is known and lies within the media
 
 
 @dataclass
@@ -130,13 +133,15 @@ class Demuxed:
     pages: int = 0
     bad_pages: int = 0
     skipped_bytes: int = 0
+    size: int = 0  # bytes read
 
 
 def read_ogg(data: bytes) -> Demuxed:
     """Pages verified and taken apart; bytes outside valid pages are counted
-    and skipped, a packet that lost a part is marked as not whole."""
+    and skipped, a packet that lost a part is marked as not whole.  Any bytes are
+    read without an error: what a valid page claims is never taken for a size."""
     by_serial: dict[int, Stream] = {}
-    out = Demuxed([])
+    out = Demuxed([], size=len(data))
     at, size = 0, len(data)
     while at < size:
         begin = data.find(b"OggS", at)
@@ -194,29 +199,37 @@ def _timestamps(s: Stream) -> None:
     count back from there by their lengths (one byte is one sample)."""
     if s.packets and s.packets[0].data.startswith(b"PCM     ") and len(s.packets[0].data) >= PCM_HEADER.size:
         s.rate = PCM_HEADER.unpack_from(s.packets[0].data)[4]
-    if len(s.packets) > 1 and b"channel=" in s.packets[1].data:
-        c, n = s.packets[1].data.split(b"channel=")[1].split(b"/")
-        s.channel, s.channels = int(c), int(n)
+    told = CHANNEL.search(s.packets[1].data) if len(s.packets) > 1 else None
+    if told:
+        s.channel, s.channels = int(told[1]), int(told[2])
     later = None
     for p in reversed(s.packets[2:]):
-        if p.granule == NO_GRANULE and later is not None:
+        if p.granule == NO_GRANULE and later is not None and later.granule != NO_GRANULE:
             p.granule = later.granule - len(later.data)
         later = p
-        if s.rate:
+        if s.rate and p.granule != NO_GRANULE:
             p.start_s, p.end_s = (p.granule - len(p.data)) / s.rate, p.granule / s.rate
 
 
 def samples_of(media: Demuxed) -> bytes:
-    """The interleaved samples, every packet at the place its time gives it."""
+    """The interleaved samples, every packet at the place its time gives it.
+
+    A packet without a time, or that ends before sample 0 or beyond as many
+    samples as the media has bytes, has no place and is left out; one that
+    begins before sample 0 gives what comes after (and is not whole)."""
     streams = sorted((s for s in media.streams if s.rate), key=lambda s: s.channel)
     if not streams:
         return b""
-    longest = max((p.granule for s in streams for p in s.packets[2:]), default=0)
+    for s in streams:
+        for p in s.packets[2:]:
+            p.placed = p.granule != NO_GRANULE and 0 <= p.granule <= media.size
+    longest = max((p.granule for s in streams for p in s.packets[2:] if p.placed), default=0)
     grid = np.zeros((longest, len(streams)), dtype=np.uint8)
     for c, s in enumerate(streams):
-        for p in s.packets[2:]:
-            begin = round(p.start_s * s.rate)
-            grid[begin : begin + len(p.data), c] = np.frombuffer(p.data, dtype=np.uint8)
+        for p in (p for p in s.packets[2:] if p.placed):
+            data = p.data[max(0, len(p.data) - p.granule) :]
+            p.whole = p.whole and len(data) == len(p.data)
+            grid[p.granule - len(data) : p.granule, c] = np.frombuffer(data, dtype=np.uint8)
     return grid.tobytes()
 
 
@@ -224,7 +237,7 @@ def describe(media: Demuxed, samples: bytes) -> str:
     """Integer features of the decoded sound, so that equal media agree exactly."""
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64) - 128
     packets = sum(len(s.packets) for s in media.streams)
-    last = max((p.end_s for s in media.streams for p in s.packets), default=0.0)
+    last = max((p.end_s for s in media.streams for p in s.packets if p.placed), default=0.0)
     crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0))) if x.size else 0
     peak = int(np.abs(x).max()) if x.size else 0
     return (
@@ -279,7 +292,9 @@ def decode_media(df: DataFrame, *, media_col: str = "media") -> DataFrame:
     """``df`` plus ``payload`` (the samples as binary) and ``feature``.
 
     Null media or bytes without a valid page: an empty payload.  Pages that
-    fail their checksum are left out, and their samples are 0.
+    fail their checksum are left out, and their samples are 0; so are packets
+    whose time no page tells or the media cannot hold.  Any bytes are read, and
+    no more than their own number of samples a stream is made of them.
     """
 
     def work(v: bytes | None) -> tuple[bytes, str]:

@@ -2,7 +2,8 @@
 
 Writing: one scan counts the digests of payloads (partial aggregation, so a
 payload that a third of all pages share costs one row per task), a join gives
-every page its keeper, an Arrow pass makes each record a gzip member, and
+every page its keeper (by broadcast for digests that many pages share, so pages
+are not gathered by payload), an Arrow pass makes each record a gzip member, and
 Spark's text sink writes files of members, as WARC/1.1 advises: damage to one
 member leaves the others readable.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import need, new_path
+from docskein.llm.common import materialize, need, new_path, skewed_join
 
 END = "\r\n\r\n"
 CRLF = "\r\n"
@@ -58,9 +59,9 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     keepers = (
         rows.where(F.octet_length("html") >= min_bytes).groupBy("sha")
-        .agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "keeper")
+        .agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    df = rows.join(keepers, "sha", "left")
+    df = skewed_join(rows, materialize(keepers, "keepers"), ["sha"], "n", "left")
     name = lambda c: F.concat(F.lit(RECORD_URN), F.coalesce(c.cast("string"), F.lit("null")))
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(END))
@@ -285,7 +286,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "warc")
     write_warc(warc_records(pages), path)
-    back = read_warc(spark, path).where("status = 'record'")
+    back = materialize(read_warc(spark, path).drop("payload"), "records")
+    told = back.agg(F.count_if(F.col("status") == "record").alias("records"), F.count_if(F.col("status") == "gap").alias("gaps")).first()
+    if told.gaps or told.records != pages.count():
+        raise ValueError(f"{pages.count()} pages were written, {told.records} records and {told.gaps} gaps read back")
+    back = back.where("status = 'record'")
     page = lambda c: F.expr(f"try_cast(substring({c}, {len(RECORD_URN) + 1}) AS bigint)")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 

@@ -54,6 +54,41 @@ def test_damage_is_seen_and_skipped():
     assert len(back) == len(x) and back != x and sum(a != b for a, b in zip(back, x)) < 7000
 
 
+def page(flags, granule, serial, number, lacing, body):
+    raw = ogg.PAGE_HEADER.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + bytes(lacing) + body
+    return raw[:22] + ogg.page_crc(raw).to_bytes(4, "little") + raw[26:]
+
+
+def test_valid_pages_of_foreign_streams():
+    head = ogg.PCM_HEADER.pack(b"PCM     ", 0, 0, 1, 8000, 8, 1, 4096, 1)
+    start = lambda note: page(2, 0, 7, 0, [len(head)], head) + page(0, 0, 7, 1, [len(note)], note)
+    for note in (b"channel=left", b"channel=", b"channel=1/2/3", b"channel=99999999999/1", b""):
+        for granule, samples in ((-1, b""), (2, b"cd"), (4, b"abcd"), (2**45, b""), (2**62, b""), (-5, b""), (0, b"")):
+            media = ogg.read_ogg(start(note) + page(4, granule, 7, 2, [4], b"abcd"))
+            assert ogg.samples_of(media) == samples and media.pages == 3
+            assert ogg.describe(media, ogg.samples_of(media))
+
+
+def test_any_damage_with_repaired_checksums():
+    rng = random.Random(9)
+    whole = ogg.write_ogg(bytes(rng.randrange(256) for _ in range(6000)), packet_samples=700, per_page=4)
+    for _ in range(300):
+        raw = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        at = raw.find(b"OggS")
+        while at >= 0:  # every page's checksum is made right again
+            n = raw[at + 26] if at + 26 < len(raw) else 0
+            end = at + 27 + n + sum(raw[at + 27 : at + 27 + n])
+            if end <= len(raw):
+                raw[at + 22 : at + 26] = bytes(4)
+                raw[at + 22 : at + 26] = ogg.page_crc(bytes(raw[at:end])).to_bytes(4, "little")
+            at = raw.find(b"OggS", at + 4)
+        media = ogg.read_ogg(bytes(raw))
+        samples = ogg.samples_of(media)
+        assert len(samples) <= len(raw) * max(1, len(media.streams)) and ogg.describe(media, samples)
+
+
 def test_media_frames(spark, docs):
     df = docs((1, None), (2, ""), (3, "é" * 32), (None, "abc"), (3, "é" * 32)).withColumn("media", F.lit("old"))
     rows = ogg.decode_media(ogg.encode_media(df)).collect()
