@@ -25,6 +25,7 @@ from docskein.llm.common import need, slices
 
 ORDER = 3
 CHUNK = 1 << 20
+SLACK, MARGIN = 64.0, 1.5  # bits any text may take more; times the usual code length per byte
 LETTER = re.compile(r"[^\W\d_]")  # and numerals such as one half, which isalpha() leaves out
 UNDETERMINED = "und"
 
@@ -79,6 +80,16 @@ class ContextTrees:
             self.contexts.append(contexts)
             self.escape.append(escape)
         self._table()
+        self.limits = np.full(len(self.langs), np.inf)
+
+    def calibrate(self, texts: dict[str, list[str]]) -> None:
+        """The most bits per byte that a text of each language may take: MARGIN
+        times the length that 99 of 100 of ``texts`` (none of them learned) stay
+        within.  Languages without such a text get no limit."""
+        for j, lang in enumerate(self.langs):
+            raw = [t.encode("utf-8") for t in texts.get(lang, ())]
+            if raw:
+                self.limits[j] = MARGIN * np.quantile([(self.code_lengths(t)[j] - SLACK) / len(t) for t in raw], 0.99)
 
     def _table(self) -> None:
         """A direct table over hashed 4-byte keys; what collides is searched."""
@@ -114,13 +125,15 @@ class ContextTrees:
             bits = bits + np.ones(int(hit.sum())) @ self.escape[k][at[hit]]
         return bits + 8.0 * len(g)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, posterior under equal priors); und and 0 without a letter."""
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, posterior under equal priors, whether the code length is
+        one of that language); und, 0 and false without a letter."""
         if not text or not self.langs or not has_letter(text):
-            return UNDETERMINED, 0.0
-        bits = self.code_lengths(text.encode("utf-8"))
+            return UNDETERMINED, 0.0, False
+        raw = text.encode("utf-8")
+        bits = self.code_lengths(raw)
         best = int(bits.argmin())
-        return self.langs[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+        return self.langs[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()), bool(bits[best] - SLACK <= self.limits[best] * len(raw))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,49 +141,61 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, max_chars: int) -> DataFrame:
-    """At most ``docs_per_lang`` labelled documents a language, the first by a
-    hash, and of each its first ``max_chars`` code points.  The rank's limit is
-    applied before the shuffle, so no task sees a whole language."""
+def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, max_chars: int, max_langs: int) -> DataFrame:
+    """(lang, text, rank): at most ``docs_per_lang`` labelled documents of each of
+    the ``max_langs`` commonest labels, the first by a hash, and of each its first
+    ``max_chars`` code points.  The rank's limit is applied before the shuffle,
+    so no task sees a whole language."""
     doc = F.col(id_col)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc", "text"))
+    labelled = docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    labels = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
     return (
-        docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-        .select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.substring(text_col, 1, max_chars).alias("text"))
-        .withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text")
+        labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.substring(text_col, 1, max_chars).alias("text"))
+        .join(F.broadcast(labels), "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text", "rank")
     )
 
 
 def identify_language(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, max_chars: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, fit_docs: int = 50, max_chars: int = 20_000, max_langs: int = 200
 ) -> DataFrame:
-    """``docs`` plus lang_pred and score (columns so called are replaced).
+    """``docs`` plus lang_pred, score and fits (columns so called are replaced).
 
     Learns from labelled documents that ``held_out`` leaves, at most
-    ``docs_per_lang`` a language and of each at most its first ``max_chars``
-    code points (the bound of the sample and of the broadcast); predicts from text alone, and
-    reads the whole text.  Null or letterless text: und with score 0.  Without
-    any labelled document everything is und.  Ties go to the first language in
-    code-point order.  Repeated rows get equal predictions.
+    ``docs_per_lang`` of each of the ``max_langs`` commonest labels and of each
+    at most its first ``max_chars`` code points (the bound of the sample and of
+    the broadcast); predicts from text alone, and reads the whole text.  fits
+    tells whether the text's code length is one that texts of the predicted
+    language have: at most MARGIN times what 99 of 100 of ``fit_docs`` further
+    labelled documents stay within (true where there are none).
+
+    Null or letterless text: und with score 0, and no fit.  Without any labelled
+    document everything is und.  Ties go to the first language in code-point
+    order.  Repeated rows get equal predictions.
     """
     need(docs, id=id_col, text=text_col, lang=lang_col)
     spark = docs.sparkSession
     sample: dict[str, list[str]] = {}
-    for row in training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, docs_per_lang=docs_per_lang, max_chars=max_chars).toLocalIterator():
-        sample.setdefault(row.lang, []).append(row.text)
-    trees = spark.sparkContext.broadcast(ContextTrees({k: sorted(v) for k, v in sample.items()}) if sample else None)
-    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    others: dict[str, list[str]] = {}
+    drawn = training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, docs_per_lang=docs_per_lang + fit_docs, max_chars=max_chars, max_langs=max_langs)
+    for row in drawn.toLocalIterator():
+        (sample if row["rank"] <= docs_per_lang else others).setdefault(row.lang, []).append(row.text)
+    model = ContextTrees({k: sorted(v) for k, v in sample.items()}) if sample else None
+    if model:
+        model.calibrate(others)
+    trees = spark.sparkContext.broadcast(model)
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "fits")]
     text_at, keep = docs.columns.index(text_col), [docs.columns.index(c) for c in own]
-    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double").add("fits", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = trees.value
         for part in slices(batches):
             texts = part.column(text_at).to_pylist()
-            made = [model.predict(t) if model else (UNDETERMINED, 0.0) for t in texts]
+            made = [model.predict(t) if model else (UNDETERMINED, 0.0, False) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in keep), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                names=[*own, "lang_pred", "score"],
+                [*(part.column(i) for i in keep), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                names=[*own, "lang_pred", "score", "fits"],
             )
 
     return docs.mapInArrow(run, schema)

@@ -10,7 +10,9 @@ over all shards.
 from __future__ import annotations
 
 import codecs
+import functools
 import os
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,13 +36,32 @@ def byte_symbols() -> str:
     return "".join(chr(b if b in shown else next(rest)) for b in range(256))
 
 
+@functools.cache
+def settled_characters() -> str:
+    """The characters whose class, normal form and lower case no version of
+    Unicode in use changes, as ranges of a pattern's set: those that the oldest
+    tables at hand (version 3.2) know in the same class as the newest."""
+    old, new, ranges, begin = unicodedata.ucd_3_2_0.category, unicodedata.category, [], None
+    for i in range(sys.maxunicode + 2):
+        c = chr(i) if i <= sys.maxunicode else ""
+        same = bool(c) and old(c)[0] == new(c)[0] not in ("C",) or c in ("\t", "\n", "\r", " ")
+        if same and begin is None:
+            begin = i
+        elif not same and begin is not None:
+            ranges.append((begin, i - 1))
+            begin = None
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
 class WordTokenizer:
     """Token ids of a text as packed little-endian 32-bit integers.
 
     The tokenizer's normal form and word pattern are applied here, and its BPE
     model once per word: ids of a word depend on the word alone.  Texts where
-    that could differ from the whole tokenizer (special tokens' strings, and
-    the one letter whose lower case depends on its place) go through it whole.
+    that could differ from the whole tokenizer (special tokens' strings, the
+    one letter whose lower case depends on its place, and characters that the
+    tokenizer's Unicode tables and Python's may class differently) go through it
+    whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,6 +74,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # The word pattern of the tokenizer file: a fixed value.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.unsettled = regex.compile(f"[^{settled_characters()}]|Σ").search
         self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
 
@@ -67,7 +89,7 @@ class WordTokenizer:
         return got
 
     def __call__(self, text: str) -> bytes:
-        if "Σ" in text or any(s in text for s in self.special):
+        if (not text.isascii() or "\x00" in text) and self.unsettled(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = self.words(unicodedata.normalize("NFC", text).lower())
         known = self.known

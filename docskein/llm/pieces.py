@@ -8,8 +8,11 @@ one piece.  A giant one is cut into chunks of fixed length:
 1. each chunk gives its transfer matrix: entry = how many of its characters a
    piece from the left has taken, exit = how many characters beyond its end
    its own last piece takes, value = best score in between;
-2. the matrices of a document are combined in the max-plus semiring, which
-   gives every chunk the best scores with which it can be entered;
+2. the matrices of a document are combined in the max-plus semiring, which is
+   associative: runs of RUN consecutive chunks are multiplied side by side in
+   tasks of their own, the few products of a document give every run the best
+   scores with which it can be entered, and inside the runs, side by side again,
+   every chunk gets its own;
 3. each chunk is traced back on its own for every exit it may have, and the
    small maps from exit to entry, composed from the end, select one of them.
 
@@ -39,6 +42,8 @@ TOGETHER = 48  # as many new words of one length are solved side by side
 SIDE_BY_SIDE = 32  # if they are at most this long
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY = 10.0
+GRAIN = 2.0**-20  # scores are multiples of it, so that their sums are exact in any order
+RUN = 64  # chunks whose matrices are multiplied in one task
 NONE = float("-inf")
 
 
@@ -57,15 +62,16 @@ class Vocabulary:
         self.text = [p.piece for p in proto.pieces]
         self.bytes_at = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE}
         self.byte_of = {i: b for b, i in self.bytes_at.items()}
-        normal = [p.score for p in proto.pieces if p.type == kind.NORMAL]
+        exact = lambda x: round(x / GRAIN) * GRAIN
+        normal = [exact(p.score) for p in proto.pieces if p.type == kind.NORMAL]
         self.unknown = min(normal) - UNKNOWN_PENALTY
         self.unknown_id = self.lib.unk_id()
         self.score: dict[str, tuple[float, int]] = {}
         for i, p in enumerate(proto.pieces):
             if p.type == kind.NORMAL:
-                self.score[p.piece] = (float(p.score), i)
+                self.score[p.piece] = (exact(p.score), i)
             elif p.type == kind.USER_DEFINED:
-                self.score[p.piece] = (len(p.piece) * max(normal) - 0.1, i)
+                self.score[p.piece] = (exact(len(p.piece) * max(normal) - 0.1), i)
         self.hidden = {i for i, p in enumerate(proto.pieces) if p.type == kind.CONTROL}
         self.longest = max(map(len, self.score))
         self.breaks = not any(MARK in p.lstrip(MARK) for p in self.score)
@@ -363,6 +369,11 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, None] + b[None, :, :]).max(axis=-2)
 
 
+def _square(raw: bytes) -> np.ndarray:
+    m = np.frombuffer(raw)
+    return m.reshape(int(len(m) ** 0.5), -1)
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -381,9 +392,11 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     Null and empty texts have no ids and score 0.  Rows keep their
     multiplicity: repeated rows give repeated results.  Texts of more than
     ``giant`` characters of normal form go through the parallel scan in chunks
-    of ``chunk``; the result does not depend on either.  A document's
-    matrices (2 KB a chunk) meet in one task, 70 MB at Spark's limit of 2 GB a
-    text; its characters never do until its ids are put together.
+    of ``chunk``; the result does not depend on either: scores are multiples of
+    2**-20, whose sums are exact (below 2**33) in whatever order they are taken.
+    The products of RUN matrices (2 KB each) meet in one task a document, 1 MB
+    at Spark's limit of 2 GB a text; its characters never do until its ids are
+    put together.
     """
     need(docs, id=id_col, text=text_col)
     text = whole_text(text_col)
@@ -430,23 +443,39 @@ def _scan(rows: DataFrame, model: str, kind: str, chunk: int) -> DataFrame:
             made = [v.matrix(t, n).tobytes() for t, n in zip(part.column(4).to_pylist(), part.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(made, pa.binary())], names=["k1", "k2", "no", "matrix"])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("no")
-        now, entries = None, []
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        """The product of a run's matrices, pairs of neighbours first."""
+        made = [_square(raw) for raw in group.sort_values("no")["matrix"]]
+        while len(made) > 1:
+            made = [max_plus(*made[i : i + 2]) if i + 1 < len(made) else made[i] for i in range(0, len(made), 2)]
+        first = group.iloc[0]
+        return pd.DataFrame({"k1": [first["k1"]], "k2": [first["k2"]], "run": [first["run"]], "matrix": [made[0].tobytes()]})
+
+    def scan(group: pd.DataFrame, order: str) -> pd.DataFrame:
+        """With what scores each matrix is entered: from the front of the text,
+        or with ``start``, what the run is entered with."""
+        group = group.sort_values(order)
+        n = len(_square(group["matrix"].iloc[0]))
+        now, entries = np.full(n, NONE), []
+        now[0] = 0.0
+        if "start" in group:
+            now = np.frombuffer(group["start"].iloc[0])
         for raw in group["matrix"]:
-            m = np.frombuffer(raw)
-            m = m.reshape(int(len(m) ** 0.5), -1)
-            if now is None:
-                now = np.full(len(m), NONE)
-                now[0] = 0.0
             entries.append(now.tobytes())
-            now = (now[:, None] + m).max(axis=0)
-        group["entry"], group["total"] = entries, float(now[0])
-        return group[["k1", "k2", "no", "entry", "total"]]
-
+            now = (now[:, None] + _square(raw)).max(axis=0)
+        group["entry"] = entries
+        if "start" not in group:
+            group["total"] = float(now[0])
+        return group
+
+    matrix = materialize(chunks.mapInArrow(matrices, "k1 bigint, k2 bigint, no int, matrix binary").withColumn("run", F.floor(F.col("no") / RUN).cast("int")), "matrices")
+    runs = matrix.groupBy("k1", "k2", "run").applyInPandas(product, "k1 bigint, k2 bigint, run int, matrix binary")
+    heads = runs.groupBy("k1", "k2").applyInPandas(
+        lambda g: scan(g, "run").rename(columns={"entry": "start"})[["k1", "k2", "run", "start", "total"]], "k1 bigint, k2 bigint, run int, start binary, total double"
+    )
     entries = (
-        chunks.mapInArrow(matrices, "k1 bigint, k2 bigint, no int, matrix binary")
-        .groupBy("k1", "k2").applyInPandas(scan, "k1 bigint, k2 bigint, no int, entry binary, total double")
+        matrix.join(heads, ["k1", "k2", "run"]).groupBy("k1", "k2", "run")
+        .applyInPandas(lambda g: scan(g, "no")[["k1", "k2", "no", "entry", "total"]], "k1 bigint, k2 bigint, no int, entry binary, total double")
     )
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

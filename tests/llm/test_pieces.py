@@ -120,6 +120,15 @@ def test_frames(spark, docs, v):
     assert pieces.encode_pieces(df.limit(0), pieces.model_path()).count() == 0
 
 
+def test_runs_of_chunks(spark, docs, v):
+    """Texts of many chunks: products of several runs, odd numbers of matrices."""
+    long = " ".join(texts()[:6])
+    df = docs((1, long[:3000]), (2, long[:1025]), (3, "é" * 700), (4, long[:64]))
+    rows = pieces.encode_pieces(df, pieces.model_path(), giant=50, chunk=16).collect()
+    want = {r.doc_id: v.encode(r.text) for r in df.collect()}
+    assert {r.doc_id: (r.path_score, ids(r.ids)) for r in rows} == {i: (s, ids(raw)) for i, (s, raw) in want.items()}
+
+
 def test_query(spark, v):
     rows = {r.doc_id: r for r in pieces.query(spark, f"{DATA}/sf0.001").collect()}
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").withColumn("sha", F.sha2("text", 256)).collect()

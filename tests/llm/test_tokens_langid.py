@@ -94,6 +94,18 @@ def test_packing_query(spark, words):
         assert sum(r.length for r in own) == len(ids)
 
 
+def test_ids_of_every_code_point():
+    """Each character alone, in a word, doubled and after a digit."""
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    texts = [f"a{c}b {c}{c} 1{c}" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = [t for t in texts if not words.unsettled(t)]  # the others go through the tokenizer whole
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for t, want in zip(part, words.whole.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(words(t), "<u4").tolist() == want.ids, t
+    assert len(texts) > 40_000
+
+
 def test_packing_edges(spark, docs):
     df = docs((1, None), (1, ""), (None, "a b c"), (2, "a b " * 60), (2, "a b " * 60))
     pieces = packing.tokenize_pieces(df, packing.tokenizer_path(), capacity=50)
@@ -156,6 +168,7 @@ def test_language_edges(spark, docs):
     df = docs((0, "hello there"), (1, None), (2, ""), (3, "123 !?"), (None, "hello"), (5, "x" * 100), (5, "x" * 100)).withColumn("lang", F.when(F.col("doc_id") == 0, "en"))
     rows = langid.identify_language(df).collect()
     pred = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in rows}
+    assert all(r.fits == (r.lang_pred != "und") for r in rows)
     assert pred[1, None] == pred[2, ""] == pred[3, "123 !?"] == ("und", 0.0)
     assert pred[None, "hello"][0] == "en" and len(rows) == 7 and rows[0]["a b"] == 7
     none = langid.identify_language(df.withColumn("lang", F.lit(None).cast("string")))
