@@ -18,11 +18,17 @@ from docskein.llm.secrets import redact_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go: those with no letter.
-    (Where no document has a label, nothing can be told and the others stay.)"""
+    """Documents go that are in no language: those without a letter, and those
+    whose code length is far above what texts of the nearest language have
+    (letter junk, languages that no label names).  The others stay, and a missing
+    ``lang`` is filled with the predicted one.  Where no document has a label,
+    nothing can be told and documents with a letter stay as they are."""
     told = identify_language(docs)
     letter = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return told.where((F.col("lang_pred") != UNDETERMINED) | letter).select(*docs.columns)
+    known = F.col("lang_pred") != UNDETERMINED
+    lang = F.coalesce(F.col("lang"), F.when(known, F.col("lang_pred"))).cast(docs.schema["lang"].dataType)
+    kept = told.where((known & F.col("fits")) | (~known & letter))
+    return kept.select(*[(lang if c == "lang" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
