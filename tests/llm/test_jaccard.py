@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docskein.llm import jaccard
 from docskein.llm.components import components
@@ -103,6 +104,56 @@ def test_families_of_variants(spark, docs):
     assert jaccard.similar_documents(docs(*rows).limit(0)).count() == 0
 
 
+def variants(rng, groups, members, edits, passage=0):
+    """Groups of near copies of 120 words, and texts that share a passage only."""
+    rows = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(120)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**7)}"
+            rows.append((len(rows), " ".join(w)))
+    shared = " ".join(f"p{i}" for i in range(70))
+    return rows + [(len(rows) + i, shared + " " + " ".join(f"q{rng.randrange(10**7)}" for _ in range(45))) for i in range(passage)]
+
+
+def test_large_families_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    rows = variants(random.Random(3), 2, 120, 3, passage=60)
+    rows += [(len(rows) + i, rows[i][1] + " and a tail of some more words" * (i % 9)) for i in range(60)]
+    want = brute(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(docs(*rows)).collect()}
+    assert got == {d: want[i] for i, (d, _) in enumerate(rows)} and max(n for _, n in want.values()) > 60
+
+
+@pytest.mark.parametrize("threshold, edits", [(0.5, 9), (0.8, 3)])
+def test_recall_of_links(spark, docs, threshold, edits):
+    rows = variants(random.Random(11), 30, 25, edits, passage=200)
+    want = brute(rows, Fraction(str(threshold)))
+    got = {r.doc_id: r.n_links for r in jaccard.similar_documents(docs(*rows), threshold=threshold).collect()}
+    links = sum(n for _, n in want.values())
+    found = sum(min(got[d], want[i][1]) for i, (d, _) in enumerate(rows))
+    assert links > 5000 and found >= 0.999 * links and all(got[d] <= want[i][1] for i, (d, _) in enumerate(rows))
+
+
+def test_passages_do_not_chain_families(spark, docs):
+    rows = variants(random.Random(5), 0, 0, 0, passage=1500)
+    levels = jaccard.shortened_depth(0.8, 0.9999) + jaccard.LONGER
+    base = jaccard._base(docs(*rows), "doc_id", "text", 5, levels)
+    ties = jaccard._ties(base.select(F.col("no").alias("node"), "paths", "sketch"), levels, levels - jaccard.LONGER)
+    near = ties.where(F.col("close") >= jaccard.closeness(0.8))
+    sizes = components(near.select("u", "v"), "t").groupBy("label").count().agg(F.max("count")).first()[0]
+    assert ties.count() > 50 and (sizes or 0) < 15
+
+
+def test_prefixes_shorten_to_the_measured_recall(spark):
+    make = lambda close, n: spark.createDataFrame([(i, i + 1, 8, close) for i in range(n)], "u bigint, v bigint, depth int, close double")
+    assert jaccard.measured_depth(make(0.99, 50), 8, 6, 0.8, 0.9999) == 8
+    assert jaccard.measured_depth(make(0.81, 50), 8, 6, 0.8, 0.9999) == 6
+    assert jaccard.measured_depth(make(0.81, 0), 8, 6, 0.8, 0.9999) == 6
+
+
 def test_blocks_do_not_change_counts():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64))
