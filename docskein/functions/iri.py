@@ -45,9 +45,33 @@ def node_iri(base: str, label: Column, key: Column) -> Column:
     return F.concat(F.lit(f"<{base.rstrip('#/')}#instance/"), slug(label), F.lit("-"), F.left(key, F.lit(8)), F.lit(">"))
 
 
+def escape_iri(iri: Column) -> Column:
+    """Characters that may not stand between angle brackets, percent-encoded."""
+    out = iri
+    for c in " <>\"{}|^`\\":
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
+
+
 def term(iri: Column) -> Column:
-    """Prefixed names stay; other IRIs get angle brackets."""
-    return F.when(iri.rlike(r"^(?:ex|rdf|rdfs|owl|xsd):"), iri).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+    """Prefixed names stay; other IRIs get angle brackets.  What follows a prefix
+    must be a plain local name, else the IRI is written in brackets as well."""
+    return F.when(iri.rlike(r"^(?:ex|rdf|rdfs|owl|xsd):[\w\-]+$"), iri).otherwise(F.concat(F.lit("<"), escape_iri(iri), F.lit(">")))
+
+
+def full_iri(name: Column, prefixes: dict[str, str]) -> Column:
+    """A prefixed name with its prefix written out (up to the first colon);
+    anything else as it is."""
+    out = name
+    for prefix, iri in prefixes.items():
+        local = F.substring(name, len(prefix) + 2, 2**31 - 1)
+        out = F.when(F.startswith(name, F.lit(f"{prefix}:")), F.concat(F.lit(f"<{iri}"), local, F.lit(">"))).otherwise(out)
+    return out
+
+
+def long_literal(value: Column) -> Column:
+    """A Turtle string in triple quotes: only backslashes and quotes are escaped."""
+    return F.concat(F.lit('"""'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"""'))
 
 
 def literal(value: Column) -> Column:

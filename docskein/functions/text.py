@@ -35,8 +35,6 @@ NO_SPACE_AFTER = "[（「『【〈《]$"
 REFLOW_CLOSERS = "[」』）】》\"']"
 REFLOW_BULLET = r"^(?:\p{Nd}+[.)]|[A-Za-z]\)|[・•–—◇◆●■□\x{2460}-\x{2469}-])"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-#: Marks a cut inside a text; it must not occur in texts.
-CUT = "\x01"
 
 
 @dataclass(frozen=True)
@@ -84,26 +82,41 @@ def split_sentences(text: Column, ends: str) -> Column:
     """Array of sentences: cut after every end mark (white space after it goes)
     and at blank lines; stripped, without empty ones; null text gives none."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    t = F.regexp_replace(F.regexp_replace(t, f"([{ends}]){SPACE}*", f"$1{CUT}"), "\n{2,}", CUT)
-    return F.filter(F.transform(F.split(t, CUT, -1), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, f"(?<=[{ends}]){SPACE}*|\n{{2,}}", -1), strip), lambda s: s != "")
+
+
+def cut_after_ends(text: Column, ends: str, closers: str) -> Column:
+    """Array of pieces: each up to an end mark with its closing marks, then the
+    rest; stripped, without empty ones."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{ends}]*+[{ends}]{closers}*+|[^{ends}]++"), F.lit(0))
+    return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
 def chunk_sentences(sentences: Column, max_chars: int, overlap: int) -> Column:
     """Array of chunks: sentences are gathered while they fit; the next chunk
     begins with the last ``overlap`` code points of the one before.  A long
     sentence is never cut, and a chunk may pass the size by its overlap."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    none = F.array().cast("array<string>")
+    # Chunks that are done wait in ``some`` and move to ``full`` RUN at a time: a
+    # fold copies its lists at every step, and these stay short.
+    start = F.struct(F.array().cast("array<array<string>>").alias("full"), none.alias("some"), F.lit("").alias("cur"))
 
     def step(acc: Column, s: Column) -> Column:
         # Sentences come stripped, so only the front of a tail can need it.
-        cur = acc["cur"]
+        cur, some = acc["cur"], acc["some"]
         fits = F.length(cur) + F.length(s) + 1 <= max_chars
         tail = lstrip(F.right(cur, F.lit(overlap))) if overlap else F.lit("")
         begin = F.when(fits, cur).otherwise(tail)
-        done = F.when(fits | (cur == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        return F.struct(done.alias("done"), F.concat(begin, F.when(begin == "", "").otherwise(" "), s).alias("cur"))
+        more = ~fits & (cur != "")
+        move = more & (F.size(some) >= RUN)
+        full = F.when(move, F.concat(acc["full"], F.array(some))).otherwise(acc["full"])
+        kept = F.when(move, F.array(cur)).when(more, F.concat(some, F.array(cur))).otherwise(some)
+        return F.struct(full.alias("full"), kept.alias("some"), F.concat(begin, F.when(begin == "", "").otherwise(" "), s).alias("cur"))
+
+    return F.aggregate(sentences, start, step, lambda a: F.concat(F.flatten(a["full"]), a["some"], F.when(a["cur"] == "", none).otherwise(F.array(a["cur"]))))
+
 
-    return F.aggregate(sentences, start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+RUN = 128
 
 
 def first_distinct(texts: Column) -> Column:
@@ -112,7 +125,16 @@ def first_distinct(texts: Column) -> Column:
 
 
 def drop_contained(texts: Column) -> Column:
-    """Of distinct texts those that no other text contains.  The pairs are never
-    made: each text asks whether a longer one holds it.  ``texts`` should be a
-    column, not an expression: it is read once per element."""
-    return F.filter(texts, lambda x: ~F.exists(texts, lambda y: (F.length(y) > F.length(x)) & F.contains(y, x)))
+    """Of distinct texts those that no other text contains.  ``texts`` should be a
+    column, not an expression: it is read once per element.
+
+    A text that another one holds occurs at least twice in all texts laid end to
+    end, once as itself; that is one plain search a text.  Only those few that do
+    are compared with the longer ones."""
+    all_of_it = F.concat_ws("\x02", texts)
+
+    def held(x: Column, whole: Column) -> Column:
+        again = F.substring(whole, F.instr(whole, x) + 1, F.length(whole))
+        return F.contains(again, x) & F.exists(texts, lambda y: (F.length(y) > F.length(x)) & F.contains(y, x))
+
+    return F.transform(F.array(all_of_it), lambda whole: F.filter(texts, lambda x: ~held(x, whole)))[0]

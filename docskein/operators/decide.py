@@ -43,16 +43,23 @@ class ReplayProvider:
 
 class LiveProvider:
     """``call(kind, dict of keys) -> JSON string``; a call that keeps failing
-    leaves null, so one bad request costs no other."""
+    leaves null, so one bad request costs no other.
 
-    def __init__(self, call: Callable[[str, dict], str], *, retries: int = 5, delay: float = 1.0, longest: float = 60.0) -> None:
+    A call is tried ``retries`` more times, ``delay`` seconds apart and doubling up
+    to ``longest``; the whole of that is done ``attempts`` times, with
+    min(2 ** n, 10) seconds (times ``delay``) in between.  Requests are dealt to
+    ``in_flight`` tasks, each of which makes one call at a time: no more than that
+    many calls are under way, however large the cluster."""
+
+    def __init__(self, call: Callable[[str, dict], str], *, retries: int = 5, delay: float = 1.0, longest: float = 60.0, attempts: int = 1, in_flight: int = 8) -> None:
         self.call, self.retries, self.delay, self.longest = call, retries, delay, longest
+        self.attempts, self.in_flight = attempts, in_flight
 
     def attach(self, kind: str, requests: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
-        call, retries, delay, longest = self.call, self.retries, self.delay, self.longest
+        call, retries, delay, longest, attempts = self.call, self.retries, self.delay, self.longest, self.attempts
         asked = requests.withColumn("payload", F.lit(None).cast("string")).withColumn("_ask", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
-        def one(row: dict) -> str | None:
+        def once(row: dict) -> str | None:
             for k in range(retries + 1):
                 try:
                     return call(kind, row)
@@ -61,9 +68,18 @@ class LiveProvider:
                         time.sleep(min(delay * 2**k, longest))
             return None
 
+        def one(row: dict) -> str | None:
+            for n in range(attempts):
+                told = once(row)
+                if told is not None:
+                    return told
+                if n + 1 < attempts:
+                    time.sleep(delay * min(2**n, 10))
+            return None
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["payload"] = [one(dict(zip(keys, r))) if ask else None for ask, r in zip(b["_ask"], b[keys].itertuples(index=False))]
+                b["payload"] = [one(dict(zip(keys, r))) if ask else None for ask, r in zip(b["_ask"], b[keys].itertuples(index=False, name=None))]
                 yield b
 
-        return asked.mapInPandas(run, asked.schema).drop("_ask")
+        return asked.repartition(self.in_flight).mapInPandas(run, asked.schema).drop("_ask")

@@ -93,7 +93,6 @@ def reflow(lines: DataFrame, *, id_col: str = "doc_id", rules: T.TextRules = T.T
     df = df.withColumn("piece", F.when(F.col("prev").isNull() | tight, body).otherwise(F.concat(F.lit(" "), body)))
     parts = F.array_sort(F.collect_list(F.struct("ord", "piece")))
     df = df.groupBy(id_col, "g").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"), F.max("item").alias("item"))
-    cut = F.split(F.regexp_replace("text", f"([{rules.reflow_ends}]{T.REFLOW_CLOSERS}*)", f"$1{T.CUT}"), T.CUT, -1)
-    sentences = F.when(F.col("item"), F.array("text")).otherwise(F.filter(F.transform(cut, T.strip), lambda s: s != ""))
+    sentences = F.when(F.col("item"), F.array("text")).otherwise(T.cut_after_ends(F.col("text"), rules.reflow_ends, T.REFLOW_CLOSERS))
     df = df.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("g", sentences.alias("s")))).alias("all"))
     return df.select(id_col, F.posexplode(F.flatten(F.transform("all", lambda a: a["s"]))).alias("sent_no", "text"))

@@ -18,7 +18,10 @@ def candidate_blocks(instances: DataFrame, properties: DataFrame, *, block: int
     )
     last = lambda n: F.floor((F.col(n) - 1) / block).cast("int")
     size = lambda n, b: F.least(F.lit(block), F.col(n) - F.col(b) * block)
-    df = df.withColumn("src_block", F.explode(F.sequence(F.lit(0), last("ns")))).withColumn("dest_block", F.explode(F.sequence(F.lit(0), last("nd"))))
+    # Between the two the rows are dealt out anew, so that no task makes all
+    # blocks of a property.
+    df = df.withColumn("src_block", F.explode(F.sequence(F.lit(0), last("ns")))).repartition("property_iri", "src_block")
+    df = df.withColumn("dest_block", F.explode(F.sequence(F.lit(0), last("nd"))))
     return df.select("property_iri", "src_block", "dest_block", (size("ns", "src_block") * size("nd", "dest_block")).cast("long").alias("n_pairs"))
 
 

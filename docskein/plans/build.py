@@ -1,71 +1,110 @@
-"""End to end: documents to a validated graph, every stage a table of its own."""
+"""End to end: files to a validated graph, every stage a table of its own.
+
+Each stage is written once, with the answers of the provider in it; what follows
+reads the table, so every request is made once and one run tells one story.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docskein.functions.iri import stable_id
 from docskein.functions.text import TextRules
-from docskein.operators import classes, properties, views
+from docskein.operators import classes as C
+from docskein.operators import properties, requests as R, views
+from docskein.operators.check import require
+from docskein.plans import chains
 from docskein.sources import export
-
-MENTIONS = "array<struct<class: string, label: string, source: string>>"
-VERDICT = "prohibited boolean, confidence double, justification string"
+from docskein.sources.pages import first_pages
+from docskein.sources.stages import Stages
 
 
 @dataclass
 class Graph:
+    """Tables of a finished run (all of them written) and its stage store."""
+
+    stages: Stages
+    file_types: DataFrame
+    chunks: DataFrame
     view_texts: DataFrame
     instances: DataFrame
     members: DataFrame
     edges: DataFrame
     errors: DataFrame
+    summary: DataFrame
 
     def write(self, folder: str) -> None:
-        """Stage tables as Parquet, the graph as CSV and Turtle."""
-        for name in ("view_texts", "instances", "members", "edges", "errors"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-        spark = self.instances.sparkSession
-        nodes, edges = (spark.read.parquet(f"{folder}/{n}") for n in ("instances", "edges"))
+        """The graph as CSV and Turtle, and the run's summary as JSON."""
+        files = self.members.groupBy("instance_id").agg(F.min("file_id").alias("file_id"))
+        nodes = self.instances.join(files, "instance_id")
         export.write_csv(export.nodes_table(nodes), f"{folder}/nodes.csv")
-        export.write_csv(export.relationships_table(edges), f"{folder}/relationships.csv")
-        export.write_turtle(export.triples(nodes, edges), f"{folder}/graph.ttl")
+        export.write_csv(export.relationships_table(self.edges), f"{folder}/relationships.csv")
+        export.write_csv(export.node_files(self.members), f"{folder}/node_files.csv")
+        export.write_turtle(export.triples(self.instances, self.edges, files=self.members.select("instance_id", "file_id")), f"{folder}/graph.ttl")
+        self.errors.write.mode("overwrite").json(f"{folder}/errors.json")
+        self.summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary.json")
 
 
 def build_graph(
-    docs: DataFrame, known: DataFrame, props: DataFrame, provider, view_patterns: dict[str, str], *, same: Column | None = None, id_col: str = "doc_id",
-    text_col: str = "text", rules: TextRules = TextRules(), rounds: int = 3, threshold: float = 0.5,
+    pages: DataFrame, known: DataFrame, props: DataFrame, provider, *, stages: Stages | None = None, view_patterns: dict[str, str] | None = None, rules: TextRules = TextRules(),
+    rounds: int = 3, threshold: float = 0.5, top: int = 3, block_rows: int = 200, edge_block: int = 20,
 ) -> Graph:
-    """The whole chain over many documents.
-
-    The provider is asked for kind ``mentions`` (keys: id, view_type, text), for
-    ``judge`` and ``correct`` (see ``review_loop``) and for ``verdict`` (keys:
-    property_iri, src_id, dest_id).  Edge candidates are mentions of one view
-    text whose classes a property joins.  Mentions of unknown classes and edges
-    that fail validation go to ``errors``.  ``same`` tells which labels of a
-    class are one instance (default: equal without case and outer spaces).
+    """The whole chain over ``pages`` (file_id, page_no, text) of many files.
+
+    The provider is asked, in this order, for ``file_type`` (a file's first two
+    pages), ``views`` (a chunk; not where ``view_patterns`` tells them),
+    ``mentions`` (a file's texts of a view), ``judge`` and ``correct`` (a block of
+    a class), ``synonyms`` (a block of a class), ``edges`` (two blocks of instances
+    of one file, for a property) and ``verdicts`` (a block of a property's
+    candidates).  See ``operators.requests`` for keys and answers.
+
+    Requests without a usable answer, mentions of unknown classes and edges that
+    fail validation are rows of ``errors`` (file_id, stage, message).
     """
-    texts = views.view_texts(docs, view_patterns, id_col=id_col, text_col=text_col, rules=rules)
-    asked = provider.attach("mentions", texts, [id_col, "view_type", "text"])
-    found = asked.select(F.col(id_col).cast("string").alias("file_id"), "view_type", stable_id(id_col, "view_type", "text").alias("source_id"), F.explode(F.from_json("payload", MENTIONS)).alias("m"))
-    found = classes.resolve_classes(found.select("file_id", "view_type", "source_id", "m.*"), known)
-    found = found.withColumn("instance_id", stable_id("source_id", "class_iri", "label")).dropDuplicates(["instance_id"]).withColumn("ord", F.col("instance_id"))
-    lost = found.where("class_iri = ''").select("file_id", F.lit("classes").alias("stage"), F.concat(F.lit("unknown class "), "class").alias("message"))
-    judged = classes.accepted(classes.review_loop(found.where("class_iri <> ''"), provider, rounds=rounds))
-    group = same if same is not None else F.lower(F.trim("label"))
-    instances, members = classes.consolidate(judged, group)
-    files = members.groupBy("instance_id").agg(F.min("file_id").alias("file_id"))
-    instances = instances.join(files, "instance_id")
-    # Mentions of one text meet by its id: a text holds few of them.
-    placed = members.join(judged.select(F.col("instance_id").alias("mention_id"), "source_id", "class_iri"), "mention_id").select("instance_id", "source_id", "class_iri").distinct()
-    end = lambda side: placed.select("source_id", F.col("instance_id").alias(f"{side}_id"), F.col("class_iri").alias(f"{side}_class"))
-    wanted = props.select(F.col("iri").alias("property_iri"), "src_class", "dest_class")
-    pairs = end("src").join(wanted, "src_class").join(end("dest"), ["source_id", "dest_class"]).select("property_iri", "src_id", "dest_id").distinct()
-    told = F.from_json("payload", VERDICT)
-    verdicts = provider.attach("verdict", pairs, properties.EDGE).select(*properties.EDGE, told["prohibited"].alias("prohibited"), told["confidence"].alias("confidence"))
-    checked = properties.validate_edges(properties.accept_edges(verdicts, threshold=threshold), instances, props)
-    bad = checked.where("reason IS NOT NULL").select(F.lit(None).cast("string").alias("file_id"), F.lit("properties").alias("stage"), F.concat_ws(" ", "reason", *properties.EDGE).alias("message"))
-    return Graph(texts, instances, members, checked.where("reason IS NULL").drop("reason"), lost.unionByName(bad))
+    require(pages, "file_id", "page_no", "text")
+    require(known, "iri", "name", "view_type"), require(props, "iri", "src_class", "dest_class")
+    stages = stages or Stages(pages.sparkSession)
+    keep = stages.keep
+    pages = pages.withColumn("file_id", F.col("file_id").cast("string"))
+
+    typed = keep("file-type-answers", R.ask_file_types(first_pages(pages), provider))
+    types = keep("file-types", R.file_types(typed))
+    errors = R.unanswered(typed, "classify", "is_presentation boolean")
+    chunks = keep("chunks", chains.file_chunks(pages, types, rules=rules))
+    if view_patterns is None:
+        seen = keep("view-answers", R.ask_views(chunks, provider))
+        errors = errors.unionByName(R.unanswered(seen, "views"))
+        texts = chains.view_chain(seen, top=top)
+    else:
+        texts = views.dedup_views(views.view_spans(chunks, view_patterns, id_col="file_id", top=top, rules=rules), id_col="file_id")
+    texts = keep("view-texts", texts)
+
+    told = keep("mention-answers", R.ask_mentions(texts, known, provider))
+    found = keep("mentions", R.mentions(told, known))
+    errors = errors.unionByName(R.unanswered(told, "classes", R.MENTIONS))
+    errors = errors.unionByName(found.where("class_iri = ''").select("file_id", F.lit("classes").alias("stage"), F.concat(F.lit("unknown class "), "class").alias("message")))
+    judged, bad = R.review(found.where("class_iri <> ''"), known, provider, keep, rounds=rounds, block_rows=block_rows)
+    accepted = keep("accepted", C.accepted(judged).drop("judgment", "justification", "rounds"))
+    rows, asked = R.ask_synonyms(accepted, known, provider, block_rows=block_rows)
+    grouped = keep("synonym-answers", asked)
+    instances, members = R.merged(rows, grouped)
+    instances, members = keep("instances", instances), keep("members", members)
+    errors = errors.unionByName(bad).unionByName(R.unanswered(grouped, "consolidate", R.GROUPS))
+
+    # Instances meet in every file they were found in, whatever their view.
+    placed = members.select("instance_id", "file_id").distinct().join(instances.select("instance_id", "class_iri", "label"), "instance_id")
+    proposed = keep("edge-answers", R.ask_edges(R.candidate_requests(placed, props, block=edge_block), provider))
+    candidates = keep("candidates", R.proposed_edges(proposed))
+    weighed = keep("verdict-answers", R.ask_verdicts(candidates, instances, props, provider))
+    edges = properties.accept_edges(properties.join_verdicts(candidates, R.verdicts(weighed)), threshold=threshold)
+    checked = keep("validated", properties.validate_edges(edges, instances, props))
+    message = F.concat_ws(" ", "reason", *properties.EDGE)
+    errors = (
+        errors.unionByName(R.unanswered(proposed, "properties", R.PAIRS)).unionByName(R.unanswered(weighed, "properties", R.RELATIONS))
+        .unionByName(checked.where("reason IS NOT NULL").select(F.lit(None).cast("string").alias("file_id"), F.lit("properties").alias("stage"), message.alias("message")))
+    )
+    edges = checked.where("reason IS NULL").drop("reason")
+    summary = keep("summary", export.run_summary(instances, edges, files=pages.select("file_id").distinct()))
+    return Graph(stages, types, chunks, texts, instances, members, edges, keep("errors", errors), summary)

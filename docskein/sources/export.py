@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docskein.functions.iri import literal, local_name, node_iri, snake_case, term
+from docskein.functions.iri import full_iri, literal, local_name, node_iri, snake_case, term
 
 BASE = "http://example.org/graph"
 PREFIXES = {
@@ -44,44 +44,76 @@ def write_csv(table: DataFrame, path: str, *, one_file: bool = False) -> None:
     out.write.mode("overwrite").options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def triples(instances: DataFrame, edges: DataFrame, *, base: str = BASE) -> DataFrame:
-    """(subject, predicate, object): declarations, instances and edges.
+def node_files(members: DataFrame) -> DataFrame:
+    """Columns id:ID, file_id: every file an instance was found in, a row each."""
+    return members.select(F.col("instance_id").alias("id:ID"), "file_id").distinct()
+
+
+def triples(instances: DataFrame, edges: DataFrame, *, base: str = BASE, files: DataFrame | None = None, language: str = "ja") -> DataFrame:
+    """(section, subject, predicate, object): declarations of classes (section 1)
+    and properties (2), instances (3) and edges (4).
 
     An instance's IRI is made once from its label and id, so edges meet the
-    nodes they join; edges whose ends do not both exist are left out."""
-    own = instances.where(F.col("class_iri") != "").select("instance_id", "class_iri", "label", "file_id", node_iri(base, F.col("label"), F.sha2("instance_id", 256)).alias("node"))
+    nodes they join; edges whose ends do not both exist are left out.  ``files``
+    (instance_id, file_id) names all files of an instance, a triple each; without
+    it the column file_id does.  ``language`` tags labels (empty: none)."""
+    own = instances.where(F.col("class_iri") != "").select("instance_id", "class_iri", "label", *(["file_id"] if files is None else []), node_iri(base, F.col("label"), F.sha2("instance_id", 256)).alias("node"))
     a = F.lit("rdf:type")
-    classes = own.select("class_iri").distinct().select(term(F.col("class_iri")).alias("subject"), a.alias("predicate"), F.lit("owl:Class").alias("object"))
+    section = lambda n, df: df.select(F.lit(n).alias("section"), "subject", "predicate", "object")
+    declared = lambda df, column, kind: df.select(column).distinct().select(term(F.col(column)).alias("subject"), a.alias("predicate"), F.lit(kind).alias("object"))
     fact = lambda predicate, value: F.struct(F.lit(predicate).alias("predicate"), value.alias("object"))
-    facts = F.array(
-        fact("rdf:type", term(F.col("class_iri"))), fact("rdfs:label", F.concat(literal(F.col("label")), F.lit("@ja"))),
-        fact("ex:fileId", literal(F.when(F.col("file_id") != "", F.col("file_id")))), fact("ex:classInstanceId", literal(F.col("instance_id"))),
-    )
-    nodes = own.select(F.col("node").alias("subject"), F.explode(facts).alias("f")).select("subject", "f.*").where(F.col("object").isNotNull())
+    tag = F.lit(f"@{language}" if language else "")
+    facts = [fact("rdf:type", term(F.col("class_iri"))), fact("rdfs:label", F.concat(literal(F.col("label")), tag)), fact("ex:classInstanceId", literal(F.col("instance_id")))]
+    if files is None:
+        facts.append(fact("ex:fileId", literal(F.when(F.col("file_id") != "", F.col("file_id")))))
+    nodes = own.select(F.col("node").alias("subject"), F.explode(F.array(*facts)).alias("f")).select("subject", "f.*").where(F.col("object").isNotNull())
+    if files is not None:
+        found = files.where(F.coalesce("file_id", F.lit("")) != "").distinct().join(own.select("instance_id", "node"), "instance_id")
+        nodes = nodes.unionByName(found.select(F.col("node").alias("subject"), F.lit("ex:fileId").alias("predicate"), literal(F.col("file_id")).alias("object")))
     end = lambda side: own.select(F.col("instance_id").alias(f"{side}_id"), F.col("node").alias(f"{side}_node"))
     met = edges.select("src_id", "property_iri", "dest_id").distinct().join(end("src"), "src_id").join(end("dest"), "dest_id")
     links = met.select(F.col("src_node").alias("subject"), term(F.col("property_iri")).alias("predicate"), F.col("dest_node").alias("object"))
-    kinds = links.select("predicate").distinct().select(F.col("predicate").alias("subject"), a.alias("predicate"), F.lit("owl:ObjectProperty").alias("object"))
-    return classes.unionByName(kinds).unionByName(nodes).unionByName(links)
+    return (
+        section(1, declared(own, "class_iri", "owl:Class")).unionByName(section(2, declared(edges, "property_iri", "owl:ObjectProperty")))
+        .unionByName(section(3, nodes)).unionByName(section(4, links))
+    )
 
 
-def write_turtle(rows: DataFrame, path: str, *, one_file: bool = False) -> None:
-    """One statement per line, each file with its own prefixes' full IRIs
-    written out, so that every part file is a valid document by itself."""
-    def full(c):
-        out = F.col(c)
-        for prefix, iri in PREFIXES.items():
-            out = F.when(F.col(c).startswith(f"{prefix}:"), F.concat(F.lit(f"<{iri}"), F.substring_index(c, ":", -1), F.lit(">"))).otherwise(out)
-        return out
+def turtle_header(base: str = BASE) -> str:
+    lines = [f"@prefix {p}: <{base}#> ." if p == "ex" else f"@prefix {p}: <{iri}> ." for p, iri in PREFIXES.items()]
+    return "\n".join([*lines, "", "ex: a owl:Ontology .", ""])
 
-    lines = rows.select(F.concat_ws(" ", full("subject"), full("predicate"), full("object"), F.lit(".")).alias("line"))
-    lines = lines.orderBy("line")
-    (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)
+
+def turtle_blocks(rows: DataFrame) -> DataFrame:
+    """(section, subject, block): the statements of each subject as one Turtle
+    block, its types first; sections in their order give a document's body."""
+    order = F.when(F.col("predicate") == "rdf:type", 0).otherwise(1)
+    verb = F.when(F.col("predicate") == "rdf:type", "a").otherwise(F.col("predicate"))
+    parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), verb.alias("p"), F.col("object").alias("v"))))
+    body = F.array_join(F.transform(parts, lambda x: F.concat_ws(" ", x["p"], x["v"])), " ;\n    ")
+    return rows.groupBy("section", "subject").agg(body.alias("body")).select("section", "subject", F.concat("subject", F.lit(" "), "body", F.lit(" .")).alias("block"))
+
+
+def write_turtle(rows: DataFrame, path: str, *, one_file: bool = False) -> None:
+    """A block per subject, sections in order.  Files repeat full IRIs, so that
+    every part file is a valid document by itself; ``one_file`` (for graphs that
+    fit a task) writes prefixes and the ontology's line first."""
+    if one_file:
+        out = turtle_blocks(rows).orderBy("section", "subject").coalesce(1)
+        head = rows.sparkSession.createDataFrame([(0, "", turtle_header())], "section int, subject string, block string")
+        head.unionByName(out.select(F.col("section").cast("int").alias("section"), "subject", "block")).coalesce(1).sortWithinPartitions("section", "subject").select(F.col("block").alias("line")).write.mode("overwrite").text(path)
+        return
+    full = rows.select("section", *[full_iri(F.col(c), PREFIXES).alias(c) for c in ("subject", "predicate", "object")])
+    lines = full.select("section", F.concat_ws(" ", "subject", "predicate", "object", F.lit(".")).alias("line"))
+    lines.orderBy("section", "line").select("line").write.mode("overwrite").text(path)
 
 
-def run_summary(instances: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: classes (instances) and properties (edges)."""
+def run_summary(instances: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: classes (instances), properties (edges) and files."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
-    both = n(instances, "classes").unionByName(n(edges, "properties"))
+    parts = {"classes": instances, "properties": edges} | ({"files": files} if files is not None else {})
+    both = None
+    for name, df in parts.items():
+        both = n(df, name) if both is None else both.unionByName(n(df, name))
     pick = lambda name: F.max(F.when(F.col("what") == name, F.col("n"))).alias(name)
-    return both.agg(pick("classes"), pick("properties"))
+    return both.agg(*[pick(name) for name in parts])

@@ -12,7 +12,24 @@ PROPERTY_DDL = "iri string, name string, description string, src_class string, d
 def read_metamodel(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(classes, properties) of a JSON file ``{"classes": [...], "properties":
     [...]}``; missing fields are null."""
-    both = spark.read.schema(f"classes array<struct<{_struct(CLASS_DDL)}>>, properties array<struct<{_struct(PROPERTY_DDL)}>>").option("multiLine", True).json(path)
+    return _frames(spark.read.schema(metamodel_ddl()).option("multiLine", True).json(path))
+
+
+def parse_metamodel(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """The same from the file's text, for files that only the driver sees."""
+    told = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", metamodel_ddl()).alias("m"))
+    return _frames(told.select("m.classes", "m.properties"))
+
+
+def metamodel_ddl() -> str:
+    return f"classes array<struct<{_struct(CLASS_DDL)}>>, properties array<struct<{_struct(PROPERTY_DDL)}>>"
+
+
+def classes_of_view(classes: DataFrame, view: str) -> DataFrame:
+    return classes.where(F.col("view_type") == view)
+
+
+def _frames(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(both.select(F.posexplode(c).alias("ord", "x")).select("ord", "x.*") for c in ("classes", "properties"))
 
 

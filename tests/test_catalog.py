@@ -18,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", CATALOG)
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_equals_sql(spark, duck, name):
     query, sql = CATALOG[name]
     got = query(spark, f"{DATA}/sf0.001")

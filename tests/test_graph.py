@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docskein.functions.iri import stable_id
-from docskein.operators import classes, properties
+from docskein.functions.iri import full_iri, stable_id, term
+from docskein.operators import classes, properties, requests
 from docskein.operators.decide import LiveProvider, ReplayProvider, RuleProvider
 from docskein.plans import shop
 from docskein.plans.catalog import CATALOG
@@ -110,12 +110,20 @@ def test_exports(spark, model, things, tmp_path):
     assert text == f'id:ID,iri,:LABEL,label,file_id\ni1,{N}a,a,one,f1\ni2,{N}b-c,b_c,"say ""x""\n",f1\n'
     rows = export.triples(things, edges)
     got = rows.collect()
+    assert {r.section for r in got} == {1, 2, 3, 4}
     declared = {r.subject for r in got if r.predicate == "rdf:type"}
     met = [r for r in got if r.predicate == f"<{N}p>"]
     assert len(met) == 1 and {met[0].subject, met[0].object} <= declared
     assert '"say \\"x\\"\\n"@ja' in {r.object for r in got}
     export.write_turtle(rows, f"file://{tmp_path}/t", one_file=True)
-    lines_ = next((tmp_path / "t").glob("*.txt")).read_text().splitlines()
+    text = next((tmp_path / "t").glob("*.txt")).read_text()
+    head, _, body = text.partition("ex: a owl:Ontology .\n")
+    assert head.count("@prefix") == 5 and "@prefix ex: <http://example.org/graph#> ." in head
+    blocks = [b for b in body.strip().split(" .\n")]
+    assert len(blocks) == 2 + 1 + 2 + 1 and blocks[0] == f"<{N}a> a owl:Class" and blocks[2] == f"<{N}p> a owl:ObjectProperty"
+    assert blocks[3].startswith("<http://example.org/graph#instance/one-") and f' a <{N}a> ;\n    ex:classInstanceId "i1" ;\n    ex:fileId "f1" ;\n    rdfs:label "one"@ja' in blocks[3]
+    export.write_turtle(rows, f"file://{tmp_path}/parts")
+    lines_ = [x for f in (tmp_path / "parts").glob("*.txt") for x in f.read_text().splitlines()]
     assert len(lines_) == len(got) and all(x.endswith(" .") and x.startswith("<") for x in lines_)
     assert [tuple(r) for r in export.run_summary(things, edges.distinct()).collect()] == [(3, 2)]
 
@@ -136,3 +144,36 @@ def test_ranges_are_the_blocks(spark):
 def test_every_property_has_its_blocks(spark):
     told = CATALOG["property_block_ranges"][0](spark, f"{DATA}/sf0.001")
     assert {r.property_iri for r in told.select("property_iri").distinct().collect()} == {p["iri"] for p in shop.PROPERTIES}
+
+
+def test_iris(spark):
+    df = spark.createDataFrame([(x,) for x in ("ex:a", "ex:a:b", "http://h/a b>", "rdf:type", "urn:x")], "i string")
+    made = [r.t for r in df.select(term(F.col("i")).alias("t")).collect()]
+    assert made == ["ex:a", "<ex:a:b>", "<http://h/a%20b%3E>", "rdf:type", "<urn:x>"]
+    full = [r.t for r in df.select(full_iri(F.col("i"), {"ex": "http://e#"}).alias("t")).collect()]
+    assert full[:2] == ["<http://e#a>", "<http://e#a:b>"] and full[4] == "urn:x"
+
+
+def test_null_classes_stay(spark):
+    rows = spark.createDataFrame([("1", None, "a", "s", "f", 1), ("2", None, "a", "s", "f", 2)], "instance_id string, class_iri string, label string, source string, file_id string, ord int")
+    merged, members = classes.consolidate(rows, F.col("label"))
+    assert [tuple(r)[:2] for r in merged.collect()] == [("1", "")] and members.count() == 2
+
+
+def test_synonym_groups(spark):
+    known, _ = shop.metamodel(spark)
+    rows = spark.createDataFrame([(f"i{k}", N + "a", x, "s", f"f{k}") for k, x in enumerate(["ab", "ab", "ab", "ab"])] + [("j", N + "b", "alone", "s", "f")], "instance_id string, class_iri string, label string, source string, file_id string")
+    numbered, asked = requests.ask_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit(json.dumps({"groups": [
+        {"indices": [1, 3, 9, -1], "canonical_label": "invented"}, {"indices": [3, 0], "canonical_label": "ab"}]}))}))
+    assert asked.count() == 1
+    merged, members = requests.merged(numbered, asked)
+    assert sorted((r.instance_id, r.label, r.n_files) for r in merged.collect()) == [("i0", "ab", 1), ("i1", "ab", 2), ("i2", "ab", 1), ("j", "alone", 1)]
+    assert {r.mention_id: r.instance_id for r in members.collect()} == {"i0": "i0", "i1": "i1", "i2": "i2", "i3": "i1", "j": "j"}
+    broken, _ = requests.merged(numbered, asked.withColumn("payload", F.lit("no json")))
+    assert broken.count() == 5
+
+
+def test_one_hot_label_is_spread_over_blocks(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("i"), "id").alias("instance_id"), F.lit("c").alias("class_iri"), F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("label"))
+    sizes = classes.number_in_blocks(rows, block_rows=50, by=F.col("label")).groupBy("block").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 150 and sizes[1] > 10

@@ -104,3 +104,32 @@ def test_view_dedup_and_nesting(spark):
 @pytest.mark.parametrize("label,want", [(" a  b/c ", "a-b-c"), ("x" * 60, "x" * 48), ("価値 A", "価値-A")])
 def test_slug(spark, label, want):
     assert spark.range(1).select(slug(F.lit(label))).first()[0] == want
+
+
+def test_no_character_cuts_a_text(spark):
+    """Sentences are cut at their ends only, whatever control characters they hold."""
+    df = spark.createDataFrame([(1, "a\x01b。c\x02d！」e\n\nf")], "doc_id int, text string")
+    assert [r.text for r in chunks.sentences(df).orderBy("pos").collect()] == ["a\x01b。", "c\x02d！", "」e", "f"]
+    assert [r.text for r in lines.reflow(lines.text_lines(df, keep_blank=True)).orderBy("sent_no").collect()] == ["a\x01b。", "c\x02d！」", "e", "f"]
+
+
+def test_contained_texts_with_separators(spark):
+    rows = [["ab", "b", "a\x02b", "xaby"], ["x", "y", "x\x02y"], ["aa", "aaa"], [], ["abc", "bcd"]]
+    df = spark.createDataFrame([(r,) for r in rows], "texts array<string>")
+    got = [r.t for r in df.select(T.drop_contained(F.col("texts")).alias("t")).collect()]
+    assert got == [[x for x in r if not any(len(y) > len(x) and x in y for y in r)] for r in rows]
+
+
+def test_many_chunks(spark):
+    n = 3000
+    df = spark.createDataFrame([(1, "word number one. " * n)], "doc_id int, text string")
+    small = T.TextRules(split_ends=".", max_chars=40, overlap_chars=4)
+    got = [r.text for r in chunks.char_chunks(df, rules=small).orderBy("chunk_no").collect()]
+    done, cur = [], ""
+    for s in ["word number one."] * n:
+        if len(cur) + len(s) + 1 <= 40:
+            cur = f"{cur} {s}".strip()
+        else:
+            done.append(cur)
+            cur = f"{cur[-4:].lstrip()} {s}"
+    assert got == [*done, cur] and len(got) > 1000
