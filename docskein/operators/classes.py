@@ -96,6 +96,14 @@ def review_loop(instances: DataFrame, provider, *, rounds: int = 3) -> DataFrame
     return df.withColumns({"justification": F.when(left, note).otherwise(F.col("justification")), "judgment": F.when(left, ACCEPT).otherwise(F.col("judgment"))})
 
 
+def three_way(judged: DataFrame) -> DataFrame:
+    """``judged`` plus ``section``: 0 for accepted rows, 1 for rows under review, 2
+    for rejected ones (no judgment is a rejection).  Sections in their order, and
+    rows in theirs, give the union of the three."""
+    section = F.when(F.col("judgment") == ACCEPT, 0).when(F.col("judgment") == REVIEW, 1).otherwise(2)
+    return judged.withColumn("section", section)
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.coalesce("judgment", F.lit(REJECT)) != REJECT)
 

@@ -31,9 +31,7 @@ def merge_lines(lines: DataFrame, *, id_col: str = "doc_id", rules: T.TextRules
     item.  Excluded lines go where a sentence would begin, and are text inside
     one.  A line's last hyphen joins words; other joins follow ``_glue``.
 
-    Gaps and islands over one window per document.  One deviation is known: a
-    line that ends in an end mark and a hyphen, before a line of closing
-    brackets only.
+    Gaps and islands over one window per document.
     """
     W = Window.partitionBy(id_col).orderBy("ord")
     so_far = W.rowsBetween(Window.unboundedPreceding, 0)
@@ -42,7 +40,16 @@ def merge_lines(lines: DataFrame, *, id_col: str = "doc_id", rules: T.TextRules
         "*", (T.strip(F.col("t")) == "").alias("blank"), F.col("t").rlike(T.BULLET).alias("item"),
         F.col("t").rlike(T.sentence_end(rules.merge_ends)).alias("ends"), F.col("t").rlike(T.EXCLUDED).alias("out"),
     )
-    df = df.withColumn("mode", F.last(F.when(F.col("blank"), "B").when(F.col("item"), "L"), ignorenulls=True).over(so_far))
+    # A line of closing brackets ends a sentence if it is joined to an end mark:
+    # the line before it, or before lines of brackets and a hyphen only, is an end
+    # but for its hyphen.
+    through = F.col("t").rlike(f"^{T.SPACE}*{T.CLOSERS}*-$")
+    df = df.select(
+        "*", F.last(F.when(F.col("blank"), "B").when(F.col("item"), "L"), ignorenulls=True).over(so_far).alias("mode"),
+        F.last(F.when(~through, F.col("t")), ignorenulls=True).over(so_far).alias("base"),
+    )
+    joined = F.col("t").rlike(f"^{T.SPACE}*{T.CLOSERS}+{T.SPACE}*$") & F.coalesce(F.lag("base").over(W).rlike(f"[{rules.merge_ends}]{T.CLOSERS}*-$"), F.lit(False)) & F.coalesce(F.lag("t").over(W).endswith("-"), F.lit(False))
+    df = df.withColumn("ends", F.col("ends") | joined)
     df = df.select(
         "*", F.lag("blank").over(W).alias("p_blank"), F.lag("ends").over(W).alias("p_ends"),
         F.coalesce(F.lag("mode").over(W), F.lit("B")).alias("p_mode"), F.coalesce(F.lag("out").over(W), F.lit(False)).alias("p_out"),
@@ -76,17 +83,19 @@ def reflow(lines: DataFrame, *, id_col: str = "doc_id", rules: T.TextRules = T.T
 
     Blank lines and list items end what is open, items stand alone; other lines
     are joined (no space between two CJK characters, hyphens join words) and
-    cut after every end mark with its closing marks.  Closing marks that begin
-    the next line after a hyphen stay with the end mark before it.
+    cut after every end mark with its closing marks.  An end mark and a hyphen at
+    a line's end part it from the next line, and the hyphen goes.
     """
     W = Window.partitionBy(id_col).orderBy("ord")
     df = lines.select(id_col, "ord", T.strip(F.col("text")).alias("t"))
     df = df.withColumn("blank", F.col("t") == "").withColumn("item", F.col("t").rlike(T.REFLOW_BULLET))
     apart = F.col("blank") | F.col("item")
-    df = df.withColumn("begins", apart | F.coalesce(F.lag(apart).over(W), F.lit(True)))
+    done = F.col("t").rlike(f"[{rules.reflow_ends}]{T.REFLOW_CLOSERS}*-$")
+    df = df.withColumn("last", apart | F.coalesce(F.lead(apart).over(W), F.lit(True)))
+    df = df.withColumn("begins", apart | F.coalesce(F.lag(apart | done).over(W), F.lit(True)))
     df = df.select(
         id_col, "ord", "t", "blank", "item", F.sum(F.col("begins").cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0)).alias("g"),
-        F.when(~F.col("begins"), F.lag("t").over(W)).alias("prev"), F.coalesce(F.lead("begins").over(W), F.lit(True)).alias("last"),
+        F.when(~F.col("begins"), F.lag("t").over(W)).alias("prev"), "last",
     ).where(~F.col("blank"))
     body = F.when(F.col("last"), F.col("t")).otherwise(F.regexp_replace("t", "-$", ""))
     tight = F.endswith("prev", F.lit("-")) | (F.col("prev").rlike(f"{T.CJK}$") & F.col("t").rlike(f"^{T.CJK}"))
@@ -96,3 +105,11 @@ def reflow(lines: DataFrame, *, id_col: str = "doc_id", rules: T.TextRules = T.T
     sentences = F.when(F.col("item"), F.array("text")).otherwise(T.cut_after_ends(F.col("text"), rules.reflow_ends, T.REFLOW_CLOSERS))
     df = df.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("g", sentences.alias("s")))).alias("all"))
     return df.select(id_col, F.posexplode(F.flatten(F.transform("all", lambda a: a["s"]))).alias("sent_no", "text"))
+
+
+def transform_files(lines: DataFrame, files: DataFrame, *, id_col: str = "file_id", rules: T.TextRules = T.TextRules()) -> DataFrame:
+    """(id_col, file_name, sent_no, text): lines re-flowed, under their files'
+    names ("unknown" where there is none)."""
+    names = files.select(id_col, "file_name").dropDuplicates([id_col])
+    out = reflow(lines, id_col=id_col, rules=rules).join(names, id_col, "left")
+    return out.select(id_col, F.coalesce("file_name", F.lit("unknown")).alias("file_name"), "sent_no", "text")

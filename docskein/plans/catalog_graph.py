@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docskein.functions.iri import long_literal
 from docskein.operators import classes as C
-from docskein.operators import properties, requests as R, views
+from docskein.operators import lines, properties, requests as R, views
 from docskein.operators.decide import RuleProvider
 from docskein.plans import build, chains, shop
 from docskein.plans.catalog_base import (
@@ -306,6 +306,18 @@ def class_review_blocks(spark, sf_dir):
     return done.select("instance_id", "label", "judgment", "rounds")
 
 
+def class_sections(spark, sf_dir):
+    """Accepted, reviewed and rejected rows, in the order of their union."""
+    rows, (known, _) = shop.instances(spark, sf_dir), shop.metamodel(spark)
+    told = C.three_way(R.judged(rows, R.ask_judgments(rows, known, block_rules())))
+    place = F.row_number().over(Window.partitionBy("class_iri").orderBy("section", "instance_id"))
+    return told.withColumn("place", place).where("place <= 5").select("class_iri", "place", "section", "instance_id")
+
+
+CLASS_SECTIONS = f"""WITH {INSTANCES_SQL}, {_LIMITS}, j AS (SELECT class_iri, instance_id, CASE {_VERDICT.format('label')} WHEN 'ACCEPT' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END AS section FROM instances JOIN limits USING (class_iri))
+SELECT class_iri, row_number() OVER (PARTITION BY class_iri ORDER BY section, instance_id)::INT AS place, section, instance_id FROM j QUALIFY place <= 5"""
+
+
 def class_accepted(spark, sf_dir):
     """What the filter lets through; no judgment is a rejection."""
     rows, (known, _) = shop.instances(spark, sf_dir), shop.metamodel(spark)
@@ -431,6 +443,30 @@ def _turtle_sql() -> str:
 SELECT section::INT AS section, subject, subject || ' ' || string_agg(verb || ' ' || object, ' ;' || chr(10) || '    ' ORDER BY predicate <> 'rdf:type', verb, object) || ' .' AS block FROM t GROUP BY section, subject"""
 
 
+def csv_round_trip(spark, sf_dir):
+    """Nodes with quotes, commas and line ends, written as CSV and read back."""
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    rows = pages.select(shop.key("page", "page_id").alias("instance_id"), F.lit(NS + "page").alias("class_iri"), F.concat(F.lit('a "b", '), F.left("html", F.lit(40)), F.lit("\n x ")).alias("label"), F.lit("").alias("file_id"))
+    stages = Stages(spark)
+    export.write_csv(export.nodes_table(rows), stages.path("nodes-csv"))
+    names = "`id:ID` string, iri string, `:LABEL` string, label string, file_id string"
+    back = spark.read.schema(names).options(header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(stages.path("nodes-csv"))
+    return back.select("id:ID", ":LABEL", "label", F.coalesce("file_id", F.lit("")).alias("file_id"))
+
+
+CSV_ROUND_TRIP = """SELECT 'page:' || page_id AS "id:ID", 'page' AS ":LABEL", 'a "b", ' || left(html, 40) || chr(10) || ' x ' AS label, '' AS file_id FROM pages WHERE html IS NOT NULL"""
+
+
+def transform_files(spark, sf_dir):
+    """Re-flowed lines under their files' names; every third document has none."""
+    docs = table(spark, sf_dir, "documents")
+    names = docs.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("file_name"))
+    return lines.transform_files(lines.text_lines(docs.select("doc_id", "text"), keep_blank=True), names, id_col="doc_id", rules=RULES)
+
+
+TRANSFORM_FILES = f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'f' || doc_id END AS file_name, sent_no, text FROM ({BASE['text_reflow'][1]})"
+
+
 def summary_files(spark, sf_dir):
     """Instances, edges and files of a run."""
     return export.run_summary(shop.instances(spark, sf_dir), BASE["property_verdicts"][0](spark, sf_dir), files=file_pages(spark, sf_dir).select("file_id").distinct())
@@ -514,8 +550,8 @@ CHAINS = {
     "line_merge_chunked": (line_merge_chunked, LINE_MERGE_CHUNKED), "stage_latest": (stage_latest, STAGE_LATEST), "view_parse": (view_parse, VIEW_PARSE), "view_nested": (view_nested, VIEW_NESTED),
     "mention_requests": (mention_requests, MENTION_REQUESTS), "mention_rows": (mention_rows, MENTION_ROWS), "message_texts": (message_texts, MESSAGE_TEXTS), "prompts": (prompts, PROMPTS),
     "metamodel_scan": (metamodel_scan, METAMODEL_SCAN), "class_names": (class_names, CLASS_NAMES), "class_judge_blocks": (class_judge_blocks, CLASS_JUDGE_BLOCKS),
-    "class_review_blocks": (class_review_blocks, CLASS_LOOP), "class_accepted": (class_accepted, CLASS_ACCEPTED), "class_synonyms": (class_synonyms, CLASS_SYNONYMS),
+    "class_review_blocks": (class_review_blocks, CLASS_LOOP), "class_accepted": (class_accepted, CLASS_ACCEPTED), "class_sections": (class_sections, CLASS_SECTIONS), "class_synonyms": (class_synonyms, CLASS_SYNONYMS),
     "edge_requests": (edge_requests, EDGE_REQUESTS), "edges_proposed": (edges_proposed, EDGES_PROPOSED), "edge_verdict_blocks": (edge_verdict_blocks, EDGE_VERDICT_BLOCKS),
-    "nodes_files": (nodes_files, NODES_FILES), "turtle_document": (turtle_document, _turtle_sql()), "summary_files": (summary_files, SUMMARY_FILES), "long_literals": (long_literals, LONG_LITERALS),
+    "nodes_files": (nodes_files, NODES_FILES), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "transform_files": (transform_files, TRANSFORM_FILES), "turtle_document": (turtle_document, _turtle_sql()), "summary_files": (summary_files, SUMMARY_FILES), "long_literals": (long_literals, LONG_LITERALS),
     "graph_edges_two_views": (graph_edges_two_views, GRAPH_EDGES), "graph_errors": (graph_errors, GRAPH_ERRORS),
 }

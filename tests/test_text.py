@@ -52,7 +52,7 @@ def model(ts):
 
 def test_merge_equals_a_sequential_model(spark):
     rng = random.Random(5)
-    pool = ["word", " lead", "tail ", "end。", "stop!」", "re-", "", "　", "• item", "(1) one", "2) two", "a. x", "目 次", "別8-1", "「open（", "、comma", "two  \tspaces", "soft­hyphen", "・no space", "\r"]
+    pool = ["word", " lead", "tail ", "end。", "stop!」", "re-", "", "　", "• item", "(1) one", "2) two", "a. x", "目 次", "別8-1", "「open（", "、comma", "two  \tspaces", "soft­hyphen", "・no space", "\r", "re。-", "」", " 』 ", "」-", "-"]
     texts = {d: [rng.choice(pool) for _ in range(rng.randrange(9))] for d in range(1500)}
     got = merged(spark, texts)
     for d, ts in texts.items():
@@ -66,6 +66,40 @@ def test_reflow_by_hand(spark):
     }
 
 
+CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+
+
+def reflow_model(ts):
+    """One buffer, flushed at ends: the sentences of a document."""
+    out, buf = [], ""
+    for t in [x.strip() for x in ts] + [""]:
+        item = re.match(r"^(\d+[.)]|[A-Za-z]\)|[・•\-–—◇◆●■□①-⑩])", t)
+        if not t or item:
+            out += [buf.strip()] if buf.strip() else []
+            buf = ""
+            out += [t] if item else []
+            continue
+        if buf.endswith("-"):
+            buf = buf[:-1] + t
+        elif buf and CJK.match(buf[-1]) and CJK.match(t[0]):
+            buf += t
+        else:
+            buf = f"{buf} {t}" if buf else t
+        while m := re.search(r"""[。．！？!?][」』）】》"']*""", buf):
+            out += [buf[: m.end()].strip()]
+            buf = buf[m.end() :].lstrip()
+    return out
+
+
+def test_reflow_equals_a_sequential_model(spark):
+    rng = random.Random(6)
+    pool = ["word", "終わり。", "漢字", "かな", "re-", "end。-", "」", "stop!」 more", "", "　", "・ item", "1. x", "a) y", "A? B！", "、c", "wo-rd", "！」-", "?"]
+    texts = {d: [rng.choice(pool) for _ in range(rng.randrange(8))] for d in range(1500)}
+    got = merged(spark, texts, lines.reflow)
+    for d, ts in texts.items():
+        assert got.get(d, []) == reflow_model(ts), ts
+
+
 def test_chunks(spark):
     rng = random.Random(3)
     texts = ["", None, "x" * 90, " a!  b?\n\nc", *("".join(rng.choice(["word ", "end! ", "long" * 9, "\n\n", "　", "😀"]) for _ in range(rng.randrange(120))) for _ in range(150))]
