@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize, release
+from docskein.llm.common import materialize, release, skewed_join
 
 
 def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -30,10 +30,13 @@ def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFram
             .select(F.col("u").alias("node"), "m")
         )
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        # A label that many nodes have is broadcast, so that its nodes stay apart.
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = materialize(labels.select(F.col("node").alias("label"), F.col("label").alias("next")).join(sizes, "label"), f"{name}-jump", rows=n)
         after = materialize(
-            low.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("changed")), name, rows=n
+            skewed_join(low, jump, ["label"], "n").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("changed")), name, rows=n
         )
+        release(jump)
         release(labels)
         labels = after
     release(both)

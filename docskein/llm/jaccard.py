@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize, need, release, row_key, slices
+from docskein.llm.common import materialize, need, release, row_key, skewed_join, slices
 from docskein.llm.components import components
 
 WORDS = 5
@@ -342,16 +342,21 @@ def _blocks(mates: DataFrame, threshold: float, rows: int) -> DataFrame:
     are cut into blocks by a hash."""
     size = (F.count(F.lit(1)).alias("f"), F.sum(F.col("n").cast("long") * 8).alias("bytes"))
     number = F.greatest(F.ceil(F.col("f") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    many = mates.groupBy("family").agg(*size).select("family", (number > 1).alias("many"))
+    large = materialize(mates.groupBy("family").agg(*size).where(number > 1).select("family", "f", F.lit(True).alias("many")), "large-families")
+    columns = ("family", "bucket", "block", "blocks", "next_blocks", "many", "node", "copies", "k1", "k2")
+    whole = mates.withColumns({"bucket": F.lit(0), "block": F.lit(0), "blocks": F.lit(1), "next_blocks": F.lit(0), "many": F.lit(False)})
+    if large.isEmpty():
+        return materialize(whole.select(*columns), "wanted", rows=rows)
+    # Sets of large families carry their mark from here on; those of others are blocks.
+    marked = materialize(skewed_join(mates, large, ["family"], "f", "left"), "mates", rows=rows)
+    small = marked.where("many IS NULL").withColumns({"bucket": F.lit(0), "block": F.lit(0), "blocks": F.lit(1), "next_blocks": F.lit(0), "many": F.lit(False)})
     step = float(np.log(1 / (threshold - 1e-9)))
-    placed = mates.join(many, "family").withColumn("bucket", F.when(F.col("many"), F.floor(F.log(F.col("n")) / step)).otherwise(0).cast("int"))
-    counts = placed.groupBy("family", "bucket").agg(*size).select("family", "bucket", number.alias("blocks"))
+    placed = marked.where("many").withColumn("bucket", F.floor(F.log(F.col("n")) / step).cast("int"))
+    counts = placed.groupBy("family", "bucket").agg(*size).select("family", "bucket", "f", number.alias("blocks"))
     after = counts.select("family", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next_blocks"))
-    counts = counts.join(after, ["family", "bucket"], "left").withColumn("next_blocks", F.coalesce("next_blocks", F.lit(0)))
-    placed = placed.join(counts, ["family", "bucket"])
-    return materialize(
-        placed.select("family", "bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "next_blocks", "many", "node", "copies", "k1", "k2"), "wanted", rows=rows
-    )
+    counts = materialize(counts.join(after, ["family", "bucket"], "left").withColumn("next_blocks", F.coalesce("next_blocks", F.lit(0))), "buckets")
+    placed = skewed_join(placed, counts, ["family", "bucket"], "f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return materialize(small.select(*columns).unionByName(placed.select(*columns)), "wanted", rows=rows)
 
 
 def _linked_sets(docs: DataFrame, mates: DataFrame, text_col: str, words: int, threshold: float, rows: int) -> DataFrame:
@@ -422,7 +427,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     depth = measured_depth(ties, levels, least, threshold, target_recall)
     family = components(ties.where((F.col("depth") >= depth) & (F.col("close") >= closeness(threshold))).select("u", "v"), "family")
     release(forest)
-    mates = sets.join(family.select("node", F.col("label").alias("family")), "node").select("family", "node", "copies", "k1", "k2", "n")
+    mates = materialize(sets.join(family.select("node", F.col("label").alias("family")), "node").select("family", "node", "copies", "k1", "k2", "n"), "families", rows=n)
     told = _linked_sets(docs, mates, text_col, words, threshold, n)
     # Sets that are linked or have copies; all others stand alone.
     known = (
