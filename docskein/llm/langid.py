@@ -25,6 +25,7 @@ from docskein.llm.common import need, slices
 
 ORDER = 3
 CHUNK = 1 << 20
+OVERDRAW = 4
 SLACK, MARGIN = 64.0, 1.5  # bits any text may take more; times the usual code length per byte
 LETTER = re.compile(r"[^\W\d_]")  # and numerals such as one half, which isalpha() leaves out
 UNDETERMINED = "und"
@@ -144,16 +145,19 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, max_chars: int, max_langs: int) -> DataFrame:
     """(lang, text, rank): at most ``docs_per_lang`` labelled documents of each of
     the ``max_langs`` commonest labels, the first by a hash, and of each its first
-    ``max_chars`` code points.  The rank's limit is applied before the shuffle,
-    so no task sees a whole language."""
+    ``max_chars`` code points.
+
+    Labels are counted first, so that only documents whose hash lies below a
+    bound that leaves about OVERDRAW times as many as wanted are ranked: what is
+    shuffled depends on the sample's size, not on the corpus."""
     doc = F.col(id_col)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc", "text"))
     labelled = docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    labels = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    return (
-        labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.substring(text_col, 1, max_chars).alias("text"))
-        .join(F.broadcast(labels), "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text", "rank")
-    )
+    labels = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = OVERDRAW * docs_per_lang / F.col("n")
+    drawn = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(labels), "lang")
+    drawn = drawn.where((share >= 1) | (F.col("h").cast("double") / 2.0**64 + 0.5 < share)).withColumn("text", F.substring("text", 1, max_chars))
+    return drawn.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text", "rank")
 
 
 def identify_language(

@@ -187,6 +187,15 @@ def test_language_of_long_documents_only(docs):
     assert {r.lang_pred for r in langid.identify_language(df, max_chars=10).collect()} == {"de", "en"}
 
 
+def test_sample_is_drawn_from_few_documents(docs):
+    df = docs(*[(i, f"text number {i}") for i in range(6000)])
+    draw = lambda n: langid.training_sample(df, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=n, max_chars=9, max_langs=5)
+    assert sorted(r["rank"] for r in draw(20).collect()) == list(range(1, 21))
+    every = {r.text: r["rank"] for r in langid.training_sample(df, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=6000, max_chars=99, max_langs=5).collect()}
+    few = {r.text: r["rank"] for r in langid.training_sample(df, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=50, max_chars=99, max_langs=5).collect()}
+    assert few == {t: k for t, k in every.items() if k <= 50}
+
+
 def test_numerals_are_not_letters():
     trees = langid.ContextTrees({"en": ["some words"]})
     assert [trees.predict(t)[0] for t in ("\u00bd \u00b2", "\u2167", "12_", "\u00bd a", "\u00e9")] == ["und", "und", "und", "en", "en"]
