@@ -26,24 +26,15 @@ def class_names(rows: DataFrame, classes: DataFrame, *, iri_col: str = "class_ir
     return rows.join(names, iri_col, "left").withColumn("class_name", F.coalesce("class_name", F.substring_index(iri_col, "#", -1)))
 
 
-def number_in_blocks(instances: DataFrame, *, block_rows: int = 1000, groups: tuple[str, ...] = ("class_iri",), by: Column | None = None) -> DataFrame:
+def number_in_blocks(instances: DataFrame, *, block_rows: int = 1000, groups: tuple[str, ...] = ("class_iri",)) -> DataFrame:
     """``instances`` plus block and pos: places for decisions that come as lists.
 
     A group (by default a class) of any size is cut into blocks of about
-    ``block_rows`` by a digest of ``by`` (default: the instance's id), so no window
-    ever holds a whole group; rows that agree in ``by`` share a block, as long as
-    they are no more than a block's rows."""
+    ``block_rows`` by a digest of the instance's id, so no window ever holds a
+    whole group."""
     sizes = instances.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    digest = lambda c: F.conv(F.left(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(8)), 16, 10).cast("long")
-    df = instances.join(sizes, list(groups))
-    key = F.col("instance_id") if by is None else by
-    if by is not None:
-        # A value that fills blocks by itself is spread by id as well.
-        df = df.withColumn("_by", key)
-        often = instances.withColumn("_by", key).groupBy(*groups, "_by").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-        df = df.join(often, [*groups, "_by"], "left")
-        key = F.when(F.col("_n").isNotNull(), F.concat_ws("\x02", "_by", "instance_id")).otherwise(F.col("_by"))
-    df = df.withColumn("block", F.pmod(digest(key), F.col("blocks")).cast("int")).drop("blocks", "_by", "_n")
+    digest = F.conv(F.left(F.md5(F.col("instance_id").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    df = instances.join(sizes, list(groups)).withColumn("block", F.pmod(digest, F.col("blocks")).cast("int")).drop("blocks")
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*groups, "block").orderBy("instance_id")) - 1)
 
 

@@ -198,16 +198,19 @@ def review(instances: DataFrame, known: DataFrame, provider, keep, *, rounds: in
 
 
 def ask_synonyms(instances: DataFrame, known: DataFrame, provider, *, block_rows: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(numbered rows, requests per class block of two rows or more; keys:
+    """(numbered rows, requests per class block of two labels or more; keys:
     class_iri, items with labels).
 
-    Labels that agree without case and outer spaces share a block, so blocks cut
-    no such group apart; a label of more than a block's rows has a block of its
-    own, in parts that are merged by ``merged`` like any other answer."""
-    folded = F.lower(F.trim("label"))
-    rows = C.number_in_blocks(instances, block_rows=block_rows, by=folded)
-    items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: F.struct(x["label"].alias("label")))
-    blocks = rows.groupBy("class_iri", "block").agg(items.alias("items")).where(F.size("items") >= 2)
+    Rows of a class whose labels agree without case and outer spaces are one
+    item, with the label of the first, so a request grows with the labels that
+    differ and not with the mentions; all of them carry that item's place."""
+    folded = instances.withColumn("_folded", F.lower(F.trim("label")))
+    items = folded.groupBy("class_iri", "_folded").agg(F.min("instance_id").alias("instance_id"), F.min_by("label", "instance_id").alias("label"))
+    numbered_items = C.number_in_blocks(items, block_rows=block_rows)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: F.struct(x["label"].alias("label")))
+    blocks = numbered_items.groupBy("class_iri", "block").agg(listed.alias("items")).where(F.size("items") >= 2)
+    same = (F.col("a.class_iri") == F.col("b.class_iri")) & F.col("a._folded").eqNullSafe(F.col("b._folded"))
+    rows = folded.alias("a").join(numbered_items.alias("b"), same).select(*[F.col(f"a.{c}") for c in instances.columns], "b.block", "b.pos")
     df = C.class_names(blocks, known)
     return rows, _ask(df, provider, "synonyms", ["class_iri", "items"], class_name=F.col("class_name"), items=numbered(F.col("items"), lambda x: x["label"])).drop("prompt")
 
@@ -225,7 +228,7 @@ def merged(rows: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = named.groupBy("class_iri", "block", "pos").agg(F.min(F.struct("g", "canonical")).alias("n")).select("class_iri", "block", "pos", "n.g", "n.canonical")
     df = rows.join(firsts, ["class_iri", "block", "pos"], "left").withColumn("key", F.coalesce(F.col("g").cast("string"), F.concat(F.lit("alone "), F.col("pos").cast("string"))))
     own = F.max(F.when(F.col("label") == F.col("canonical"), F.col("label")))
-    heads = df.groupBy("class_iri", "block", "key").agg(F.min_by("instance_id", "pos").alias("head"), F.coalesce(own, F.min_by("label", "pos")).alias("head_label"))
+    heads = df.groupBy("class_iri", "block", "key").agg(F.min_by("instance_id", F.struct("pos", "instance_id")).alias("head"), F.coalesce(own, F.min_by("label", F.struct("pos", "instance_id"))).alias("head_label"))
     members = df.join(heads, ["class_iri", "block", "key"]).select(F.col("head").alias("instance_id"), F.col("instance_id").alias("mention_id"), "class_iri", F.col("head_label").alias("label"), "source", "file_id")
     distinct = lambda c, n: members.select("instance_id", c).distinct().groupBy("instance_id").agg(F.count(c).alias(n))
     instances = members.select("instance_id", "class_iri", "label").distinct().join(distinct("source", "n_sources"), "instance_id").join(distinct("file_id", "n_files"), "instance_id")
@@ -245,7 +248,7 @@ def candidate_requests(placed: DataFrame, props: DataFrame, *, scope: str = "fil
     grow with the product of its classes' blocks, as the pairs to be judged do;
     after the source blocks are made they are dealt out anew."""
     require(placed, scope, "instance_id", "class_iri", "label")
-    rows = C.number_in_blocks(placed, block_rows=block, groups=(scope, "class_iri"), by=F.col("instance_id"))
+    rows = C.number_in_blocks(placed, block_rows=block, groups=(scope, "class_iri"))
     blocks = rows.groupBy(scope, "class_iri", "block").agg(F.array_sort(F.collect_set(F.struct(F.col("instance_id").alias("id"), "label"))).alias("items"))
     side = lambda name: blocks.select(scope, F.col("class_iri").alias(f"{name}_class"), F.col("block").alias(f"{name}_block"), F.col("items").alias(f"{name}_items"))
     wanted = props.select(F.col("iri").alias("property_iri"), F.col("name").alias("property_name"), "description", "src_class", "dest_class")

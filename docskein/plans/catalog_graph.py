@@ -329,10 +329,10 @@ def class_accepted(spark, sf_dir):
 CLASS_ACCEPTED = f"WITH {INSTANCES_SQL}, {_LIMITS}, j AS (SELECT class_iri, CASE WHEN length(label) % 7 <> 0 THEN {_VERDICT.format('label')} END AS judgment FROM instances JOIN limits USING (class_iri)) SELECT class_iri, judgment, count(*) AS n FROM j WHERE judgment <> 'REJECT' GROUP BY ALL"
 
 
-def synonym_rules() -> RuleProvider:
-    """Labels that agree without case and outer spaces are one; each group also
-    names indices that are no rows, and its greatest label."""
-    folded = lambda x: F.lower(F.trim(x["label"]))
+def synonym_rules(letters: int = 1000) -> RuleProvider:
+    """Labels that agree in their first ``letters`` are one; each group also names
+    indices that are no rows, and its greatest label."""
+    folded = lambda x: F.left(F.lower(F.trim(x["label"])), F.lit(letters))
 
     def group(key, items):
         own = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), folded(x).alias("f"))), lambda x: x["f"] == key)
@@ -346,7 +346,7 @@ def class_synonyms(spark, sf_dir):
     """Instances merged by the groups a provider names, and their members."""
     label = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).when(F.col("p_size") % 3 == 1, F.lower("p_type")).otherwise(F.concat("p_type", F.lit(" ")))
     parts = table(spark, sf_dir, "part").select(shop.key("part-type", "p_partkey").alias("instance_id"), F.lit(NS + "part-type").alias("class_iri"), label.alias("label"), F.col("p_brand").alias("source"), F.concat(F.lit("f"), F.col("p_size") % 4).alias("file_id"))
-    rows, asked = R.ask_synonyms(parts, shop.metamodel(spark)[0], synonym_rules(), block_rows=200)
+    rows, asked = R.ask_synonyms(parts, shop.metamodel(spark)[0], synonym_rules(1), block_rows=200)
     stages = Stages(spark)
     merged, members = R.merged(rows, stages.keep("synonym-answers", asked))
     sizes = members.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_members"))
@@ -355,7 +355,8 @@ def class_synonyms(spark, sf_dir):
 
 CLASS_SYNONYMS = f"""
 WITH m AS (SELECT 'part-type:' || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) ELSE p_type || ' ' END AS label, p_brand AS source, 'f' || p_size % 4 AS file_id FROM part)
-SELECT min(id) AS instance_id, '{NS}part-type' AS class_iri, max(label) AS label, count(DISTINCT source) AS n_sources, count(DISTINCT file_id) AS n_files, count(*) AS n_members FROM m GROUP BY lower(trim(label, ' '))"""
+SELECT min(id) AS instance_id, '{NS}part-type' AS class_iri, max(item) AS label, count(DISTINCT source) AS n_sources, count(DISTINCT file_id) AS n_files, count(*) AS n_members
+FROM (SELECT *, arg_min(label, id) OVER (PARTITION BY lower(trim(label, ' '))) AS item FROM m) GROUP BY left(lower(trim(label, ' ')), 1)"""
 
 # --- edges ---------------------------------------------------------------------------
 

@@ -162,18 +162,21 @@ def test_null_classes_stay(spark):
 
 def test_synonym_groups(spark):
     known, _ = shop.metamodel(spark)
-    rows = spark.createDataFrame([(f"i{k}", N + "a", x, "s", f"f{k}") for k, x in enumerate(["ab", "ab", "ab", "ab"])] + [("j", N + "b", "alone", "s", "f")], "instance_id string, class_iri string, label string, source string, file_id string")
+    rows = spark.createDataFrame([(f"i{k}", N + "a", x, "s", f"f{k}") for k, x in enumerate(["aa", "bb", "cc", "dd"])] + [("j", N + "b", "alone", "s", "f")], "instance_id string, class_iri string, label string, source string, file_id string")
     numbered, asked = requests.ask_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit(json.dumps({"groups": [
-        {"indices": [1, 3, 9, -1], "canonical_label": "invented"}, {"indices": [3, 0], "canonical_label": "ab"}]}))}))
+        {"indices": [1, 3, 9, -1], "canonical_label": "invented"}, {"indices": [3, 0], "canonical_label": "aa"}]}))}))
     assert asked.count() == 1
     merged, members = requests.merged(numbered, asked)
-    assert sorted((r.instance_id, r.label, r.n_files) for r in merged.collect()) == [("i0", "ab", 1), ("i1", "ab", 2), ("i2", "ab", 1), ("j", "alone", 1)]
+    assert sorted((r.instance_id, r.label, r.n_files) for r in merged.collect()) == [("i0", "aa", 1), ("i1", "bb", 2), ("i2", "cc", 1), ("j", "alone", 1)]
     assert {r.mention_id: r.instance_id for r in members.collect()} == {"i0": "i0", "i1": "i1", "i2": "i2", "i3": "i1", "j": "j"}
     broken, _ = requests.merged(numbered, asked.withColumn("payload", F.lit("no json")))
     assert broken.count() == 5
 
 
-def test_one_hot_label_is_spread_over_blocks(spark):
-    rows = spark.range(1000).select(F.concat(F.lit("i"), "id").alias("instance_id"), F.lit("c").alias("class_iri"), F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("label"))
-    sizes = classes.number_in_blocks(rows, block_rows=50, by=F.col("label")).groupBy("block").count().agg(F.max("count"), F.count("*")).first()
-    assert sizes[0] < 150 and sizes[1] > 10
+def test_equal_labels_are_one_item(spark):
+    known, _ = shop.metamodel(spark)
+    rows = spark.range(1000).select(F.concat(F.lit("i"), F.lpad("id", 4, "0")).alias("instance_id"), F.lit("c").alias("class_iri"), F.when(F.col("id") < 700, F.when(F.col("id") % 2 == 0, "Hot").otherwise("hot ")).otherwise(F.col("id").cast("string")).alias("label"), F.lit("s").alias("source"), F.lit("f").alias("file_id"))
+    numbered, asked = requests.ask_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit('{"groups": []}')}), block_rows=50)
+    assert asked.agg(F.sum(F.size("items"))).first()[0] == 301 and asked.agg(F.max(F.size("items"))).first()[0] < 100
+    merged, members = requests.merged(numbered, asked)
+    assert merged.count() == 301 and members.count() == 1000 and merged.where("instance_id = 'i0000'").first().label == "Hot"
