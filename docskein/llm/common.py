@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """A local session's own folder, one for each application."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -22,8 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
@@ -48,9 +55,28 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _SCRATCH:
+        tables.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Within it all tables that ``materialize`` writes are noted; at its end they
+    are removed, but for those that the caller took out of the list.  For work
+    whose result is itself written down inside."""
+    tables: list[DataFrame] = []
+    _SCRATCH.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCRATCH[:] = [t for t in _SCRATCH if t is not tables]
+        release(*tables)
+
+
 def release(*tables: DataFrame) -> None:
     """Remove what ``materialize`` wrote.  Only for tables on which nothing
     depends that is still to run: all that was made of them is written down."""

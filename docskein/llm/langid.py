@@ -26,7 +26,9 @@ from docskein.llm.common import need, slices
 ORDER = 3
 CHUNK = 1 << 20
 OVERDRAW = 4
-SLACK, MARGIN = 64.0, 1.5  # bits any text may take more; times the usual code length per byte
+# Bits that any text may take more, how many times the usual code length per byte
+# is too much, and a length per byte that never is.
+SLACK, MARGIN, FLOOR = 64.0, 1.5, 4.0
 LETTER = re.compile(r"[^\W\d_]")  # and numerals such as one half, which isalpha() leaves out
 UNDETERMINED = "und"
 
@@ -86,11 +88,11 @@ class ContextTrees:
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """The most bits per byte that a text of each language may take: MARGIN
         times the length that 99 of 100 of ``texts`` (none of them learned) stay
-        within.  Languages without such a text get no limit."""
+        within, and at least FLOOR.  Languages without such a text get no limit."""
         for j, lang in enumerate(self.langs):
             raw = [t.encode("utf-8") for t in texts.get(lang, ())]
             if raw:
-                self.limits[j] = MARGIN * np.quantile([(self.code_lengths(t)[j] - SLACK) / len(t) for t in raw], 0.99)
+                self.limits[j] = max(FLOOR, MARGIN * np.quantile([self.code_lengths(t)[j] / len(t) for t in raw], 0.99))
 
     def _table(self) -> None:
         """A direct table over hashed 4-byte keys; what collides is searched."""
@@ -171,7 +173,7 @@ def identify_language(
     the broadcast); predicts from text alone, and reads the whole text.  fits
     tells whether the text's code length is one that texts of the predicted
     language have: at most MARGIN times what 99 of 100 of ``fit_docs`` further
-    labelled documents stay within (true where there are none).
+    labelled documents stay within, and FLOOR at least (true where there are none).
 
     Null or letterless text: und with score 0, and no fit.  Without any labelled
     document everything is und.  Ties go to the first language in code-point
