@@ -7,6 +7,7 @@ name (run names sort by time).
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import warnings
@@ -16,6 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """A local session's own folder, one for each application."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share.  Only a local
     session without one gets a temporary folder; on a cluster that is an error."""
@@ -24,8 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
