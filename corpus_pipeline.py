@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import materialize
+from docskein.llm.common import materialize, release, scratch
 from docskein.llm.jaccard import keep_one
 from docskein.llm.langid import UNDETERMINED, identify_language
 from docskein.llm.line_dedup import dedup_lines
@@ -74,8 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again."""
+    """All stages over the documents of ``sf_dir``, each written and read again.
+    What a stage needed on the way, and its predecessor's table, goes once its own
+    is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as tables:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            tables.remove(docs)
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
