@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Unicode white space, as a class body.
 SPACE_CHARS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = f"[{SPACE_CHARS}]"
+_RANGES = ((0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+#: The same characters one by one, for the trim functions.
+SPACES = "".join(chr(c) for a, b in _RANGES for c in range(a, b + 1))
 # Marks of list items; each needs white space after it.
 BULLET_MARKS = [
     r"[\x{2022}\x{30FB}\x{2013}\x{2014}\x{25B6}*-]",
@@ -56,15 +59,15 @@ def western(rules: TextRules | None = None) -> TextRules:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (Unicode, not only U+0020)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def inline_space(c: Column) -> Column:
@@ -126,15 +129,5 @@ def first_distinct(texts: Column) -> Column:
 
 def drop_contained(texts: Column) -> Column:
     """Of distinct texts those that no other text contains.  ``texts`` should be a
-    column, not an expression: it is read once per element.
-
-    A text that another one holds occurs at least twice in all texts laid end to
-    end, once as itself; that is one plain search a text.  Only those few that do
-    are compared with the longer ones."""
-    all_of_it = F.concat_ws("\x02", texts)
-
-    def held(x: Column, whole: Column) -> Column:
-        again = F.substring(whole, F.instr(whole, x) + 1, F.length(whole))
-        return F.contains(again, x) & F.exists(texts, lambda y: (F.length(y) > F.length(x)) & F.contains(y, x))
-
-    return F.transform(F.array(all_of_it), lambda whole: F.filter(texts, lambda x: ~held(x, whole)))[0]
+    column, not an expression: it is read once per element."""
+    return F.filter(texts, lambda x: ~F.exists(texts, lambda y: (F.length(y) > F.length(x)) & F.contains(y, x)))
