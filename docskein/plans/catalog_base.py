@@ -189,7 +189,7 @@ VIEW_SPANS = f"WITH {_SPANS} SELECT doc_id, chunk_no, view_type, rank, text FROM
 
 
 def view_dedup(spark, sf_dir):
-    return views.view_texts(_docs(spark, sf_dir), VIEW_PATTERNS, rules=RULES)
+    return views.view_texts_of_any_size(_docs(spark, sf_dir), VIEW_PATTERNS, rules=RULES)
 
 
 _KEPT = """

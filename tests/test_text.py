@@ -167,3 +167,15 @@ def test_many_chunks(spark):
             done.append(cur)
             cur = f"{cur[-4:].lstrip()} {s}"
     assert got == [*done, cur] and len(got) > 1000
+
+
+def test_giant_documents_are_spread(spark):
+    """Both ways of dropping contained texts agree."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ab ", "c", "the x. ", "Y is, ", "9! ", "abc. "]) for _ in range(rng.randrange(400))) for _ in range(25)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    patterns = {"value_analysis": "a|Y", "data_analysis": "[0-9x]"}
+    small = T.TextRules(split_ends=".!", max_chars=60, overlap_chars=11)
+    told = lambda giant: sorted(map(tuple, views.view_texts_of_any_size(df, patterns, giant=giant, rules=small).collect()))
+    want = sorted(map(tuple, views.view_texts(df, patterns, rules=small).collect()))
+    assert told(10**9) == told(300) == told(0) == want and len(want) > 100
