@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 
@@ -16,9 +15,3 @@ def require(df: DataFrame, *columns: str, arrays: tuple[str, ...] = ()) -> DataF
     if flat:
         raise ValueError(f"not an array: {flat}")
     return df
-
-
-def require_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
-    """``df``, whose rows fail at run time where ``column`` holds another value."""
-    known = F.col(column).isin(allowed) | F.col(column).isNull()
-    return df.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column} must be one of {allowed}: "), F.col(column)))))

@@ -7,7 +7,6 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 from docskein import __main__ as job
 from docskein.operators import chunks
