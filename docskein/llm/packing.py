@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import functools
 import os
+import re
 import sys
 import unicodedata
 import zlib
@@ -74,7 +75,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # The word pattern of the tokenizer file: a fixed value.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.unsettled = regex.compile(f"[^{settled_characters()}]|Σ").search
+        self.unsettled = re.compile(f"[^{settled_characters()}]|Σ").search
         self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
 
