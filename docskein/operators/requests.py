@@ -26,6 +26,7 @@ from docskein.sources.pages import first_pages
 JUDGMENTS = f"judgments array<struct<{', '.join(': '.join(f.split(' ', 1)) for f in C.JUDGMENT.split(', '))}>>"
 CORRECTIONS = f"corrections array<struct<{', '.join(': '.join(f.split(' ', 1)) for f in C.CORRECTION.split(', '))}>>"
 MENTIONS = "array<struct<class: string, label: string, source: string>>"
+SPANS = ", ".join(f"{v} array<string>" for v in V.VIEWS)
 GROUPS = "groups array<struct<indices: array<int>, canonical_label: string, reason: string>>"
 PAIRS = "properties array<struct<src_id: string, dest_id: string>>"
 RELATIONS = "relations array<struct<src_id: string, dest_id: string, prohibited: boolean, justification: string, confidence: double>>"
@@ -60,13 +61,13 @@ def _ask(requests: DataFrame, provider, kind: str, keys: list[str], **columns: C
     return provider.attach(kind, requests.withColumn("prompt", fill(template(kind), **columns)), [*keys, "prompt"])
 
 
-def unanswered(answers: DataFrame, stage: str, ddl: str | None = None, who: Column | None = None) -> DataFrame:
-    """Errors of requests without a payload that ``ddl`` reads."""
-    readable = F.col("payload").isNotNull()
-    if ddl is not None:
-        told = F.from_json("payload", ddl)
-        readable = readable & (told.isNotNull() if ddl.startswith("array") else told[ddl.split(" ", 1)[0]].isNotNull())
-    who = who if who is not None else F.col("file_id") if "file_id" in answers.columns else F.lit(None)
+def unanswered(answers: DataFrame, stage: str, ddl: str, fields: list[str] | None = None) -> DataFrame:
+    """Errors of requests without a payload that ``ddl`` reads: a list, or an
+    object with one of ``fields`` (default: the first of ``ddl``)."""
+    told = F.from_json("payload", ddl)
+    there = [told] if ddl.startswith("array") else [told[f] for f in fields or [ddl.split(" ", 1)[0]]]
+    readable = F.col("payload").isNotNull() & F.coalesce(*[F.when(x.isNotNull(), True) for x in there], F.lit(False))
+    who = F.col("file_id") if "file_id" in answers.columns else F.lit(None)
     return answers.where(~readable).select(who.cast("string").alias("file_id"), F.lit(stage).alias("stage"), F.when(F.col("payload").isNull(), "no answer").otherwise("unreadable answer").alias("message"))
 
 

@@ -75,7 +75,7 @@ def build_graph(
     chunks = keep("chunks", chains.file_chunks(pages, types, rules=rules))
     if view_patterns is None:
         seen = keep("view-answers", R.ask_views(chunks, provider))
-        errors = errors.unionByName(R.unanswered(seen, "views"))
+        errors = errors.unionByName(R.unanswered(seen, "views", R.SPANS, views.VIEWS))
         texts = chains.view_chain(seen, top=top)
     else:
         texts = views.dedup_views(views.view_spans(chunks, view_patterns, id_col="file_id", top=top, rules=rules), id_col="file_id")

@@ -60,7 +60,7 @@ def answer(folder):
 
 
 def test_graph_of_two_views_asks_once(spark, tmp_path):
-    rows = [("f1", 1, "Alice pays Bob. Alice pays Carol! Nothing here."), ("f2", 1, "alice pays Bob."), ("f3", 1, None), ("f4", 1, "Zed pays Bob."), ("f5", 1, "slide one\nErin pays Bob"), ("f5", 2, "slide two"), ("f6", 1, "broken pays text.")]
+    rows = [("f1", 1, "Alice pays Bob. Alice pays Carol! Nothing here."), ("f2", 1, "alice pays Bob."), ("f3", 1, None), ("f4", 1, "Zed pays Bob."), ("f5", 1, "Erin pays Bob\nslide one"), ("f5", 2, "slide two"), ("f6", 1, "broken pays text.")]
     pages = spark.createDataFrame(rows, "file_id string, page_no int, text string")
     known, props = metamodel_frames(spark, CLASSES, PROPERTIES)
     stages = Stages(spark, f"file://{tmp_path}/stages")
