@@ -123,6 +123,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+class WordCache(dict):
+    """What was made of words seen before.  It is bounded by bytes: ``trim``, called
+    before each text, lets a full cache start anew, and a word of over ``longest``
+    characters is not kept."""
+
+    def __init__(self, most: int = 192 << 20, longest: int = 200) -> None:
+        super().__init__()
+        self.most, self.longest, self.held = most, longest, 0
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+    def add(self, more: dict) -> None:
+        for word, value in more.items():
+            if len(word) <= self.longest:
+                self[word] = value
+                self.held += 200 + len(word) + (len(value) if isinstance(value, bytes) else 64)
+
+
 HOT_KEYS = 250_000
 
 
