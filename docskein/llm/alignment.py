@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docskein.llm.common import WordCache, materialize, need, skewed_join, slices
-from docskein.llm.packing import byte_symbols, settled_characters
+from docskein.llm.packing import settled_characters
 
-BATCH_CHARS = 8_000_000  # texts that share a table of units
+BATCH_CHARS = 3_000_000  # texts that share a table of units
 # Unicode's white space without the space itself: fixed values.
 BLANKS = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SHIFT = 1 << 32  # a link of ids a and b is the number a * SHIFT + b
@@ -45,21 +45,25 @@ class ByteBpe:
 
     def __init__(self, path: str, ranks: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        symbol = {c: b for b, c in enumerate(byte_symbols())}
-        vocabulary = self.whole.get_vocab(with_added_tokens=True)
-        self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode("utf-8")
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bytes_of = [b""] * (max(table.values()) + 2)  # the last one: special tokens, which no text gives
+        for token, i in table.items():
+            self.bytes_of[i] = token
+        self.path = path
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.unsettled = re.compile(f"[^{settled_characters()}]").search
 
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def settled(self, text: str) -> bool:
         return text.isascii() or not self.unsettled(text)
 
@@ -95,6 +99,8 @@ class PieceBpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; its first space is the mark that the library adds."""
+        if text == " ":  # the library adds no mark to an empty text
+            return [self.mark]
         ids = self.lib.encode(text.removeprefix(" "), num_threads=1)
         return ids if text[:1] == " " else ids[1:] if ids[:1] == [self.mark] else []
 
@@ -104,7 +110,7 @@ class Tokenizers:
 
     def __init__(self, first: ByteBpe, second: PieceBpe) -> None:
         self.first, self.second = first, second
-        self.known = WordCache()
+        self.known = WordCache(96 << 20)
         self.units = re.compile(f"[ {BLANKS}]*[^ {BLANKS}]+|[ {BLANKS}]+").findall
         self.lengths = [np.array([len(b) for b in t.bytes_of], dtype=np.int64) for t in (first, second)]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ogg", "topk", "packing", "pieces", "jaccard", "secrets", "langid", "warc", "pii", "line_dedup", "alignment")
+MODULES = ("ogg", "topk", "packing", "pieces", "jaccard", "secrets", "langid", "warc", "pii", "line_dedup", "alignment", "variants", "mixing")
 
 
 def _modules():
