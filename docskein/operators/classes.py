@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docskein.sources.stages import Stages
+
+SMALL_TABLE = 100_000  # rows of a few short columns: at most some 20 MB in a task
 ACCEPT, REVIEW, REJECT = "ACCEPT", "REVIEW", "REJECT"
 JUDGMENT = "judgment string, justification string"
 CORRECTION = "revised_label string, should_reject boolean, revision_reason string"
@@ -26,6 +29,16 @@ def class_names(rows: DataFrame, classes: DataFrame, *, iri_col: str = "class_ir
     return rows.join(names, iri_col, "left").withColumn("class_name", F.coalesce("class_name", F.substring_index(iri_col, "#", -1)))
 
 
+def join_sizes(rows: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``sizes``, a count per ``keys``.  Counts per class
+    or property are as many as the metamodel has: they are counted and broadcast, so
+    that no class is sent to one task to learn a number.  More keys than
+    SMALL_TABLE (those with a file in them) are shuffled to."""
+    sizes = Stages(rows.sparkSession).keep("sizes", sizes)
+    few = sizes.count() <= SMALL_TABLE
+    return rows.join(F.broadcast(sizes) if few else sizes, list(keys))
+
+
 def number_in_blocks(instances: DataFrame, *, block_rows: int = 1000, groups: tuple[str, ...] = ("class_iri",)) -> DataFrame:
     """``instances`` plus block and pos: places for decisions that come as lists.
 
@@ -34,7 +47,7 @@ def number_in_blocks(instances: DataFrame, *, block_rows: int = 1000, groups: tu
     whole group."""
     sizes = instances.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
     digest = F.conv(F.left(F.md5(F.col("instance_id").cast("binary")), F.lit(8)), 16, 10).cast("long")
-    df = instances.join(sizes, list(groups)).withColumn("block", F.pmod(digest, F.col("blocks")).cast("int")).drop("blocks")
+    df = join_sizes(instances, sizes, *groups).withColumn("block", F.pmod(digest, F.col("blocks")).cast("int")).drop("blocks")
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*groups, "block").orderBy("instance_id")) - 1)
 
 

@@ -10,6 +10,8 @@ stage, message), never a failed job.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +21,11 @@ from docskein.functions.text import strip
 from docskein.operators import classes as C
 from docskein.operators import views as V
 from docskein.operators.check import require
+from docskein.operators.joins import components, hot_join, ranked
 from docskein.prompts import template
 from docskein.sources.metamodel import render_definitions, render_policies, render_rules
 from docskein.sources.pages import first_pages
+from docskein.sources.stages import Stages
 
 JUDGMENTS = f"judgments array<struct<{', '.join(': '.join(f.split(' ', 1)) for f in C.JUDGMENT.split(', '))}>>"
 CORRECTIONS = f"corrections array<struct<{', '.join(': '.join(f.split(' ', 1)) for f in C.CORRECTION.split(', '))}>>"
@@ -197,72 +201,172 @@ def review(instances: DataFrame, known: DataFrame, provider, keep, *, rounds: in
 
 # --- synonyms ----------------------------------------------------------------------
 
-
-def ask_synonyms(instances: DataFrame, known: DataFrame, provider, *, block_rows: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(numbered rows, requests per class block of two labels or more; keys:
-    class_iri, items with labels).
-
-    Rows of a class whose labels agree without case and outer spaces are one
-    item, with the label of the first, so a request grows with the labels that
-    differ and not with the mentions; all of them carry that item's place."""
-    folded = instances.withColumn("_folded", F.lower(F.trim("label")))
-    items = folded.groupBy("class_iri", "_folded").agg(F.min("instance_id").alias("instance_id"), F.min_by("label", "instance_id").alias("label"))
-    numbered_items = C.number_in_blocks(items, block_rows=block_rows)
+# Orders in which labels that may mean the same stand near each other: as written,
+# from behind, by their words whatever their order, by their consonants, and by the
+# least hashes of their three-letter grams (near copies share one).
+LABEL_ORDERS: dict[str, Callable[[Column], Column]] = {
+    "label": lambda x: x,
+    "behind": F.reverse,
+    "words": lambda x: F.array_join(F.array_sort(F.split(x, " ")), " "),
+    "frame": lambda x: F.concat(F.left(x, F.lit(1)), F.regexp_replace(x, r"[aeiou\W_]", "")),
+    "grams": lambda x: F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.hex(F.xxhash64(F.substring(x, i, F.lit(3))))))), 1, 4), ""),
+}
+
+
+def _label_blocks(items: DataFrame, block_rows: int, orders: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(class_iri, block, pos, node, label, whole): blocks of at most ``block_rows``
+    items.  In each order a class is cut into blocks that overlap by half, so
+    neighbours always meet; a class that fits a block is one (``whole``)."""
+    half = max(1, block_rows // 2)
+    sizes = items.groupBy("class_iri").agg(F.count(F.lit(1)).alias("n"))
+    sized = C.join_sizes(items, sizes, "class_iri")
+    out = sized.where(F.col("n") <= 2 * half).select("class_iri", F.lit("all").alias("block"), "node", "label", F.col("_folded").alias("_key"), F.lit(True).alias("whole"))
+    large = sized.where(F.col("n") > 2 * half)
+    if not large.isEmpty():
+        for name, order in orders.items():
+            placed = ranked(large.withColumn("_key", order(F.col("_folded"))), ["class_iri"], ["_key", "node"])
+            first = F.floor(F.col("rank") / half)
+            # A last block whose items all stand in the one before is none.
+            numbers = F.filter(F.array(first - 1, first), lambda j: (j == 0) | ((j > 0) & (F.col("n") > (j + 1) * half)))
+            out = out.unionByName(placed.withColumn("j", F.explode(numbers)).select("class_iri", F.concat(F.lit(f"{name} "), F.col("j").cast("string")).alias("block"), "node", "label", "_key", F.lit(False).alias("whole")))
+    place = F.row_number().over(Window.partitionBy("class_iri", "block").orderBy("_key", "node")) - 1
+    return out.select("class_iri", "block", place.alias("pos"), "node", "label", "whole")
+
+
+def label_items(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, items): rows of a class whose labels agree without case and outer
+    spaces are one item, with the least instance_id as node and its label."""
+    folded = instances.withColumn("_folded", F.lower(F.trim(F.coalesce("label", F.lit("")))))
+    items = folded.groupBy("class_iri", "_folded").agg(F.min("instance_id").alias("node"), F.min_by("label", "instance_id").alias("label"))
+    return folded, items
+
+
+def ask_synonyms(items: DataFrame, known: DataFrame, provider, *, block_rows: int = 200, orders: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, requests): requests per block of two labels or more; keys class_iri,
+    items with labels.  The prompt has the class's extraction and prohibition rules."""
+    placed = _label_blocks(items, block_rows, LABEL_ORDERS if orders is None else orders)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: F.struct(x["label"].alias("label")))
-    blocks = numbered_items.groupBy("class_iri", "block").agg(listed.alias("items")).where(F.size("items") >= 2)
-    same = (F.col("a.class_iri") == F.col("b.class_iri")) & F.col("a._folded").eqNullSafe(F.col("b._folded"))
-    rows = folded.alias("a").join(numbered_items.alias("b"), same).select(*[F.col(f"a.{c}") for c in instances.columns], "b.block", "b.pos")
-    df = C.class_names(blocks, known)
-    return rows, _ask(df, provider, "synonyms", ["class_iri", "items"], class_name=F.col("class_name"), items=numbered(F.col("items"), lambda x: x["label"])).drop("prompt")
-
-
-def merged(rows: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(instances, members) from the numbered rows (with source and file_id) and
-    the groups named for their blocks.
-
-    Indices beyond the block or below 0 are passed over; an index named twice
-    belongs to the first group that names it; rows that no group names stand
-    alone.  A group takes the id of its first row, and the canonical label if it
-    is one of its own, else that row's label."""
+    blocks = placed.groupBy("class_iri", "block").agg(listed.alias("items"), F.first("whole").alias("whole")).where(F.size("items") >= 2)
+    both = known.select("iri", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("extract_rules", "prohibit_rules")]).alias("rules"))
+    rules = render_rules(both, rules="rules").withColumnsRenamed({"iri": "class_iri", "text": "rules"}).dropDuplicates(["class_iri"])
+    df = C.class_names(blocks, known).join(F.broadcast(rules), "class_iri", "left")
+    asked = _ask(df, provider, "synonyms", ["class_iri", "items"], class_name=F.col("class_name"), rules=F.coalesce("rules", F.lit("")), items=numbered(F.col("items"), lambda x: x["label"]))
+    return placed, asked.drop("prompt", "rules")
+
+
+def named_groups(placed: DataFrame, answers: DataFrame) -> DataFrame:
+    """(class_iri, block, whole, g, node, label, canonical): the items of each group
+    that an answer names.  Indices beyond the block or below 0 are passed over; an
+    index named twice belongs to the first group that names it."""
     told = answers.select("class_iri", "block", F.posexplode(F.from_json("payload", GROUPS)["groups"]).alias("g", "group"))
     named = told.select("class_iri", "block", "g", F.col("group")["canonical_label"].alias("canonical"), F.explode(F.col("group")["indices"]).alias("pos"))
     firsts = named.groupBy("class_iri", "block", "pos").agg(F.min(F.struct("g", "canonical")).alias("n")).select("class_iri", "block", "pos", "n.g", "n.canonical")
-    df = rows.join(firsts, ["class_iri", "block", "pos"], "left").withColumn("key", F.coalesce(F.col("g").cast("string"), F.concat(F.lit("alone "), F.col("pos").cast("string"))))
-    own = F.max(F.when(F.col("label") == F.col("canonical"), F.col("label")))
-    heads = df.groupBy("class_iri", "block", "key").agg(F.min_by("instance_id", F.struct("pos", "instance_id")).alias("head"), F.coalesce(own, F.min_by("label", F.struct("pos", "instance_id"))).alias("head_label"))
-    members = df.join(heads, ["class_iri", "block", "key"]).select(F.col("head").alias("instance_id"), F.col("instance_id").alias("mention_id"), "class_iri", F.col("head_label").alias("label"), "source", "file_id")
+    return placed.join(firsts, ["class_iri", "block", "pos"]).select("class_iri", "block", "whole", "g", "node", "label", "canonical")
+
+
+def merge_synonyms(instances: DataFrame, known: DataFrame, provider, keep, *, block_rows: int = 200, orders: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(instances, members, errors): instances of a class that the provider calls one.
+
+    Labels meet in blocks of bounded size, in several orders.  What any answer
+    groups is one, and so is what several answers link: groups are the components
+    of all of them, so the same labels come together whatever ``block_rows`` is, if
+    neighbours in some order lead from one to the other.  Where a class needed more
+    than one block and groups joined, the heads of its groups meet again, closer
+    to each other than before, until nothing joins.
+
+    A group takes the id of its first row (least instance_id).  Its label is the
+    greatest of the canonical labels named for it that are labels of its own, else
+    the first row's.  Rows that no group names stand alone."""
+    folded, items = label_items(instances)
+    rows, items = keep("label-rows", folded), keep("label-items", items)
+    open_, links, names, errors = items, None, None, None
+    for k in count():
+        placed, asked = ask_synonyms(open_, known, provider, block_rows=block_rows, orders=orders)
+        placed = keep(f"label-blocks-{k}", placed)
+        answers = keep(f"synonym-answers-{k}", asked)
+        found = keep(f"synonym-groups-{k}", named_groups(placed, answers))
+        head = found.groupBy("class_iri", "block", "g").agg(F.min("node").alias("head"))
+        edges = found.join(head, ["class_iri", "block", "g"]).where("node <> head").select("class_iri", F.col("node").alias("u"), F.col("head").alias("v"), "whole").distinct()
+        said = found.where("canonical IS NOT NULL").select("node", "canonical").distinct()
+        bad = unanswered(answers, "consolidate", GROUPS)
+        links, names, errors = (edges, said, bad) if links is None else (links.unionByName(edges), names.unionByName(said), errors.unionByName(bad))
+        # Heads of classes with several blocks in which something joined.
+        again = edges.where("NOT whole").select("class_iri").distinct()
+        if again.isEmpty():
+            break
+        heads = components(edges.where("NOT whole").select("u", "v")).where("node <> root").select("node")
+        open_ = keep(f"label-heads-{k}", open_.join(F.broadcast(again), "class_iri", "left_semi").join(heads, "node", "left_anti"))
+    joined = components(links.select("u", "v"))
+    told = keep("label-groups", items.join(joined, "node", "left").withColumn("head", F.coalesce("root", "node")).drop("root"))
+    # A canonical label counts if it is a label of some row of the group.
+    own = rows.join(told.select("class_iri", "_folded", "head"), ["class_iri", "_folded"])
+    own = keep("label-members", own)
+    said = names.join(told.select("node", "head"), "node").select("head", F.col("canonical").alias("label")).distinct()
+    named = said.join(own.select("head", "label").distinct(), ["head", "label"]).groupBy("head").agg(F.max("label").alias("canonical"))
+    first = told.where("head = node").select("head", F.col("label").alias("first_label"))
+    labels = first.join(named, "head", "left").select("head", F.coalesce("canonical", "first_label").alias("head_label"))
+    members = hot_join(own.drop("label"), labels, "head", "inner").select(F.col("head").alias("instance_id"), F.col("instance_id").alias("mention_id"), "class_iri", F.col("head_label").alias("label"), "source", "file_id")
+    members = keep("synonym-members", members)
     distinct = lambda c, n: members.select("instance_id", c).distinct().groupBy("instance_id").agg(F.count(c).alias(n))
-    instances = members.select("instance_id", "class_iri", "label").distinct().join(distinct("source", "n_sources"), "instance_id").join(distinct("file_id", "n_files"), "instance_id")
-    return instances, members.select("instance_id", "mention_id", "source", "file_id")
+    out = members.select("instance_id", "class_iri", "label").distinct().join(distinct("source", "n_sources"), "instance_id").join(distinct("file_id", "n_files"), "instance_id")
+    return out, members.select("instance_id", "mention_id", "source", "file_id"), errors
 
 
 # --- edges ---------------------------------------------------------------------------
 
 
+CELL = 64  # blocks of either side of a cell of the candidate space
+
+
 def candidate_requests(placed: DataFrame, props: DataFrame, *, scope: str = "file_id", block: int = 20) -> DataFrame:
-    """Requests for edges: (scope, property_iri, src_block, dest_block, src_items,
-    dest_items), for every property and every pair of blocks of its classes'
-    instances (instance_id, class_iri, label) in one scope (a document).
+    """Requests for edges: (scope, property_iri, property_name, description,
+    src_class, dest_class, src_block, dest_block, src_items, dest_items), for every
+    property and every pair of blocks of its classes' instances (instance_id,
+    class_iri, label) in one scope (a document).
 
     Instances meet wherever in the scope they were found, whatever their view.
     A block holds about ``block`` instances by a hash, so the rows of a scope
-    grow with the product of its classes' blocks, as the pairs to be judged do;
-    after the source blocks are made they are dealt out anew."""
+    grow with the product of its classes' blocks, as the pairs to be judged do.
+    That product is cut into a grid of cells of CELL x CELL blocks; a source block
+    goes to a row of cells and a destination block to a column, and they meet by
+    cell: whatever a scope holds, a key has at most CELL blocks of either side."""
     require(placed, scope, "instance_id", "class_iri", "label")
     rows = C.number_in_blocks(placed, block_rows=block, groups=(scope, "class_iri"))
     blocks = rows.groupBy(scope, "class_iri", "block").agg(F.array_sort(F.collect_set(F.struct(F.col("instance_id").alias("id"), "label"))).alias("items"))
-    side = lambda name: blocks.select(scope, F.col("class_iri").alias(f"{name}_class"), F.col("block").alias(f"{name}_block"), F.col("items").alias(f"{name}_items"))
-    wanted = props.select(F.col("iri").alias("property_iri"), F.col("name").alias("property_name"), "description", "src_class", "dest_class")
-    out = side("src").join(wanted, "src_class").repartition(scope, "property_iri", "src_block").join(side("dest"), [scope, "dest_class"])
-    return out.select(scope, "property_iri", "property_name", "description", "src_block", "dest_block", "src_items", "dest_items")
-
-
-def ask_edges(requests: DataFrame, provider) -> DataFrame:
+    blocks = Stages(placed.sparkSession).keep("instance-blocks", blocks)
+    counts = blocks.groupBy(scope, "class_iri").agg((F.floor(F.max("block") / CELL) + 1).cast("int").alias("bands"))
+    wanted = F.broadcast(props.select(F.col("iri").alias("property_iri"), F.col("name").alias("property_name"), "description", "src_class", "dest_class"))
+    bands = lambda side: counts.select(scope, F.col("class_iri").alias(f"{side}_class"), F.col("bands").alias(f"{side}_bands"))
+    # A row per scope and property, with the size of its grid.
+    grids = bands("src").join(wanted, "src_class").join(bands("dest"), [scope, "dest_class"])
+
+    def side(own: str, other: str, fields: list[str]) -> DataFrame:
+        grid = grids.select(scope, "property_iri", F.col(f"{own}_class").alias("class_iri"), F.col(f"{other}_bands").alias("across"), *fields)
+        df = C.join_sizes(blocks, grid, scope, "class_iri").withColumn(f"{own}_cell", F.floor(F.col("block") / CELL).cast("int"))
+        df = df.withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        return df.select(scope, "property_iri", "src_cell", "dest_cell", *fields, F.col("block").alias(f"{own}_block"), F.col("items").alias(f"{own}_items"))
+
+    out = side("src", "dest", ["property_name", "description", "src_class", "dest_class"]).join(side("dest", "src", []), [scope, "property_iri", "src_cell", "dest_cell"])
+    return out.select(scope, "property_iri", "property_name", "description", "src_class", "dest_class", "src_block", "dest_block", "src_items", "dest_items")
+
+
+def ask_edges(requests: DataFrame, provider, known: DataFrame | None = None) -> DataFrame:
+    """``requests`` with their answers.  ``known`` (the metamodel's classes) gives
+    the prompt the names and descriptions of both classes."""
     line = lambda x: F.concat_ws(" ", x["id"], x["label"])
-    return _ask(
-        requests, provider, "edges", ["property_iri", "src_items", "dest_items"], property_name=F.col("property_name"), description=F.col("description"),
+    columns = requests.columns
+    for side in ("src", "dest"):
+        told = F.lit("")
+        if known is not None:
+            text = F.concat_ws(": ", "name", F.when(F.coalesce("description", F.lit("")) != "", F.col("description")))
+            requests = requests.join(F.broadcast(known.groupBy(F.col("iri").alias(f"{side}_class")).agg(F.min_by(text, "ord").alias(f"{side}_told"))), f"{side}_class", "left")
+            told = F.coalesce(f"{side}_told", F.lit(""))
+        requests = requests.withColumn(f"{side}_told", told)
+    asked = _ask(
+        requests, provider, "edges", ["property_iri", "src_items", "dest_items"], property_name=F.col("property_name"), description=F.col("description"), src_class=F.col("src_told"), dest_class=F.col("dest_told"),
         src_items=numbered(F.col("src_items"), line), dest_items=numbered(F.col("dest_items"), line),
-    ).drop("prompt")
+    )
+    return asked.select(*columns, *[c for c in asked.columns if c not in (*columns, "prompt", "src_told", "dest_told")])
 
 
 def clean_ids(edges: DataFrame) -> DataFrame:
@@ -283,7 +387,7 @@ def ask_verdicts(candidates: DataFrame, instances: DataFrame, props: DataFrame,
     from docskein.operators.properties import enrich_labels
 
     sizes = candidates.groupBy("property_iri").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    rows = enrich_labels(candidates, instances).join(sizes, "property_iri").withColumn("block", F.pmod(F.xxhash64("src_id", "dest_id"), F.col("blocks")).cast("int"))
+    rows = C.join_sizes(enrich_labels(candidates, instances), sizes, "property_iri").withColumn("block", F.pmod(F.xxhash64("src_id", "dest_id"), F.col("blocks")).cast("int"))
     fields = ["src_id", "dest_id", "src_label", "dest_label"]
     blocks = rows.groupBy("property_iri", "block").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
     rules = render_rules(props, key="iri", rules="prohibit_rules").withColumnsRenamed({"iri": "property_iri", "text": "rules"})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions import text as T
+from docskein.operators.containment import drop_contained_rows
 
 # The views, in their order.
 VIEWS = ["value_analysis", "business_concept", "business_requirement", "system_requirement", "system_component", "data_analysis"]
@@ -67,8 +68,10 @@ def view_texts(docs: DataFrame, view_patterns: dict[str, str], *, id_col: str =
 
 def view_texts_of_any_size(docs: DataFrame, view_patterns: dict[str, str], *, giant: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", top: int = 3, rules: T.TextRules = T.TextRules()) -> DataFrame:
     """``view_texts``; documents of more than ``giant`` characters have their texts
-    spread over tasks and compared by hashes (see ``drop_contained_rows``)."""
+    spread over tasks and met by anchors (see ``operators.containment``)."""
     size = F.coalesce(F.length(text_col), F.lit(0))
+    if docs.where(size > giant).isEmpty():
+        return view_texts(docs, view_patterns, id_col=id_col, text_col=text_col, top=top, rules=rules)
     small = view_texts(docs.where(size <= giant), view_patterns, id_col=id_col, text_col=text_col, top=top, rules=rules)
     rows = _texts_by_view(docs.where(size > giant), view_patterns, id_col, text_col, top, rules).select(id_col, "view_type", F.posexplode("texts").alias("ord", "text"))
     kept = drop_contained_rows(rows, [id_col, "view_type"])
@@ -76,30 +79,6 @@ def view_texts_of_any_size(docs: DataFrame, view_patterns: dict[str, str], *, gi
     return small.unionByName(kept.select(id_col, "view_type", place.alias("ord"), "text"))
 
 
-def drop_contained_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (keys, ord, text; texts of a group distinct and not empty) without
-    those that a longer text of their group contains, for groups of any size.
-
-    A text's first 2 ** k characters (k as great as it allows) must stand in a text
-    that holds it, so texts meet by the hash of these; a text's windows of every
-    such length asked for in its group are made, and hits are then compared."""
-    width = F.pow(F.lit(2), F.col("level")).cast("int")
-    sized = rows.select(*keys, "ord", "text", F.floor(F.log2(F.length("text"))).cast("int").alias("level"))
-    asked = sized.select(*keys, "level", F.xxhash64(F.left("text", width)).alias("h"), F.col("ord").alias("x"))
-    levels = asked.select(*keys, "level").distinct()
-    windows = (
-        rows.join(levels, keys).where(F.length("text") > width)
-        .select(*keys, "level", F.col("ord").alias("y"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - width + 1), lambda i: F.xxhash64(F.substring("text", i, width))))).alias("h"))
-    )
-    met = asked.join(windows, [*keys, "level", "h"]).where("x <> y").select(*keys, "x", "y").distinct()
-    side = lambda c: rows.select(*keys, F.col("ord").alias(c), F.col("text").alias(f"text_{c}"))
-    gone = (
-        met.join(side("x"), [*keys, "x"]).join(side("y"), [*keys, "y"])
-        .where((F.length("text_y") > F.length("text_x")) & F.contains(F.col("text_y"), F.col("text_x"))).select(*keys, F.col("x").alias("ord")).distinct()
-    )
-    return rows.join(gone, [*keys, "ord"], "left_anti")
-
-
 def nest_views(texts: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """(id_col, views): one row per document in the nested form, views in their
     fixed order, without empty ones."""

@@ -56,7 +56,7 @@ def build_graph(
     The provider is asked, in this order, for ``file_type`` (a file's first two
     pages), ``views`` (a chunk; not where ``view_patterns`` tells them),
     ``mentions`` (a file's texts of a view), ``judge`` and ``correct`` (a block of
-    a class), ``synonyms`` (a block of a class), ``edges`` (two blocks of instances
+    a class), ``synonyms`` (a block of a class's labels, in several orders), ``edges`` (two blocks of instances
     of one file, for a property) and ``verdicts`` (a block of a property's
     candidates).  See ``operators.requests`` for keys and answers.
 
@@ -87,15 +87,13 @@ def build_graph(
     errors = errors.unionByName(found.where("class_iri = ''").select("file_id", F.lit("classes").alias("stage"), F.concat(F.lit("unknown class "), "class").alias("message")))
     judged, bad = R.review(found.where("class_iri <> ''"), known, provider, keep, rounds=rounds, block_rows=block_rows)
     accepted = keep("accepted", C.accepted(judged).drop("judgment", "justification", "rounds"))
-    rows, asked = R.ask_synonyms(accepted, known, provider, block_rows=block_rows)
-    grouped = keep("synonym-answers", asked)
-    instances, members = R.merged(rows, grouped)
+    instances, members, unsaid = R.merge_synonyms(accepted, known, provider, keep, block_rows=block_rows)
     instances, members = keep("instances", instances), keep("members", members)
-    errors = errors.unionByName(bad).unionByName(R.unanswered(grouped, "consolidate", R.GROUPS))
+    errors = errors.unionByName(bad).unionByName(unsaid)
 
     # Instances meet in every file they were found in, whatever their view.
     placed = members.select("instance_id", "file_id").distinct().join(instances.select("instance_id", "class_iri", "label"), "instance_id")
-    proposed = keep("edge-answers", R.ask_edges(R.candidate_requests(placed, props, block=edge_block), provider))
+    proposed = keep("edge-answers", R.ask_edges(R.candidate_requests(placed, props, block=edge_block), provider, known))
     candidates = keep("candidates", R.proposed_edges(proposed))
     weighed = keep("verdict-answers", R.ask_verdicts(candidates, instances, props, provider))
     edges = properties.accept_edges(properties.join_verdicts(candidates, R.verdicts(weighed)), threshold=threshold)

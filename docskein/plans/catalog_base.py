@@ -200,6 +200,11 @@ _ORDERED = "SELECT doc_id, view_type, (row_number() OVER (PARTITION BY doc_id, v
 VIEW_DEDUP = f"WITH {_DEDUP} {_ORDERED}"
 
 
+def view_dedup_spread(spark, sf_dir):
+    """The same rows by the way made for giant documents, for every document."""
+    return views.view_texts_of_any_size(_docs(spark, sf_dir), VIEW_PATTERNS, giant=0, rules=RULES)
+
+
 def view_summary(spark, sf_dir):
     return view_dedup(spark, sf_dir).groupBy("view_type").agg(F.count(F.lit(1)).alias("n_texts"))
 
@@ -447,7 +452,7 @@ DOCUMENT_IDS = f"SELECT doc_id, ord, sha256(doc_id || chr(2) || ord || chr(2) ||
 BASE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "text_lines": (text_lines, TEXT_LINES), "slide_lines": (slide_lines, _SLIDES), "line_merge": (line_merge, LINE_MERGE), "text_reflow": (text_reflow, TEXT_REFLOW),
     "sentence_split": (sentence_split, SENTENCES), "chunk_char": (chunk_char, CHUNK_CHAR), "chunk_page": (chunk_page, CHUNK_PAGE), "route_counts": (route_counts, ROUTE_COUNTS),
-    "view_spans_topk": (view_spans_topk, VIEW_SPANS), "view_dedup": (view_dedup, VIEW_DEDUP), "view_summary": (view_summary, VIEW_SUMMARY),
+    "view_spans_topk": (view_spans_topk, VIEW_SPANS), "view_dedup": (view_dedup, VIEW_DEDUP), "view_dedup_spread": (view_dedup_spread, VIEW_DEDUP), "view_summary": (view_summary, VIEW_SUMMARY),
     "class_resolve": (class_resolve, CLASS_RESOLVE), "class_policy_text": (class_policy_text, CLASS_POLICY), "class_judge": (class_judge, CLASS_JUDGE),
     "class_correct_loop": (class_correct_loop, CLASS_LOOP), "class_consolidate": (class_consolidate, CLASS_CONSOLIDATE), "property_blocks": (property_blocks, PROPERTY_BLOCKS), "property_block_ranges": (property_block_ranges, PROPERTY_BLOCK_RANGES),
     "property_candidates": (property_candidates, PROPERTY_CANDIDATES), "property_verdicts": (property_verdicts, PROPERTY_VERDICTS), "property_validate": (property_validate, PROPERTY_VALIDATE),

@@ -330,9 +330,10 @@ CLASS_ACCEPTED = f"WITH {INSTANCES_SQL}, {_LIMITS}, j AS (SELECT class_iri, CASE
 
 
 def synonym_rules(letters: int = 1000) -> RuleProvider:
-    """Labels that agree in their first ``letters`` are one; each group also names
-    indices that are no rows, and its greatest label."""
-    folded = lambda x: F.left(F.lower(F.trim(x["label"])), F.lit(letters))
+    """Labels that agree in their first ``letters`` (below 0: in all but so many) are
+    one; each group also names indices that are no rows, and its greatest label."""
+    whole = lambda x: F.lower(F.trim(x["label"]))
+    folded = lambda x: F.left(whole(x), F.lit(letters) if letters >= 0 else F.length(whole(x)) + letters)
 
     def group(key, items):
         own = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), folded(x).alias("f"))), lambda x: x["f"] == key)
@@ -342,16 +343,28 @@ def synonym_rules(letters: int = 1000) -> RuleProvider:
     return RuleProvider({"synonyms": lambda: F.to_json(F.struct(groups.alias("groups")))})
 
 
+def _merged_synonyms(instances, spark, provider, block_rows):
+    merged, members, _ = R.merge_synonyms(instances, shop.metamodel(spark)[0], provider, Stages(spark).keep, block_rows=block_rows)
+    sizes = members.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return merged.join(sizes, "instance_id").select("instance_id", "class_iri", "label", "n_sources", "n_files", "n_members")
+
+
 def class_synonyms(spark, sf_dir):
     """Instances merged by the groups a provider names, and their members."""
     label = F.when(F.col("p_size") % 3 == 0, F.col("p_type")).when(F.col("p_size") % 3 == 1, F.lower("p_type")).otherwise(F.concat("p_type", F.lit(" ")))
     parts = table(spark, sf_dir, "part").select(shop.key("part-type", "p_partkey").alias("instance_id"), F.lit(NS + "part-type").alias("class_iri"), label.alias("label"), F.col("p_brand").alias("source"), F.concat(F.lit("f"), F.col("p_size") % 4).alias("file_id"))
-    rows, asked = R.ask_synonyms(parts, shop.metamodel(spark)[0], synonym_rules(1), block_rows=200)
-    stages = Stages(spark)
-    merged, members = R.merged(rows, stages.keep("synonym-answers", asked))
-    sizes = members.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_members"))
-    return merged.join(sizes, "instance_id").select("instance_id", "class_iri", "label", "n_sources", "n_files", "n_members")
+    return _merged_synonyms(parts, spark, synonym_rules(1), 200)
+
+
+def customer_synonyms(spark, sf_dir, block_rows=64):
+    """Synonyms of a class of many labels, in many blocks: customers whose numbers
+    agree but for their last two digits are called one, so groups reach over blocks."""
+    own = table(spark, sf_dir, "customer").select(shop.key("customer", "c_custkey").alias("instance_id"), F.lit(NS + "customer").alias("class_iri"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("source"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("file_id"))
+    return _merged_synonyms(own, spark, synonym_rules(-2), block_rows)
+
 
+CUSTOMER_SYNONYMS = f"""SELECT min('customer:' || c_custkey) AS instance_id, '{NS}customer' AS class_iri, max(c_name) AS label, count(DISTINCT c_mktsegment) AS n_sources, count(DISTINCT c_nationkey) AS n_files, count(*) AS n_members
+FROM customer GROUP BY left(c_name, length(c_name) - 2)"""
 
 CLASS_SYNONYMS = f"""
 WITH m AS (SELECT 'part-type:' || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) ELSE p_type || ' ' END AS label, p_brand AS source, 'f' || p_size % 4 AS file_id FROM part)
@@ -551,7 +564,7 @@ CHAINS = {
     "line_merge_chunked": (line_merge_chunked, LINE_MERGE_CHUNKED), "stage_latest": (stage_latest, STAGE_LATEST), "view_parse": (view_parse, VIEW_PARSE), "view_nested": (view_nested, VIEW_NESTED),
     "mention_requests": (mention_requests, MENTION_REQUESTS), "mention_rows": (mention_rows, MENTION_ROWS), "message_texts": (message_texts, MESSAGE_TEXTS), "prompts": (prompts, PROMPTS),
     "metamodel_scan": (metamodel_scan, METAMODEL_SCAN), "class_names": (class_names, CLASS_NAMES), "class_judge_blocks": (class_judge_blocks, CLASS_JUDGE_BLOCKS),
-    "class_review_blocks": (class_review_blocks, CLASS_LOOP), "class_accepted": (class_accepted, CLASS_ACCEPTED), "class_sections": (class_sections, CLASS_SECTIONS), "class_synonyms": (class_synonyms, CLASS_SYNONYMS),
+    "class_review_blocks": (class_review_blocks, CLASS_LOOP), "class_accepted": (class_accepted, CLASS_ACCEPTED), "class_sections": (class_sections, CLASS_SECTIONS), "class_synonyms": (class_synonyms, CLASS_SYNONYMS), "customer_synonyms": (customer_synonyms, CUSTOMER_SYNONYMS),
     "edge_requests": (edge_requests, EDGE_REQUESTS), "edges_proposed": (edges_proposed, EDGES_PROPOSED), "edge_verdict_blocks": (edge_verdict_blocks, EDGE_VERDICT_BLOCKS),
     "nodes_files": (nodes_files, NODES_FILES), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "transform_files": (transform_files, TRANSFORM_FILES), "turtle_document": (turtle_document, _turtle_sql()), "summary_files": (summary_files, SUMMARY_FILES), "long_literals": (long_literals, LONG_LITERALS),
     "graph_edges_two_views": (graph_edges_two_views, GRAPH_EDGES), "graph_errors": (graph_errors, GRAPH_ERRORS),

@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from docskein.functions.iri import full_iri, stable_id, term
-from docskein.operators import classes, properties, requests
+from docskein.operators import classes, joins, properties, requests
 from docskein.operators.decide import LiveProvider, ReplayProvider, RuleProvider
 from docskein.plans import shop
 from docskein.plans.catalog import CATALOG
 from docskein.sources import export
 from docskein.sources.metamodel import read_metamodel, render_policies, render_rules
+from docskein.sources.stages import Stages
 from tests.conftest import DATA
 
 N = "http://m#"
@@ -160,23 +161,108 @@ def test_null_classes_stay(spark):
     assert [tuple(r)[:2] for r in merged.collect()] == [("1", "")] and members.count() == 2
 
 
+def synonyms(spark, rows, groups, **options):
+    """(instances, members, requests) with a provider of ``groups``: a function of the
+    labels of a request."""
+    known, _ = shop.metamodel(spark)
+    asked = []
+
+    class Provider:
+        def attach(self, kind, requests, keys, where=None):
+            told = [(r["class_iri"], r["block"], json.dumps({"groups": groups([x["label"] for x in r["items"]])})) for r in requests.collect()]
+            asked.extend(r["prompt"] for r in requests.collect())
+            answers = spark.createDataFrame(told, "class_iri string, block string, payload string")
+            return requests.join(answers, ["class_iri", "block"])
+
+    merged, members, errors = requests.merge_synonyms(rows, known, Provider(), Stages(spark).keep, **options)
+    assert errors.count() == 0
+    return merged.collect(), {r.mention_id: r.instance_id for r in members.collect()}, asked
+
+
+ROW = "instance_id string, class_iri string, label string, source string, file_id string"
+
+
 def test_synonym_groups(spark):
+    rows = spark.createDataFrame([(f"i{k}", N + "a", x, "s", f"f{k}") for k, x in enumerate(["aa", "bb", "cc", "dd"])] + [("j", N + "b", "alone", "s", "f")], ROW)
+    merged, members, asked = synonyms(spark, rows, lambda labels: [{"indices": [1, 3, 9, -1], "canonical_label": "invented"}, {"indices": [3, 0], "canonical_label": "aa"}])
+    assert len(asked) == 1
+    assert sorted((r.instance_id, r.label, r.n_files) for r in merged) == [("i0", "aa", 1), ("i1", "bb", 2), ("i2", "cc", 1), ("j", "alone", 1)]
+    assert members == {"i0": "i0", "i1": "i1", "i2": "i2", "i3": "i1", "j": "j"}
     known, _ = shop.metamodel(spark)
-    rows = spark.createDataFrame([(f"i{k}", N + "a", x, "s", f"f{k}") for k, x in enumerate(["aa", "bb", "cc", "dd"])] + [("j", N + "b", "alone", "s", "f")], "instance_id string, class_iri string, label string, source string, file_id string")
-    numbered, asked = requests.ask_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit(json.dumps({"groups": [
-        {"indices": [1, 3, 9, -1], "canonical_label": "invented"}, {"indices": [3, 0], "canonical_label": "aa"}]}))}))
-    assert asked.count() == 1
-    merged, members = requests.merged(numbered, asked)
-    assert sorted((r.instance_id, r.label, r.n_files) for r in merged.collect()) == [("i0", "aa", 1), ("i1", "bb", 2), ("i2", "cc", 1), ("j", "alone", 1)]
-    assert {r.mention_id: r.instance_id for r in members.collect()} == {"i0": "i0", "i1": "i1", "i2": "i2", "i3": "i1", "j": "j"}
-    broken, _ = requests.merged(numbered, asked.withColumn("payload", F.lit("no json")))
-    assert broken.count() == 5
+    broken, _, errors = requests.merge_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit("no json")}), Stages(spark).keep)
+    assert broken.count() == 5 and [r.message for r in errors.collect()] == ["unreadable answer"]
 
 
 def test_equal_labels_are_one_item(spark):
-    known, _ = shop.metamodel(spark)
     rows = spark.range(1000).select(F.concat(F.lit("i"), F.lpad("id", 4, "0")).alias("instance_id"), F.lit("c").alias("class_iri"), F.when(F.col("id") < 700, F.when(F.col("id") % 2 == 0, "Hot").otherwise("hot ")).otherwise(F.col("id").cast("string")).alias("label"), F.lit("s").alias("source"), F.lit("f").alias("file_id"))
-    numbered, asked = requests.ask_synonyms(rows, known, RuleProvider({"synonyms": lambda: F.lit('{"groups": []}')}), block_rows=50)
-    assert asked.agg(F.sum(F.size("items"))).first()[0] == 301 and asked.agg(F.max(F.size("items"))).first()[0] < 100
-    merged, members = requests.merged(numbered, asked)
-    assert merged.count() == 301 and members.count() == 1000 and merged.where("instance_id = 'i0000'").first().label == "Hot"
+    seen = []
+    merged, members, _ = synonyms(spark, rows, lambda labels: seen.append(labels) or [], block_rows=50)
+    assert len({x for labels in seen for x in labels}) == 301 and max(map(len, seen)) <= 50
+    assert len(merged) == 301 and len(members) == 1000 and next(r for r in merged if r.instance_id == "i0000").label == "Hot"
+
+
+def test_synonyms_of_different_blocks(spark):
+    """The same groups for any size of block: labels of a group are neighbours in
+    some order, or their groups' heads are."""
+    labels = [f"unit {a:02} part {b:03}" for a in range(30) for b in range(9)] + [f"part {b:03} spare {a:02}" for a in range(9, 40) for b in range(3)]
+    rows = spark.createDataFrame([(f"i{k:04}", N + "a", x, "s", f"f{k}") for k, x in enumerate(labels)], ROW)
+    first = lambda x: x.split(" ")[0] + (x.split(" ")[1] if x[0] == "u" else x.split(" ")[3])
+
+    def groups(own):
+        keys = dict.fromkeys(map(first, own))
+        return [{"indices": [i for i, x in enumerate(own) if first(x) == k], "canonical_label": max(x for x in own if first(x) == k)} for k in keys]
+
+    want = {}
+    for k, x in enumerate(labels):
+        want.setdefault(first(x), []).append((f"i{k:04}", x))
+    for size in (16, 64, 1000):
+        merged, members, asked = synonyms(spark, rows, groups, block_rows=size)
+        assert sorted((r.instance_id, r.label, r.n_files) for r in merged) == sorted((min(g)[0], max(x for _, x in g), len(g)) for g in want.values()), size
+        assert members == {i: min(g)[0] for g in want.values() for i, _ in g}
+        assert len(asked) == 1 or size < 1000
+
+
+def test_rules_reach_the_synonym_prompt(spark):
+    known, _ = shop.metamodel(spark)
+    with_rules = known.withColumn("extract_rules", F.array(F.lit("only real parts")))
+    _, items = requests.label_items(spark.createDataFrame([(f"i{k}", known.first()["iri"], x, "s", "f") for k, x in enumerate("ab")], ROW))
+    seen = []
+
+    class Provider:
+        def attach(self, kind, df, keys, where=None):
+            seen.append(df.first()["prompt"])
+            return df.withColumn("payload", F.lit("{}"))
+
+    requests.ask_synonyms(items, with_rules, Provider())
+    assert "- only real parts" in seen[0]
+
+
+def test_ranks_components_and_hot_joins(spark, monkeypatch):
+    monkeypatch.setattr(joins, "RANGE_ROWS", 40)
+    df = spark.createDataFrame([("g" if k % 3 else "h", k * 7 % 101, k) for k in range(300)], "g string, a int, b int").repartition(5)
+    got = {r["b"]: r["rank"] for r in joins.ranked(df, ["g"], ["a", "b"]).collect()}
+    for g in ("g", "h"):
+        own = sorted((k * 7 % 101, k) for k in range(300) if ("g" if k % 3 else "h") == g)
+        assert [got[k] for _, k in own] == list(range(len(own)))
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
+    told = {r["node"]: r["root"] for r in joins.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert told == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)}
+    rows = spark.createDataFrame([("hot", k) for k in range(500)] + [(str(k), k) for k in range(300)] + [(None, 1), ("none", 2)], "k string, n int")
+    small = spark.createDataFrame([("hot", 1)] + [(str(k), k) for k in range(0, 300, 2)], "k string, v int")
+    for support in (0.3, 1e-4):
+        monkeypatch.setattr(joins, "SUPPORT", support)
+        for how in ("left", "inner"):
+            assert sorted(joins.hot_join(rows, small, "k", how).collect(), key=str) == sorted(rows.join(small, "k", how).collect(), key=str)
+
+
+def test_cells_of_the_candidate_space(spark, monkeypatch):
+    """Every pair of blocks once, whatever the size of cells."""
+    known, props = shop.metamodel(spark)
+    p = props.first()
+    rows = spark.createDataFrame([(f"{c[-1]}{k}", c, "x", "f") for c in {p["src_class"], p["dest_class"]} for k in range(90)], "instance_id string, class_iri string, label string, file_id string")
+    told = []
+    for cell in (64, 3):
+        monkeypatch.setattr(requests, "CELL", cell)
+        made = requests.candidate_requests(rows, props.where(F.col("iri") == p["iri"]), block=5)
+        told.append(sorted(tuple(r) for r in made.select("src_block", "dest_block", F.size("src_items"), F.size("dest_items")).collect()))
+    assert told[0] == told[1] and sum(a * b for *_, a, b in told[0]) == 90 * 90 and len({x[:2] for x in told[0]}) == len(told[0])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docskein.functions import text as T
 from docskein.functions.iri import slug
-from docskein.operators import chunks, lines, views
+from docskein.operators import chunks, containment, lines, views
 
 
 def rows(spark, texts):
@@ -179,3 +179,28 @@ def test_giant_documents_are_spread(spark):
     told = lambda giant: sorted(map(tuple, views.view_texts_of_any_size(df, patterns, giant=giant, rules=small).collect()))
     want = sorted(map(tuple, views.view_texts(df, patterns, rules=small).collect()))
     assert told(10**9) == told(300) == told(0) == want and len(want) > 100
+
+
+def test_containment_of_rows(spark):
+    """Random groups with many overlaps against comparing all pairs, and a text of
+    4 MB in linear time."""
+    import time
+
+    rng = random.Random(2)
+    rows = []
+    for g in range(6):
+        base = "".join(rng.choice("ab" if g % 2 else "abcdefgh é𝄞") for _ in range(600))
+        texts = {base[a : a + rng.randint(1, 90)] for a in (rng.randrange(599) for _ in range(60))} | {"a" * n for n in range(1, 40)} | {"ab" * n for n in range(1, 30, 3)}
+        rows += [(g, i, t) for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "g int, ord int, text string")
+    got = {(r["g"], r["text"]) for r in containment.drop_contained_rows(df, ["g"]).collect()}
+    assert got == {(g, t) for g, _, t in rows if not any(t != u and t in u for h, _, u in rows if h == g)}
+    seconds = []
+    for size in (500_000, 4_000_000):
+        long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size))
+        parts = [long[k * 1000 : k * 1000 + 20 + k] for k in range(200)] + ["not in it " * (k + 1) for k in range(40)]
+        df = spark.createDataFrame([(1, i, t) for i, t in enumerate([long, *parts])], "g int, ord int, text string")
+        began = time.time()
+        assert sorted(r["ord"] for r in containment.drop_contained_rows(df, ["g"]).collect()) == [0, 240]
+        seconds.append(time.time() - began)
+    assert seconds[1] < 8 * seconds[0] + 30, seconds
