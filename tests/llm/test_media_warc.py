@@ -151,6 +151,21 @@ def test_salvage_members():
     assert ids[-1] == "<urn:3>" and gaps
 
 
+def test_error_in_a_member_of_many_records():
+    """All that stands before the broken byte is kept; a wrong trailer loses nothing."""
+    for n, size in ((8000, 20), (300, 4000), (1, 10)):
+        rng = random.Random(n)
+        parts = [record(i, rng.randbytes(size)) for i in range(n)]
+        member = bytearray(warc.gzip_members([b"".join(parts)]))
+        member[-5] ^= 1  # in the checksum
+        ids, gaps = ids_and_gaps(bytes(member) + warc.gzip_members([record("next")]))
+        assert ids == [f"<urn:{i}>" for i in (*range(n), "next")] and gaps
+        if n > 1:
+            member = bytearray(warc.gzip_members([b"".join(parts)]))
+            member[len(member) // 2 : len(member) // 2 + 40] = b"\xff" * 40
+            assert len(ids_and_gaps(bytes(member))[0]) >= 0.45 * n
+
+
 def test_reader_from_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1) + b"damage" + record(2))
     (tmp_path / "b.warc.gz").write_bytes(warc.gzip_members([record(3), record(4)]))
