@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm.common import fresh, materialize, need, slices
+from docskein.llm.common import WordCache, fresh, materialize, need, slices
 
-CACHE_WORDS = 400_000
+CACHE_BYTES = 96 << 20
 
 
 def byte_symbols() -> str:
@@ -77,16 +77,15 @@ class WordTokenizer:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.unsettled = re.compile(f"[^{settled_characters()}]|Σ").search
         self.symbols = byte_symbols()
-        self.known: dict[str, bytes] = {}
+        self.known = WordCache(CACHE_BYTES)
 
     def _word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
             shown = codecs.charmap_decode(word.encode("utf-8"), "strict", self.symbols)[0]
             got = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = got
+            self.known.trim()
+            self.known.add({word: got})
         return got
 
     def __call__(self, text: str) -> bytes:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docskein.llm.common import materialize, need, row_key, slices, whole_text
 
 MARK = "▁"
-CACHE_WORDS = 250_000
+CACHE_BYTES = 128 << 20  # of words solved before; a batch's own words may go beyond
 TOGETHER = 48  # as many new words of one length are solved side by side
 SIDE_BY_SIDE = 32  # if they are at most this long
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +80,7 @@ class Vocabulary:
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self._hash_pieces()
         self.known: dict[str, tuple[float, bytes]] = {}
+        self.held = 0
 
     # --- text and ids
 
@@ -223,9 +224,12 @@ class Vocabulary:
         """Solve the words that are not known yet."""
         words = set(words)
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
+        cost = lambda w: 320 + 6 * len(w)  # noqa: E731  (the word, a tuple, and ids of four bytes)
+        more = sum(map(cost, fresh))
+        if self.held + more > CACHE_BYTES:
             self.known.clear()
-            fresh = words
+            self.held, fresh, more = 0, words, sum(map(cost, words))
+        self.held += more
         by_length: dict[int, list[str]] = {}
         for w in fresh:
             by_length.setdefault(len(w), []).append(w)
@@ -511,7 +515,7 @@ def _scan(rows: DataFrame, model: str, kind: str, chunk: int) -> DataFrame:
     whole = (
         traced.join(chosen, ["k1", "k2", "no"]).groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_list(F.struct("no", F.concat("shared", last).alias("ids")))).alias("parts"), F.max("total").alias("path_score"))
-        .select("k1", "k2", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"), "path_score")
+        .select("k1", "k2", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"), "path_score")
     )
     out = copies.join(whole, ["k1", "k2"])
     return out.select("id", "ids", "path_score", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("one")).drop("one")
