@@ -88,29 +88,43 @@ def _asks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([frame.drop(columns="text"), told], axis=1)
 
 
+FLUSH = 500_000  # anchors that a frame holds at most, but for one text's level
+
+
 def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for _, row in frame.iterrows():
-            grams = Grams(row["text"])
-            for level in sorted(x["level"] for x in row["levels"] if x["shortest"] < grams.n and 1 << x["level"] <= grams.n):
+        own = frame.drop(columns=["text", "levels"]).reset_index(drop=True)
+        parts: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        held = 0
+        for i, (text, levels) in enumerate(zip(frame["text"], frame["levels"])):
+            asked = [x["level"] for x in levels if x["shortest"] < len(text) and 1 << x["level"] <= len(text)]
+            grams = Grams(text) if asked else None
+            for level in asked:
                 places, hashes = grams.anchors(level)
                 places = np.unique(places)
-                out = pd.DataFrame({"level": level, "h": hashes[places].astype(np.int64), "pos": places, "size": grams.n})
-                for c in frame.columns:
-                    if c not in ("text", "levels"):
-                        out[c] = row[c]
-                yield out
+                parts.append((i, level, grams.n, places, hashes[places]))
+                held += len(places)
+                if held > FLUSH:
+                    yield _framed(own, parts)
+                    parts, held = [], 0
+        if parts:
+            yield _framed(own, parts)
+
+
+def _framed(own: pd.DataFrame, parts: list) -> pd.DataFrame:
+    rows, levels, sizes, places, hashes = zip(*parts)
+    counts = [len(p) for p in places]
+    out = own.iloc[np.repeat(rows, counts)].reset_index(drop=True)
+    return out.assign(level=np.repeat(levels, counts), size=np.repeat(sizes, counts), pos=np.concatenate(places), h=np.concatenate(hashes).astype(np.int64))
 
 
 def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for _, row in frame.iterrows():
-            found = list(row["found"])
-            out = pd.DataFrame({"ord": [f["x"] for f in found], "piece": [row["text"][f["s"] : f["s"] + f["n"]] for f in found]})
-            for c in frame.columns:
-                if c not in ("text", "found"):
-                    out[c] = row[c]
-            yield out
+        own = frame.drop(columns=["text", "found"]).reset_index(drop=True)
+        told = [(i, f["x"], text[f["s"] : f["s"] + f["n"]]) for i, (text, found) in enumerate(zip(frame["text"], frame["found"])) for f in found]
+        if told:
+            rows, x, pieces = zip(*told)
+            yield own.iloc[list(rows)].reset_index(drop=True).assign(ord=x, piece=pieces)
 
 
 def drop_contained_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
