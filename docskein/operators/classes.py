@@ -68,7 +68,7 @@ def judge(instances: DataFrame, provider, where: Column | None = None) -> DataFr
     why = F.left(told["justification"], F.lit(500))
     if where is not None:
         new, why = F.when(where, new).otherwise(F.col("judgment")), F.when(where, why).otherwise(F.col("justification"))
-    return df.withColumns({"judgment": new, "justification": why}).drop("payload")
+    return df.withColumns({"judgment": new, "justification": why}).drop("payload", "cause")
 
 
 def correct(instances: DataFrame, provider, round_no: int) -> DataFrame:
@@ -83,7 +83,7 @@ def correct(instances: DataFrame, provider, round_no: int) -> DataFrame:
         "label": F.when(review & ~bad & (label != ""), label).otherwise(F.col("label")),
         "judgment": F.when(bad, REJECT).otherwise(F.col("judgment")),
         "rounds": F.when(review, F.lit(round_no)).otherwise(F.col("rounds")),
-    }).drop("payload")
+    }).drop("payload", "cause")
 
 
 def review_loop(instances: DataFrame, provider, *, rounds: int = 3) -> DataFrame:

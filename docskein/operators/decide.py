@@ -41,45 +41,52 @@ class ReplayProvider:
         return asked.join(self.recorded, "request_id", "left").drop("request_id")
 
 
-class LiveProvider:
-    """``call(kind, dict of keys) -> JSON string``; a call that keeps failing
-    leaves null, so one bad request costs no other.
+#: Errors that a later try may not meet: the network's and the service's.  What a
+#: service library raises for a full quota is added by its user.
+TRANSIENT = (OSError, TimeoutError)
 
-    A call is tried ``retries`` more times, ``delay`` seconds apart and doubling up
-    to ``longest``; the whole of that is done ``attempts`` times, with
-    min(2 ** n, 10) seconds (times ``delay``) in between.  Requests are dealt to
-    ``in_flight`` tasks, each of which makes one call at a time: no more than that
-    many calls are under way, however large the cluster."""
 
-    def __init__(self, call: Callable[[str, dict], str], *, retries: int = 5, delay: float = 1.0, longest: float = 60.0, attempts: int = 1, in_flight: int = 8) -> None:
+class LiveProvider:
+    """``call(kind, dict of keys) -> JSON string``; a call that keeps failing leaves
+    null and its ``cause`` (the error's type and text), so one bad request costs no
+    other and is told apart from the rest.
+
+    A call that raises one of ``retry_on`` is tried ``retries`` more times, ``delay``
+    seconds apart and doubling up to ``longest``; the whole of that is done
+    ``attempts`` times, with min(2 ** n, 10) seconds (times ``delay``) in between.
+    Any other error is the program's own: it is told at once.  Requests are dealt
+    to ``in_flight`` tasks, each of which makes one call at a time: no more than
+    that many calls are under way, however large the cluster."""
+
+    def __init__(self, call: Callable[[str, dict], str], *, retries: int = 5, delay: float = 1.0, longest: float = 60.0, attempts: int = 1, in_flight: int = 8, retry_on: tuple[type[BaseException], ...] = TRANSIENT) -> None:
         self.call, self.retries, self.delay, self.longest = call, retries, delay, longest
-        self.attempts, self.in_flight = attempts, in_flight
+        self.attempts, self.in_flight, self.retry_on = attempts, in_flight, retry_on
 
     def attach(self, kind: str, requests: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
-        call, retries, delay, longest, attempts = self.call, self.retries, self.delay, self.longest, self.attempts
-        asked = requests.withColumn("payload", F.lit(None).cast("string")).withColumn("_ask", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
-
-        def once(row: dict) -> str | None:
-            for k in range(retries + 1):
-                try:
-                    return call(kind, row)
-                except Exception:  # the provider's own errors are of any type
-                    if k < retries:
-                        time.sleep(min(delay * 2**k, longest))
-            return None
+        call, retries, delay, longest, attempts, retry_on = self.call, self.retries, self.delay, self.longest, self.attempts, self.retry_on
+        nothing = F.lit(None).cast("string")
+        asked = requests.withColumns({"payload": nothing, "cause": nothing, "_ask": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
 
-        def one(row: dict) -> str | None:
+        def one(row: dict) -> tuple[str | None, str | None]:
+            cause = None
             for n in range(attempts):
-                told = once(row)
-                if told is not None:
-                    return told
+                for k in range(retries + 1):
+                    try:
+                        return call(kind, row), None
+                    except Exception as e:  # the provider's own errors are of any type
+                        cause = f"{type(e).__name__}: {e}"[:500]
+                        if not isinstance(e, retry_on):
+                            return None, cause
+                    if k < retries:
+                        time.sleep(min(delay * 2**k, longest))
                 if n + 1 < attempts:
                     time.sleep(delay * min(2**n, 10))
-            return None
+            return None, cause
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["payload"] = [one(dict(zip(keys, r))) if ask else None for ask, r in zip(b["_ask"], b[keys].itertuples(index=False, name=None))]
+                told = [one(dict(zip(keys, r))) if ask else (None, None) for ask, r in zip(b["_ask"], b[keys].itertuples(index=False, name=None))]
+                b["payload"], b["cause"] = [p for p, _ in told], [c for _, c in told]
                 yield b
 
         return asked.repartition(self.in_flight).mapInPandas(run, asked.schema).drop("_ask")

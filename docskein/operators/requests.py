@@ -72,7 +72,8 @@ def unanswered(answers: DataFrame, stage: str, ddl: str, fields: list[str] | Non
     there = [told] if ddl.startswith("array") else [told[f] for f in fields or [ddl.split(" ", 1)[0]]]
     readable = F.col("payload").isNotNull() & F.coalesce(*[F.when(x.isNotNull(), True) for x in there], F.lit(False))
     who = F.col("file_id") if "file_id" in answers.columns else F.lit(None)
-    return answers.where(~readable).select(who.cast("string").alias("file_id"), F.lit(stage).alias("stage"), F.when(F.col("payload").isNull(), "no answer").otherwise("unreadable answer").alias("message"))
+    missing = F.concat_ws(": ", F.lit("no answer"), *(["cause"] if "cause" in answers.columns else []))
+    return answers.where(~readable).select(who.cast("string").alias("file_id"), F.lit(stage).alias("stage"), F.when(F.col("payload").isNull(), missing).otherwise("unreadable answer").alias("message"))
 
 
 # --- files and views -----------------------------------------------------------

@@ -444,6 +444,21 @@ def nodes_files(spark, sf_dir):
 NODES_FILES = f"""SELECT 'region:' || n_regionkey AS "id:ID", '{NS}region' AS iri, 'region' AS ":LABEL", 'r' AS label, string_agg(n_name, ',' ORDER BY n_name) AS file_id FROM nation GROUP BY n_regionkey"""
 
 
+def nodes_upsert(spark, sf_dir):
+    """Customers as versions, one per order, in no order: the last order's version
+    stays (ties: the greater label), customers whose last order is open are gone."""
+    label = F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"))
+    versions = table(spark, sf_dir, "orders").select(
+        shop.key("customer", "o_custkey").alias("instance_id"), F.col("o_orderdate").alias("version"), F.lit(NS + "customer").alias("class_iri"), label.alias("label"), F.lit("").alias("file_id"), (F.col("o_orderstatus") == "O").alias("gone")
+    )
+    return export.nodes_table(export.upsert_nodes(versions, order="version", deleted="gone"))
+
+
+NODES_UPSERT = f"""WITH v AS (SELECT o_custkey, o_orderpriority || ' ' || o_orderkey AS label, o_orderstatus = 'O' AS gone,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority || ' ' || o_orderkey DESC) AS r FROM orders)
+SELECT 'customer:' || o_custkey AS "id:ID", '{NS}customer' AS iri, 'customer' AS ":LABEL", label, '' AS file_id FROM v WHERE r = 1 AND NOT gone"""
+
+
 def turtle_document(spark, sf_dir):
     """The Turtle document's blocks: one per subject, in sections."""
     edges = Stages(spark).keep("edges", BASE["property_verdicts"][0](spark, sf_dir).select("property_iri", "src_id", "dest_id"))
@@ -566,6 +581,6 @@ CHAINS = {
     "metamodel_scan": (metamodel_scan, METAMODEL_SCAN), "class_names": (class_names, CLASS_NAMES), "class_judge_blocks": (class_judge_blocks, CLASS_JUDGE_BLOCKS),
     "class_review_blocks": (class_review_blocks, CLASS_LOOP), "class_accepted": (class_accepted, CLASS_ACCEPTED), "class_sections": (class_sections, CLASS_SECTIONS), "class_synonyms": (class_synonyms, CLASS_SYNONYMS), "customer_synonyms": (customer_synonyms, CUSTOMER_SYNONYMS),
     "edge_requests": (edge_requests, EDGE_REQUESTS), "edges_proposed": (edges_proposed, EDGES_PROPOSED), "edge_verdict_blocks": (edge_verdict_blocks, EDGE_VERDICT_BLOCKS),
-    "nodes_files": (nodes_files, NODES_FILES), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "transform_files": (transform_files, TRANSFORM_FILES), "turtle_document": (turtle_document, _turtle_sql()), "summary_files": (summary_files, SUMMARY_FILES), "long_literals": (long_literals, LONG_LITERALS),
+    "nodes_files": (nodes_files, NODES_FILES), "nodes_upsert": (nodes_upsert, NODES_UPSERT), "csv_round_trip": (csv_round_trip, CSV_ROUND_TRIP), "transform_files": (transform_files, TRANSFORM_FILES), "turtle_document": (turtle_document, _turtle_sql()), "summary_files": (summary_files, SUMMARY_FILES), "long_literals": (long_literals, LONG_LITERALS),
     "graph_edges_two_views": (graph_edges_two_views, GRAPH_EDGES), "graph_errors": (graph_errors, GRAPH_ERRORS),
 }

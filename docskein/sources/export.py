@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docskein.functions.iri import full_iri, literal, local_name, node_iri, snake_case, term
@@ -27,6 +27,27 @@ def nodes_table(instances: DataFrame, *, order: str | None = None) -> DataFrame:
     return df.select("id:ID", "r.*")
 
 
+def upsert_nodes(versions: DataFrame, *, order: str, deleted: str | None = None, id_col: str = "instance_id") -> DataFrame:
+    """The last version of every node of ``versions`` (rows of any number of runs, in
+    any order): per ``id_col`` the row with the greatest ``order``, without nodes
+    whose last version has ``deleted`` set.  Of rows that share both, the greatest
+    in the other columns' order stays, so reruns agree; rows without an order come
+    first of all, rows without an id are left out.  A version is merged where it is
+    read (a partial aggregation), so a node of many versions is no task's."""
+    fields = [c for c in versions.columns if c not in (id_col, order)]
+    row = F.struct(order, *fields)
+    last = versions.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(row).alias("last")).select(id_col, "last.*")
+    last = last.select(*versions.columns)
+    return last if deleted is None else last.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)
+
+
+def runs_of(spark: SparkSession, folder: str, stage: str) -> DataFrame:
+    """All runs of a stage's table (see ``sources.stages``) with their names as the
+    column ``run``: names sort by time, so they serve ``upsert_nodes`` as order."""
+    every = spark.read.option("basePath", f"{folder}/{stage}").option("mergeSchema", True).parquet(f"{folder}/{stage}")
+    return every.withColumn("run", F.col("run").cast("string"))
+
+
 def relationships_table(edges: DataFrame) -> DataFrame:
     """Columns :START_ID, :END_ID, :TYPE, property_iri, id; distinct rows."""
     key = F.sha2(F.concat_ws("\x02", "src_id", "property_iri", "dest_id"), 256)

@@ -97,7 +97,7 @@ def test_failing_provider_leaves_errors(spark):
     pages = spark.createDataFrame([("f1", 1, "Alice pays Bob.")], "file_id string, page_no int, text string")
     graph = build_graph(pages, known, props, LiveProvider(call, retries=1, delay=0, attempts=2), rules=RULES)
     assert graph.instances.count() == 0 and graph.edges.count() == 0
-    assert sorted((r.stage, r.message) for r in graph.errors.collect()) == [("classify", "unreadable answer"), ("views", "no answer")]
+    assert sorted((r.stage, r.message) for r in graph.errors.collect()) == [("classify", "unreadable answer"), ("views", "no answer: RuntimeError: views")]
     empty = build_graph(pages.limit(0), known, props, LiveProvider(call, retries=0, delay=0), rules=RULES)
     assert [tuple(r) for r in empty.summary.collect()] == [(0, 0, 0)]
 

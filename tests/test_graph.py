@@ -266,3 +266,33 @@ def test_cells_of_the_candidate_space(spark, monkeypatch):
         made = requests.candidate_requests(rows, props.where(F.col("iri") == p["iri"]), block=5)
         told.append(sorted(tuple(r) for r in made.select("src_block", "dest_block", F.size("src_items"), F.size("dest_items")).collect()))
     assert told[0] == told[1] and sum(a * b for *_, a, b in told[0]) == 90 * 90 and len({x[:2] for x in told[0]}) == len(told[0])
+
+
+def test_upsert_of_versions(spark, tmp_path):
+    rows = [("a", 2, "new", False), ("a", 1, "old", True), ("b", 1, "x", False), ("b", 3, "gone", True), ("b", 2, "y", False), ("c", 1, "p", None), ("c", 1, "q", False), ("d", None, "none", False), (None, 1, "z", False)]
+    df = spark.createDataFrame(rows, "instance_id string, version int, label string, gone boolean")
+    for part in (df, df.orderBy(F.rand(1)).repartition(4)):
+        got = export.upsert_nodes(part, order="version", deleted="gone")
+        assert got.columns == ["instance_id", "version", "label"]
+        assert sorted((r.instance_id, r.label) for r in got.collect()) == [("a", "new"), ("c", "q"), ("d", "none")]
+    for run, label in (("r2", "later"), ("r1", "earlier")):
+        Stages(spark, f"file://{tmp_path}", run).keep("instances", spark.createDataFrame([("a", label), (run, label)], "instance_id string, label string"))
+    got = export.upsert_nodes(export.runs_of(spark, f"file://{tmp_path}", "instances"), order="run")
+    assert sorted((r.instance_id, r.label) for r in got.collect()) == [("a", "later"), ("r1", "earlier"), ("r2", "later")]
+
+
+def test_causes_and_kinds_of_errors(spark, tmp_path):
+    """Transient errors are tried again, the program's own are told at once."""
+    log = str(tmp_path / "calls")
+
+    def call(kind, row):
+        with open(log, "a") as f:
+            f.write(row["k"] + "\n")
+        raise TimeoutError("late") if row["k"] == "net" else KeyError(row["k"])
+
+    df = LiveProvider(call, retries=2, delay=0, attempts=2).attach("x", spark.createDataFrame([("net",), ("bug",)], "k string"), ["k"])
+    told = Stages(spark).keep("told", df)
+    assert sorted((r["k"], r["payload"], r["cause"]) for r in told.collect()) == [("bug", None, "KeyError: 'bug'"), ("net", None, "TimeoutError: late")]
+    assert sorted(open(log).read().split()) == ["bug"] + ["net"] * 6
+    said = requests.unanswered(told, "s", "a int")
+    assert sorted(r["message"] for r in said.collect()) == ["no answer: KeyError: 'bug'", "no answer: TimeoutError: late"]
