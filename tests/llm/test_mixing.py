@@ -38,7 +38,7 @@ def told(made):
     return made.documents.join(made.taken(), "no", "left").select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")).collect()
 
 
-@pytest.mark.parametrize("block,shard", [(1, 3), (7, 5), (64, 4096), (100_000, 2)])
+@pytest.mark.parametrize("block,shard", [(7, 5), (100_000, 4096)])
 def test_targets_and_takes(spark, block, shard):
     rows = rows_of(240) + [(9, None, "a"), (10, "  ", "empty"), (11, "one two", "small")]
     made = M.mix(spark.createDataFrame(rows, SCHEMA).repartition(5), block_words=block, shard_slots=shard)
@@ -65,8 +65,6 @@ def test_full_sources(spark):
     got = {r["source"]: r for r in told(M.mix(spark.createDataFrame(rows, SCHEMA), block_words=4, shard_slots=8))}
     assert (got["p"]["target"], got["q"]["target"], got["r"]["target"]) == (6, 15, 486)
     assert (got["p"]["taken"], got["q"]["taken"], got["r"]["taken"]) == (6, 15, 486)
-    once = told(M.mix(spark.createDataFrame(rows, SCHEMA), repeat=1, block_words=4))
-    assert all(r["taken"] == r["size"] for r in once)
 
 
 def test_reruns_and_partitions_agree(spark):
