@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from docskein.llm.alignment import align, public_pair
+from tests.conftest import DATA
 
 SCHEMA = "doc_id long, text string"
 
@@ -84,9 +85,10 @@ def test_empty_clashing_and_null_ids(spark):
     assert len(got) == 2 and got[0] == got[1] and got[0]["doc_id"] is None and got[0]["n_links"] == 2
 
 
-def test_query(spark, sf_dir):
+def test_query(spark):
     from docskein.llm.alignment import query
 
+    sf_dir = f"{DATA}/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: (*x[:6], hashlib.sha256(x[6].encode()).hexdigest() if x[6] else "") for (i, _), x in zip(rows, brute([t for _, t in rows]))}
     assert {r["doc_id"]: tuple(r)[1:] for r in query(spark, sf_dir).collect()} == want
