@@ -1,15 +1,19 @@
 """N-gram Jaccard join (operator 5): a MinHash LSH forest, then exact counts.
 
 1. Each text becomes a set of hashed word shingles; equal sets become one.
-2. Per tree of the forest a set has a path of min-hashes.  The paths of all
-   trees are sorted (range partitions, so no node of a trie lands in one task),
-   which is the tries' own order: a node is a run of paths with a common prefix,
-   and a set's longest matches stand next to it.  Each set is tied to its
-   predecessor with the length of the prefix that the two share.
-3. Matched prefixes start at full length and are shortened until the recall
-   measured on the ties found so far reaches the target; never further than the
-   length at which two sets exactly at the threshold meet with that recall.
-4. Ties are checked on sketches, and connected components of them are families.
+2. Per tree of the forest a set has a path of min-hashes.  A bounded sample of
+   sets is compared with all sets by their paths; matched prefixes start at full
+   length and are shortened until the recall so measured reaches the target, never
+   further than the length at which two sets exactly at the threshold meet with it.
+3. The paths of all trees are sorted (range partitions, so no node of a trie lands
+   in one task), which is the tries' own order: a node is a run of paths with a
+   common prefix, and a set's longest matches stand next to it.  Each set is first
+   tied to its predecessor.  Ties are checked on sketches, and connected components
+   of them are families.
+4. Then every set looks up its whole run: in runs that hold more than one family,
+   all sets of different families are compared on sketches, and families that meet
+   are joined.  Long runs are cut by size (a link bounds the ratio of sizes), and
+   beyond that into a grid of cells of bounded size, none of which is skipped.
 5. In a family all sets that can be linked are compared exactly, in blocks.  A
    block gives each set its number of links and its component in the block; two
    blocks that meet give numbers of links, and a forest between components,
@@ -36,7 +40,9 @@ WORDS = 5
 TREES = 32
 MAX_DEPTH = 12
 LONGER = 2  # levels of a path beyond those that the target recall asks for
-SKETCH = 128
+SKETCH = 256
+SAMPLE = 256  # sets that are compared with all others to measure recall
+CELL = 1024  # rows of a run that one cell holds of a side
 BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
 BROADCAST_ROWS = 500_000  # keys of 16 bytes: at most some 20 MB in a task
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,14 +128,18 @@ def tree_paths(sig: np.ndarray) -> bytes:
 
 
 def sketch(sig: np.ndarray) -> bytes:
-    return (sig.ravel()[:: max(1, sig.size // SKETCH)][:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes()
+    return (sig.ravel()[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity estimated from sketches: their share of equal bytes, less chance."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def closeness(threshold: float) -> float:
     """The least similarity of sketches that ties: of two sets at the threshold
-    one in 30,000 lies below it, and sets that are each at the threshold to a
-    third one usually lie above it."""
-    return max(0.0, min(threshold**2, threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5))
+    one in 30,000 lies below it."""
+    return max(0.0, threshold - 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5)
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str, words: int, levels: int) -> DataFrame:
@@ -147,11 +157,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str, words: int, levels: int)
                 if not len(s):
                     d1.append(None), d2.append(None), paths.append(None), sketches.append(None)
                     continue
-                sig = signature(s, levels)
+                sig = signature(s, max(levels, SKETCH // TREES))
                 with np.errstate(over="ignore"):
                     d1.append(int(mix(s).sum().view(np.int64)))
                     d2.append(int(mix(s ^ MIX1).sum().view(np.int64)))
-                paths.append(tree_paths(sig))
+                paths.append(tree_paths(sig[:levels]))
                 sketches.append(sketch(sig))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()),
@@ -163,47 +173,63 @@ def _base(docs: DataFrame, id_col: str, text_col: str, words: int, levels: int)
 
 
 def neighbours(least: int):
-    """A pass over sorted (key, node) rows: ties (u, v, depth) of each row to the
-    one before it, where their paths share at least ``least`` levels, and the
-    first and last row of a partition as they are (u, key)."""
+    """A pass over sorted (key, node) rows, each of these in rows of its own:
+    ties (u, v, depth) of each row to the one before it, where their paths share
+    at least ``least`` levels; runs of such a prefix (u, run) for every row that
+    shares it with a neighbour; the first and last row of a partition (u, key),
+    which stand for runs too, since their neighbours are elsewhere."""
+    width = 1 + 2 * least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(u, v, depth, keys):
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary())], names=["u", "v", "depth", "key"])
+        def rows(u, v=None, depth=None, keys=None, runs=None):
+            columns = zip((u, v, depth, keys, runs), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), t) if c is None else pa.array(c, t) for c, t in columns], names=["u", "v", "depth", "key", "run"])
 
-        before = None
+        before, shares = None, False
         for b in batches:
             if not b.num_rows:
                 continue
             keys = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             nodes = b.column(1).to_numpy(zero_copy_only=False)
             if before is None:
-                yield rows([nodes[0]], [None], [None], [keys[0].tobytes()])
+                yield rows([nodes[0]], keys=[keys[0].tobytes()])
             else:
                 keys, nodes = np.concatenate([before[0], keys]), np.concatenate([before[1], nodes])
             shared = np.cumprod(keys[1:] == keys[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int32)
             depth = (shared - 1) // 2
             good = np.flatnonzero((depth >= least) & (nodes[1:] != nodes[:-1]))
             u, v = nodes[1:][good], nodes[:-1][good]
-            yield rows(np.maximum(u, v), np.minimum(u, v), depth[good], [None] * len(good))
-            before = keys[-1:], nodes[-1:]
+            yield rows(np.maximum(u, v), np.minimum(u, v), depth[good])
+            # All rows but the last, whose next neighbour is in the next batch.
+            met = shared >= width
+            inside = np.flatnonzero(np.concatenate([[shares], met[:-1]]) | met) if len(met) else np.zeros(0, np.int64)
+            yield rows(nodes[inside], runs=[keys[i, :width].tobytes() for i in inside])
+            before, shares = (keys[-1:], nodes[-1:]), bool(met[-1]) if len(met) else shares
         if before is not None:
-            yield rows([before[1][0]], [None], [None], [before[0][0].tobytes()])
+            key = before[0][0].tobytes()
+            yield rows([before[1][0]] * (2 if shares else 1), keys=[key, None][: 2 if shares else 1], runs=[None, key[:width]][: 2 if shares else 1])
 
     return run
 
 
-def _ties(forest: DataFrame, levels: int, least: int) -> DataFrame:
-    """(u, v, depth, close): neighbours in some sorted trie, with the longest
-    prefix that they share in one and the similarity of their sketches."""
+FOUND = "u bigint, v bigint, depth int, key binary, run binary"
+
+
+def _sorted_tries(forest: DataFrame, levels: int, least: int) -> DataFrame:
+    """What ``neighbours`` finds in all tries at once."""
     width = 1 + 2 * levels
     trie = forest.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trie = trie.select(F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("key"), "node")
-    schema = "u bigint, v bigint, depth int, key binary"
-    found = materialize(trie.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(neighbours(least), schema), "neighbours")
+    return materialize(trie.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(neighbours(least), FOUND), "neighbours")
+
+
+def _ties(forest: DataFrame, levels: int, least: int, found: DataFrame | None = None) -> DataFrame:
+    """(u, v, depth, close): neighbours in some sorted trie, with the longest
+    prefix that they share in one and the similarity of their sketches."""
+    found = _sorted_tries(forest, levels, least) if found is None else found
     # The last row of a partition and the first of the next: two rows a partition.
-    ends = found.where("key IS NOT NULL").select("key", F.col("u").alias("node")).repartition(1).sortWithinPartitions("key", "node").mapInArrow(neighbours(least), schema)
-    ties = found.unionByName(ends).where("key IS NULL").groupBy("u", "v").agg(F.max("depth").alias("depth"))
+    ends = found.where("key IS NOT NULL").select("key", F.col("u").alias("node")).repartition(1).sortWithinPartitions("key", "node").mapInArrow(neighbours(least), FOUND)
+    ties = found.unionByName(ends).where("v IS NOT NULL").groupBy("u", "v").agg(F.max("depth").alias("depth"))
     sketches = forest.select("node", "sketch")
     pairs = (
         ties.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
@@ -215,24 +241,156 @@ def _ties(forest: DataFrame, levels: int, least: int) -> DataFrame:
             if not part.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (3, 4))
-            chance = 1 / 256
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(((a == b).mean(axis=1) - chance) / (1 - chance))], names=["u", "v", "depth", "close"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(likeness(a, b))], names=["u", "v", "depth", "close"])
 
     return materialize(pairs.mapInArrow(close, "u bigint, v bigint, depth int, close double"), "ties")
 
 
+def sampled_pairs(forest: DataFrame, levels: int, threshold: float) -> DataFrame:
+    """(u, v, depth, close): pairs of a set of the sample (the SAMPLE sets with
+    the least hashes) and any set, whose paths agree in a share ``close`` of at
+    least ``threshold`` of their min-hashes, and the longest prefix that they
+    share in a tree.  Nothing is looked up: every set meets the whole sample."""
+    some = forest.select("node", "paths").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+    nodes = np.array([r["node"] for r in some], np.int64)
+    unpack = lambda paths: np.frombuffer(b"".join(paths), np.uint8).reshape(len(paths), TREES, 1 + 2 * levels)[:, :, 1:].copy().view("<u2")
+    sample = unpack([bytes(r["paths"]) for r in some]) if some else np.zeros((0, TREES, levels), np.uint16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if not batch.num_rows:
+                continue
+            v, u, depth, close = [], [], [], []
+            for node, path in zip(batch.column(0).to_pylist(), unpack(batch.column(1).to_pylist())):
+                same = sample == path
+                share = same.mean(axis=(1, 2))
+                near = np.flatnonzero((share >= threshold) & (nodes != node))
+                u += nodes[near].tolist()
+                v += [node] * len(near)
+                close += share[near].tolist()
+                depth += np.cumprod(same[near], axis=2).sum(axis=2).max(axis=1, initial=0).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(depth, pa.int32()), pa.array(close, pa.float64())], names=["u", "v", "depth", "close"])
+
+    return forest.select("node", "paths").mapInArrow(run, "u bigint, v bigint, depth int, close double")
+
+
+def families_that_meet(families: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The families of a cell's rows, all compared but for those of one family:
+    pairs of families as a forest, so fewer than there are families."""
+    least, root = closeness(threshold), {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    order = np.lexsort((families, sizes))
+    families, sizes, sketches = families[order], sizes[order], sketches[order]
+    out, step = [], 32
+    for first in range(0, len(families), step):
+        # Rows are in the order of size: those too small for this chunk's smallest are passed over.
+        low = int(np.searchsorted(sizes, sizes[first] * (threshold - 1e-9)))
+        mine, theirs = slice(first, first + step), slice(low, min(first + step, len(families)))
+        other = families[mine, None] != families[None, theirs]
+        use = np.flatnonzero(other.any(axis=0))
+        if not len(use):
+            continue
+        hit = other[:, use] & (likeness(sketches[mine, None], sketches[None, theirs][:, use]) >= least)
+        r, c = np.nonzero(hit)
+        if not len(r):
+            continue
+        for x, y in np.unique(np.stack([families[mine][r], families[theirs][use][c]], axis=1), axis=0).tolist():
+            a, b = find(x), find(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((x, y))
+    return out
+
+
+def _meet_in_cells(threshold: float):
+    """A pass over (cell, family, n, sketch) rows in the order of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def meet():
+            families, sizes, sketches = (np.concatenate(x) for x in zip(*kept))
+            return families_that_meet(families, sizes, sketches, threshold) if len(families) > 1 else []
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cells, families, sizes = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sketches = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])).tolist()
+            edges = []
+            for lo, hi in zip(starts, [*starts[1:], len(cells)]):
+                if kept and cells[lo] != last:
+                    edges += meet()
+                    kept.clear()
+                last = cells[lo]
+                kept.append((families[lo:hi], sizes[lo:hi], sketches[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        if kept:
+            edges = meet()
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def _looked_up(forest: DataFrame, found: DataFrame, family: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(node, label): ``family`` after every set has met all of its runs.
+
+    Only runs of more than one family are met.  A run of at most CELL rows is one
+    cell.  A longer one is cut into buckets of sizes, each met with the one below;
+    what is still longer is parted by a hash, and every two parts meet in a cell of
+    their own, so a row is copied once for each part and no cell grows."""
+    run = F.xxhash64(F.coalesce("run", F.substring("key", 1, 1 + 2 * least)))
+    placed = found.where("v IS NULL").select(F.col("u").alias("node"), run.alias("run"))
+    placed = materialize(placed.join(family, "node", "left").select("node", "run", F.coalesce("label", "node").alias("family")), "runs")
+    of_run = placed.groupBy("run").agg(F.count(F.lit(1)).alias("f"), F.min("family").alias("low"), F.max("family").alias("high"))
+    mixed = materialize(of_run.where("f > 2 AND low < high").select("run", "f", F.col("f").alias("size")), "mixed-runs")
+    if mixed.isEmpty():
+        return family
+    members = skewed_join(placed, mixed, ["run"], "f").join(forest.select("node", "n", "sketch"), "node")
+    columns = ("family", "n", "sketch")
+    cells = members.where(F.col("size") <= CELL).select(F.xxhash64("run").alias("cell"), *columns)
+    if not mixed.where(F.col("size") > CELL).isEmpty():
+        step = float(np.log(1 / (threshold - 1e-9)))
+        bucket = F.floor(F.log("n") / step).cast("int")
+        long = materialize(members.where(F.col("size") > CELL).select("node", "run", *columns, F.explode(F.array(bucket, bucket + 1)).alias("bucket")), "long-runs")
+        parts = F.ceil(F.col("f") / CELL).cast("int")
+        counts = materialize(long.groupBy("run", "bucket").agg(F.count(F.lit(1)).alias("f")).select("run", "bucket", "f", parts.alias("parts")), "buckets-of-runs")
+        long = skewed_join(long, counts, ["run", "bucket"], "f").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+        long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = cells.unionByName(long.select(F.xxhash64("run", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *columns))
+    met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_in_cells(threshold), "u bigint, v bigint")
+    met = materialize(met.distinct(), "met")
+    if met.isEmpty():
+        return family
+    joined = components(met, "joined").withColumnRenamed("label", "next")
+    singles = joined.join(family, "node", "left_anti").select("node", F.col("node").alias("label"))
+    every = materialize(family.unionByName(singles), "families-met")
+    sizes = every.groupBy("label").agg(F.count(F.lit(1)).alias("f"))
+    renamed = materialize(joined.withColumnRenamed("node", "label").join(sizes, "label"), "renamed")
+    return skewed_join(every, renamed, ["label"], "f", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
 def measured_depth(ties: DataFrame, levels: int, least: int, threshold: float, target: float) -> int:
     """The length to which matched prefixes are shortened: the greatest at which
-    the ties found have the target recall.  A tie between sets of similarity s
-    is found with probability p = recall(depth, trees, s), so it stands for 1 / p
-    of its kind (one row of sums is read)."""
+    the pairs at hand (those of ``sampled_pairs``) have the target recall, both as
+    the share of them that a prefix of this length finds and, since few pairs prove
+    little, by the chance recall(depth, trees, s) that their similarities s give
+    (one row of sums is read).  Without such pairs it is ``least``."""
     near, depths = F.col("close") >= threshold, range(least, levels + 1)
     chance = lambda d: 1 - F.pow(1 - F.pow(F.least("close", F.lit(1.0)), F.lit(d)), F.lit(TREES))
     sums = ties.agg(
+        F.coalesce(F.count_if(near), F.lit(0)).alias("all"),
         *[F.coalesce(F.count_if(near & (F.col("depth") >= d)), F.lit(0)).alias(f"found{d}") for d in depths],
         *[F.coalesce(F.sum(F.when(near & (F.col("depth") >= d), 1 / chance(d))), F.lit(0.0)).alias(f"meant{d}") for d in depths],
     ).first()
-    reached = [d for d in depths if sums[f"found{d}"] and sums[f"found{d}"] >= target * sums[f"meant{d}"]]
+    reached = [d for d in depths if sums[f"found{d}"] and sums[f"found{d}"] >= target * max(sums["all"], sums[f"meant{d}"])]
     return max(reached, default=least)
 
 
@@ -422,11 +580,13 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .agg(F.min("no").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"), F.min("id").alias("id"))
         .select("d1", "d2", "node", "copies", "k.k1", "k.k2", "n", "id"), "sets", rows=n,
     )
-    forest = materialize(base.select(F.col("no").alias("node"), "paths", "sketch").join(sets.select("node"), "node", "left_semi"), "forest")
-    ties = _ties(forest, levels, least)
-    depth = measured_depth(ties, levels, least, threshold, target_recall)
-    family = components(ties.where((F.col("depth") >= depth) & (F.col("close") >= closeness(threshold))).select("u", "v"), "family")
-    release(forest)
+    forest = materialize(base.select(F.col("no").alias("node"), "n", "paths", "sketch").join(sets.select("node"), "node", "left_semi"), "forest")
+    depth = measured_depth(sampled_pairs(forest, levels, threshold), levels, least, threshold, target_recall)
+    found = _sorted_tries(forest, levels, depth)
+    ties = _ties(forest, levels, depth, found)
+    family = components(ties.where(F.col("close") >= closeness(threshold)).select("u", "v"), "family")
+    family = materialize(_looked_up(forest, found, family, depth, threshold), "all-families", rows=n)
+    release(forest, found)
     mates = materialize(sets.join(family.select("node", F.col("label").alias("family")), "node").select("family", "node", "copies", "k1", "k2", "n"), "families", rows=n)
     told = _linked_sets(docs, mates, text_col, words, threshold, n)
     # Sets that are linked or have copies; all others stand alone.
@@ -435,9 +595,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .select("d1", "d2", "id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     known = materialize(known, "known", rows=n)
-    names = known.groupBy("label").agg(F.min("id").alias("class_id"))
-    known = known.join(names, "label").select("d1", "d2", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known"))
-    out = rows.join(known, ["d1", "d2"], "left")
+    names = materialize(known.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("f")), "names", rows=n)
+    known = skewed_join(known, names, ["label"], "f").select("d1", "d2", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("known"))
+    out = skewed_join(rows, materialize(known, "told", rows=n), ["d1", "d2"], "copies", "left")
     return out.select(
         F.col("id").alias(id_col), "k1", "k2", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

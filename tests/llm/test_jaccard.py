@@ -154,6 +154,57 @@ def test_prefixes_shorten_to_the_measured_recall(spark):
     assert jaccard.measured_depth(make(0.81, 0), 8, 6, 0.8, 0.9999) == 6
 
 
+def crowd(n, pairs, words=300, pool=450, edits=33):
+    """Texts of ``words`` words out of ``pool``, about half alike, and pairs of them at 0.802."""
+    rng = np.random.default_rng(5)
+    text = lambda ids: " ".join(f"w{x}" for x in ids)
+    rows, planted = [(i, text(rng.choice(pool, words, replace=False))) for i in range(n)], []
+    for j in range(pairs):
+        s = rng.permutation(pool)
+        rows += [(n + j, text(s[:words])), (10**6 + j, text(s[edits : words + edits]))]
+        planted.append((n + j, 10**6 + j))
+    return rows, planted
+
+
+@pytest.mark.parametrize("cell", [jaccard.CELL, 16])
+def test_pairs_in_a_crowd_are_found(spark, docs, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    rows, planted = crowd(800, 40)
+    has = np.zeros((len(rows), 450), np.float32)
+    for i, (_, t) in enumerate(rows):
+        has[i, [int(w[1:]) for w in t.split()]] = 1
+    common = has @ has.T
+    near = common >= 0.8 * (600 - common)  # all sets have 300 words
+    assert near.sum() == len(rows) + 2 * len(planted)
+    want = {d: (d, 0) for d, _ in rows} | {d: (a, 1) for a, b in planted for d in (a, b)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(docs(*rows), words=1).collect()}
+    assert got == want
+
+
+def test_families_that_meet_are_all_compared():
+    rng = np.random.default_rng(8)
+    sketches = rng.integers(0, 256, (300, jaccard.SKETCH), dtype=np.uint8)
+    families, sizes = np.arange(300) // 2, rng.integers(90, 111, 300)
+    for i in range(0, 200, 4):  # families 2k and 2k + 1 have near sets, in any order of sizes
+        sketches[i + 3] = np.where(rng.random(jaccard.SKETCH) < 0.85, sketches[i], sketches[i + 3])
+    got = jaccard.families_that_meet(families, sizes, sketches, 0.8)
+    assert sorted(tuple(sorted(e)) for e in got) == [(i // 2, i // 2 + 1) for i in range(0, 200, 4)]
+    assert jaccard.families_that_meet(families[:1], sizes[:1], sketches[:1], 0.8) == []
+
+
+def test_sampled_pairs_are_those_of_all_rows(spark, docs):
+    rows = variants(random.Random(2), 12, 6, 4, passage=30)
+    forest = jaccard._base(docs(*rows), "doc_id", "text", 5, 8).select(F.col("no").alias("node"), "paths")
+    got = {(r.u, r.v): (r.depth, r.close) for r in jaccard.sampled_pairs(forest, 8, 0.8).collect()}
+    paths = {r.node: np.frombuffer(bytes(r.paths), np.uint8).reshape(jaccard.TREES, 17)[:, 1:].copy().view("<u2") for r in forest.collect()}
+    want = {}
+    for u, a in paths.items():
+        for v, b in paths.items():
+            if u != v and (a == b).mean() >= 0.8:
+                want[u, v] = (max(next((k for k in range(8) if x[k] != y[k]), 8) for x, y in zip(a, b)), (a == b).mean())
+    assert len(paths) <= jaccard.SAMPLE and got == pytest.approx(want) and len(want) > 50
+
+
 def test_blocks_do_not_change_counts():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64))
