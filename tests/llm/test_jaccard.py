@@ -202,7 +202,7 @@ def test_sampled_pairs_are_those_of_all_rows(spark, docs):
         for v, b in paths.items():
             if u != v and (a == b).mean() >= 0.8:
                 want[u, v] = (max(next((k for k in range(8) if x[k] != y[k]), 8) for x, y in zip(a, b)), (a == b).mean())
-    assert len(paths) <= jaccard.SAMPLE and got == pytest.approx(want) and len(want) > 50
+    assert len(paths) <= jaccard.SAMPLE and got == want and len(want) > 50
 
 
 def test_blocks_do_not_change_counts():
