@@ -151,14 +151,16 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
 
     Labels are counted first, so that only documents whose hash lies below a
     bound that leaves about OVERDRAW times as many as wanted are ranked: what is
-    shuffled depends on the sample's size, not on the corpus."""
+    shuffled depends on the sample's size, not on the corpus.  Rows of the id with
+    the least hash are always among them, so a label whose rows repeat few ids
+    is not lost."""
     doc = F.col(id_col)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc", "text"))
     labelled = docs.where(doc.isNotNull() & ~held_out(doc) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    labels = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    labels = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(doc)).alias("first")).orderBy(F.desc("n"), "lang").limit(max_langs)
     share = OVERDRAW * docs_per_lang / F.col("n")
     drawn = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(doc).alias("h"), doc.alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(labels), "lang")
-    drawn = drawn.where((share >= 1) | (F.col("h").cast("double") / 2.0**64 + 0.5 < share)).withColumn("text", F.substring("text", 1, max_chars))
+    drawn = drawn.where((share >= 1) | (F.col("h") == F.col("first")) | (F.col("h").cast("double") / 2.0**64 + 0.5 < share)).withColumn("text", F.substring("text", 1, max_chars))
     return drawn.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "text", "rank")
 
 

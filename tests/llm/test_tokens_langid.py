@@ -199,3 +199,11 @@ def test_sample_is_drawn_from_few_documents(docs):
 def test_numerals_are_not_letters():
     trees = langid.ContextTrees({"en": ["some words"]})
     assert [trees.predict(t)[0] for t in ("\u00bd \u00b2", "\u2167", "12_", "\u00bd a", "\u00e9")] == ["und", "und", "und", "en", "en"]
+
+
+def test_labels_of_one_repeated_id_are_learned(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:8]
+    rows = spark.range(3000).selectExpr("id AS n", "explode(array(" + ", ".join(map(str, ids)) + ")) AS doc_id")
+    rows = rows.selectExpr("doc_id", "concat('word ', n % 40) AS text", "concat('l', doc_id) AS lang")
+    drawn = langid.training_sample(rows, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=20, max_chars=100, max_langs=200)
+    assert {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()} == {f"l{i}": 20 for i in ids}
