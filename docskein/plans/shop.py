@@ -81,11 +81,13 @@ LINKS = [
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct src_id, dest_id; the line items' pairs are made distinct on
-    their keys, before anything is joined."""
+    """src_id, dest_id.  The line items' pairs, which repeat, are made distinct on their
+    keys, before anything is joined; the other tables have a row per source, and
+    what repeats there goes with the candidates' own distinct."""
     out = None
     for src, a, dest, b, tab in LINKS:
-        df = table(spark, sf_dir, tab).select(a, b).distinct().select(key(src, a).alias("src_id"), key(dest, b).alias("dest_id"))
+        pairs = table(spark, sf_dir, tab).select(a, b)
+        df = (pairs.distinct() if tab == "lineitem" else pairs).select(key(src, a).alias("src_id"), key(dest, b).alias("dest_id"))
         out = df if out is None else out.unionByName(df)
     return out
 
