@@ -49,11 +49,12 @@ def runs_of(spark: SparkSession, folder: str, stage: str) -> DataFrame:
 
 
 def relationships_table(edges: DataFrame) -> DataFrame:
-    """Columns :START_ID, :END_ID, :TYPE, property_iri, id; distinct rows."""
+    """Columns :START_ID, :END_ID, :TYPE, property_iri, id; distinct rows (edges are
+    made distinct before their keys are made: those are longer than the edges)."""
     key = F.sha2(F.concat_ws("\x02", "src_id", "property_iri", "dest_id"), 256)
-    return edges.select(
+    return edges.select("property_iri", "src_id", "dest_id").distinct().select(
         F.col("src_id").alias(":START_ID"), F.col("dest_id").alias(":END_ID"), local_name(F.col("property_iri")).alias(":TYPE"), "property_iri", key.alias("id")
-    ).distinct()
+    )
 
 
 def write_csv(table: DataFrame, path: str, *, one_file: bool = False) -> None:
