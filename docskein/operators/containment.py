@@ -9,6 +9,10 @@ same distance.  Texts meet by these, two joins of hashes; what is left is compar
 Gram hashes are polynomials kept as running sums, so a gram of any length costs
 one subtraction and one product, and a text's work is linear in its length for
 each of the levels that shorter texts of its group ask for.
+
+There are about as many anchors as characters, so only those are written that a
+text of their group asks for, and groups of at most ROW_CHARS characters need none:
+such a group is one row, in which its texts are looked up.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from docskein.sources.stages import Stages
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 69_069_069)
+ROW_CHARS = 128_000  # characters of a group that is settled as one row
+FEW_ASKS = 100_000  # texts whose anchors are broadcast: at most some 20 MB in a task
 SPREAD = 32  # parts over which the texts of a group meet its levels
 
 
@@ -127,21 +133,70 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield own.iloc[list(rows)].reset_index(drop=True).assign(ord=x, piece=pieces)
 
 
-def drop_contained_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+def uncontained(texts: list[str]) -> list[bool]:
+    """Of distinct texts, whether no longer one contains them: each is searched for in
+    the longer ones, laid end to end with a character between that none of them has."""
+    used = set().union(*texts)
+    between = next(c for c in map(chr, range(0x110000)) if c not in used)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    every, keep = between.join(texts[i] for i in order), [True] * len(texts)
+    end = at = size = 0
+    for i in order:
+        if len(texts[i]) != size:
+            size, end = len(texts[i]), at
+        keep[i] = every.find(texts[i], 0, end) < 0
+        at += len(texts[i]) + 1
+    return keep
+
+
+def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        own = frame.drop(columns="texts").reset_index(drop=True)
+        told = []
+        for i, texts in enumerate(frame["texts"]):
+            told += [(i, x["ord"], x["text"]) for x, keep in zip(texts, uncontained([x["text"] for x in texts])) if keep]
+        if told:
+            places, order, texts = zip(*told)
+            yield own.iloc[list(places)].reset_index(drop=True).assign(ord=order, text=texts)
+
+
+def drop_contained_rows(rows: DataFrame, keys: list[str], *, row_chars: int = ROW_CHARS, few_asks: int = FEW_ASKS) -> DataFrame:
     """``rows`` (keys, ord, text; texts of a group distinct and not empty, keys and
-    ord not null) without those that a longer text of their group contains."""
+    ord not null) without those that a longer text of their group contains.  Groups
+    of at most ``row_chars`` characters are settled as a row each, the texts of
+    larger ones meet by anchors."""
     stages = Stages(rows.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = ", ".join(f"`{k}` {kind[k]}" for k in keys)
-    order = kind["ord"]
     rows = stages.keep("texts", rows.select(*keys, "ord", "text"))
+    sizes = rows.groupBy(*keys).agg(F.sum(F.length("text").cast("long")).alias("chars"))
+    large = stages.keep("large-groups", sizes.where(F.col("chars") > row_chars).select(*keys))
+    n = large.count()
+    if n:
+        large = F.broadcast(large) if n <= few_asks else large
+        small = rows.join(large, keys, "left_anti")
+    else:
+        small = rows
+    listed = small.groupBy(*keys).agg(F.collect_list(F.struct("ord", "text")).alias("texts"))
+    out = listed.mapInPandas(_settled, f"{ddl}, ord {kind['ord']}, text string")
+    return out.unionByName(_drop_by_anchors(stages, rows.join(large, keys, "left_semi"), keys, few_asks)) if n else out
+
+
+def _drop_by_anchors(stages: Stages, rows: DataFrame, keys: list[str], few_asks: int) -> DataFrame:
+    """The same by anchors, for groups of any size."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ddl = ", ".join(f"`{k}` {kind[k]}" for k in keys)
+    order = kind["ord"]
     asks = stages.keep("asks", rows.mapInPandas(_asks, f"{ddl}, ord {order}, n int, level int, h bigint, at int, h2 bigint, at2 int"))
     # Every text learns the levels asked for in its group: at most 31, with the
     # shortest text of each.  A group is dealt to parts, so that a hot one is no task's.
     levels = asks.groupBy(*keys, "level").agg(F.min("n").alias("shortest")).groupBy(*keys).agg(F.collect_list(F.struct("level", "shortest")).alias("levels"))
     levels = levels.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     told = rows.withColumn("part", F.pmod(F.xxhash64("ord"), F.lit(SPREAD)).cast("int")).join(levels, [*keys, "part"]).select(*keys, F.col("ord").alias("y"), "text", "levels")
-    anchors = stages.keep("anchors", told.mapInPandas(_anchors, f"{ddl}, y {order}, level int, h bigint, pos int, size int"))
+    anchors = told.mapInPandas(_anchors, f"{ddl}, y {order}, level int, h bigint, pos int, size int")
+    wanted = asks.select(*keys, "level", F.explode(F.array("h", "h2")).alias("h")).distinct()
+    wanted = F.broadcast(wanted) if asks.count() <= few_asks else wanted
+    anchors = stages.keep("anchors", anchors.join(wanted, [*keys, "level", "h"], "left_semi"))
     begin = F.col("pos") - F.col("at")
     first = (
         asks.withColumnRenamed("ord", "x").join(anchors, [*keys, "level", "h"]).where((F.col("size") > F.col("n")) & (begin >= 0) & (begin + F.col("n") <= F.col("size")))
