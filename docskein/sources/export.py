@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docskein.functions.iri import full_iri, literal, local_name, node_iri, snake_case, term
+from docskein.sources.stages import Stages
 
 BASE = "http://example.org/graph"
 PREFIXES = {
@@ -75,11 +76,12 @@ def triples(instances: DataFrame, edges: DataFrame, *, base: str = BASE, files:
     """(section, subject, predicate, object): declarations of classes (section 1)
     and properties (2), instances (3) and edges (4).
 
-    An instance's IRI is made once from its label and id, so edges meet the
-    nodes they join; edges whose ends do not both exist are left out.  ``files``
+    An instance's IRI is made once from its label and id and written down, so edges
+    meet the nodes they join; edges whose ends do not both exist are left out.  ``files``
     (instance_id, file_id) names all files of an instance, a triple each; without
     it the column file_id does.  ``language`` tags labels (empty: none)."""
     own = instances.where(F.col("class_iri") != "").select("instance_id", "class_iri", "label", *(["file_id"] if files is None else []), node_iri(base, F.col("label"), F.sha2("instance_id", 256)).alias("node"))
+    own = Stages(instances.sparkSession).keep("nodes", own)
     a = F.lit("rdf:type")
     section = lambda n, df: df.select(F.lit(n).alias("section"), "subject", "predicate", "object")
     declared = lambda df, column, kind: df.select(column).distinct().select(term(F.col(column)).alias("subject"), a.alias("predicate"), F.lit(kind).alias("object"))

@@ -50,3 +50,12 @@ def test_keys_of_relationships_are_not_shuffled(spark):
     table = export.relationships_table(edges)
     assert sorted((r[":TYPE"], r[":START_ID"]) for r in table.collect()) == [("p", "a"), ("q", "a")]
     assert {len(s.split(", ")) for s in shuffles(table)} == {4}  # three columns and the number of partitions
+
+
+def test_nodes_are_named_once(spark):
+    """Slugs and digests of instances are read by all that needs them, not made again."""
+    instances = spark.createDataFrame([("a", "h#A", "x y", "f"), ("b", "h#A", "z", "f")], "instance_id string, class_iri string, label string, file_id string")
+    edges = spark.createDataFrame([("h#p", "a", "b"), ("h#p", "a", "b"), ("h#p", "a", "none")], "property_iri string, src_id string, dest_id string")
+    rows = export.triples(instances, edges)
+    assert rows.where("section = 4").count() == 1 and rows.count() == 11
+    assert "sha2" not in plan(rows)
