@@ -13,8 +13,10 @@ VIEWS = ["value_analysis", "business_concept", "business_requirement", "system_r
 
 
 def _spans(sentences: Column, pattern: str, top: int) -> Column:
-    """The first ``top`` distinct sentences of a chunk that match."""
-    return F.slice(T.first_distinct(F.filter(sentences, lambda s: s.rlike(pattern))), 1, top)
+    """The first ``top`` distinct sentences of a chunk that match; once they are
+    found the pattern is not looked for any more."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(sentences, none, lambda found, s: F.when((F.size(found) < top) & s.rlike(pattern) & ~F.array_contains(found, s), F.array_append(found, s)).otherwise(found))
 
 
 def view_spans(chunks: DataFrame, view_patterns: dict[str, str], *, id_col: str = "doc_id", top: int = 3, rules: T.TextRules = T.TextRules()) -> DataFrame:
@@ -52,9 +54,11 @@ def _texts_by_view(docs: DataFrame, view_patterns: dict[str, str], id_col: str,
     """(id_col, view_type, texts): the distinct spans of a document's chunks."""
     df = docs.select(id_col, T.split_sentences(F.col(text_col), rules.split_ends).alias("s"))
     df = df.select(id_col, T.chunk_sentences(F.col("s"), rules.max_chars, rules.overlap_chars).alias("chunks"))
-    df = df.select(id_col, F.transform("chunks", lambda c: T.split_sentences(c, rules.split_ends)).alias("parts"))
-    texts = lambda p: F.array_distinct(F.flatten(F.transform("parts", lambda s: _spans(s, p, top))))
-    views = F.array(*[F.struct(F.lit(v).alias("view_type"), texts(p).alias("texts")) for v, p in view_patterns.items()])
+    # One pass over the chunks: of each its spans view by view.
+    spans = lambda s: F.array(*[_spans(s, p, top) for p in view_patterns.values()])
+    df = df.select(id_col, F.transform("chunks", lambda c: T.let(T.split_sentences(c, rules.split_ends), spans)).alias("parts"))
+    texts = lambda i: F.array_distinct(F.flatten(F.transform("parts", lambda x: x[i])))
+    views = F.array(*[F.struct(F.lit(v).alias("view_type"), texts(i).alias("texts")) for i, v in enumerate(view_patterns)])
     return df.select(id_col, F.explode(views).alias("v")).select(id_col, "v.view_type", F.col("v.texts").alias("texts"))
 
 
