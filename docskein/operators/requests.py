@@ -280,7 +280,7 @@ def merge_synonyms(instances: DataFrame, known: DataFrame, provider, keep, *, bl
     the first row's.  Rows that no group names stand alone."""
     folded, items = label_items(instances)
     rows, items = keep("label-rows", folded), keep("label-items", items)
-    open_, links, names, errors = items, None, None, None
+    open_, found_roots, names, errors = items, [], None, None
     for k in count():
         placed, asked = ask_synonyms(open_, known, provider, block_rows=block_rows, orders=orders)
         placed = keep(f"label-blocks-{k}", placed)
@@ -290,15 +290,20 @@ def merge_synonyms(instances: DataFrame, known: DataFrame, provider, keep, *, bl
         edges = found.join(head, ["class_iri", "block", "g"]).where("node <> head").select("class_iri", F.col("node").alias("u"), F.col("head").alias("v"), "whole").distinct()
         said = found.where("canonical IS NOT NULL").select("node", "canonical").distinct()
         bad = unanswered(answers, "consolidate", GROUPS)
-        links, names, errors = (edges, said, bad) if links is None else (links.unionByName(edges), names.unionByName(said), errors.unionByName(bad))
+        names, errors = (said, bad) if names is None else (names.unionByName(said), errors.unionByName(bad))
+        roots = components(edges.select("u", "v")).where("node <> root")
+        found_roots.append(roots)
         # Heads of classes with several blocks in which something joined.
         again = edges.where("NOT whole").select("class_iri").distinct()
         if again.isEmpty():
             break
-        heads = components(edges.where("NOT whole").select("u", "v")).where("node <> root").select("node")
-        open_ = keep(f"label-heads-{k}", open_.join(F.broadcast(again), "class_iri", "left_semi").join(heads, "node", "left_anti"))
-    joined = components(links.select("u", "v"))
-    told = keep("label-groups", items.join(joined, "node", "left").withColumn("head", F.coalesce("root", "node")).drop("root"))
+        open_ = keep(f"label-heads-{k}", open_.join(F.broadcast(again), "class_iri", "left_semi").join(roots.select("node"), "node", "left_anti"))
+    # A round joins heads of the rounds before, so their roots lead from one to the next:
+    # no link is gone over twice.
+    told = items.withColumn("head", F.col("node"))
+    for k, roots in enumerate(found_roots):
+        joined = hot_join(told, roots.withColumnRenamed("node", "head"), "head")
+        told = keep(f"label-groups-{k}", joined.withColumn("head", F.coalesce("root", "head")).drop("root"))
     # A canonical label counts if it is a label of some row of the group.
     own = rows.join(told.select("class_iri", "_folded", "head"), ["class_iri", "_folded"])
     own = keep("label-members", own)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docskein.functions.iri import long_literal
+from docskein.functions.text import let
 from docskein.operators import classes as C
 from docskein.operators import lines, properties, requests as R, views
 from docskein.operators.decide import RuleProvider
@@ -335,11 +336,15 @@ def synonym_rules(letters: int = 1000) -> RuleProvider:
     whole = lambda x: F.lower(F.trim(x["label"]))
     folded = lambda x: F.left(whole(x), F.lit(letters) if letters >= 0 else F.length(whole(x)) + letters)
 
-    def group(key, items):
-        own = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), x["label"].alias("label"), folded(x).alias("f"))), lambda x: x["f"] == key)
+    def group(own):
         return F.struct(F.concat(F.transform(own, lambda x: x["i"]), F.array(F.lit(-1), F.lit(100_000))).alias("indices"), F.array_max(F.transform(own, lambda x: x["label"])).alias("canonical_label"), F.lit("").alias("reason"))
 
-    groups = F.transform(F.array_distinct(F.transform("items", folded)), lambda key: group(key, F.col("items")))
+    def grouped(rows):
+        """Rows sorted by what they are called: a group is what stands between two cuts."""
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda k: (k == 0) | (rows[k]["f"] != rows[k - 1]["f"]))
+        return let(F.concat(first, F.array(F.size(rows))), lambda cuts: F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda g: let(F.slice(rows, cuts[g] + 1, cuts[g + 1] - cuts[g]), group)))
+
+    groups = let(F.array_sort(F.transform("items", lambda x, i: F.struct(folded(x).alias("f"), i.alias("i"), x["label"].alias("label")))), grouped)
     return RuleProvider({"synonyms": lambda: F.to_json(F.struct(groups.alias("groups")))})
 
 
