@@ -36,6 +36,22 @@ def test_word_ids_on_documents_and_random_texts(words):
         assert np.frombuffer(words(t), "<u4").tolist() == _whole(words, t), t[:80]
 
 
+def test_units_seen_before_are_looked_up_whole(words):
+    """Neither the word pattern nor the model is asked again, whatever else a text holds."""
+    text = "Zqarl, zqarl don't (zqarl) 12,5é \n xy !"
+    want, cut, asked = _whole(words, text), words.words, []
+    words(text)
+    words.words = lambda unit: asked.append(unit) or cut(unit)
+    try:
+        got = [words(text), words(text + " newqarl!")]
+    finally:
+        words.words = cut
+    assert asked == ["newqarl!"] and np.frombuffer(got[0], "<u4").tolist() == want and got[1].startswith(got[0])
+    for apart in ("a\x1cb 'S\x1f'S", "q\x1d", "\x1e\x1e r"):  # only Python takes these for white space
+        assert np.frombuffer(words(apart), "<u4").tolist() == _whole(words, apart)
+    assert packing.word_tokenizer(packing.tokenizer_path()) is packing.word_tokenizer(packing.tokenizer_path())
+
+
 def test_sum_of_squares_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
