@@ -32,6 +32,7 @@ from docskein.llm.packing import settled_characters
 BATCH_CHARS = 3_000_000  # texts that share a table of units
 # Unicode's white space without the space itself: fixed values.
 BLANKS = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEARCHED = 64  # ends of a unit's tokens that are searched one by one
 SHIFT = 1 << 32  # a link of ids a and b is the number a * SHIFT + b
 
 
@@ -123,20 +124,48 @@ class Tokenizers:
     def encode(self, units: list[str]) -> dict[str, bytes | None]:
         """Of each unit the packed 32-bit numbers: how many ids the first tokenizer
         gives, these, the second one's; None where their bytes are not the unit's.
-        Units of a text (only the last one may be all white space) are encoded in
-        one call."""
+        Units of many texts (none all white space) are encoded in one call; where
+        their ends are not met, by halves."""
         text = "".join(units)
-        want, parts = text.encode("utf-8"), []
-        ends = np.cumsum([len(u) if u.isascii() else len(u.encode("utf-8")) for u in units])
+        want, ends, found, counts = text.encode("utf-8"), np.fromiter(map(len, units), np.int64, len(units)), [], []
+        if len(want) > len(text):
+            ends = np.fromiter((len(u.encode("utf-8")) for u in units), np.int64, len(units))
+        ends = np.cumsum(ends)
         for t, lengths in zip((self.first, self.second), self.lengths):
-            ids = t.encode(text)
-            places = np.cumsum(lengths[ids]) if ids else np.zeros(0, np.int64)
+            told = t.encode(text)
+            ids = np.fromiter(told, np.int32, len(told))
+            places = np.cumsum(lengths[ids])
             at = np.searchsorted(places, ends)
-            if b"".join(map(t.bytes_of.__getitem__, ids)) != want or (places[at] != ends).any():
-                return {u: self.encode([u])[u] for u in units} if len(units) > 1 else {units[0]: None}
-            parts.append((np.array(ids, "<i4").tobytes(), [0, *(4 * (at + 1)).tolist()]))
-        (a, p), (b, q) = parts
-        return {u: ((p[k + 1] - p[k]) // 4).to_bytes(4, "little") + a[p[k] : p[k + 1]] + b[q[k] : q[k + 1]] for k, u in enumerate(units)}
+            if not told or b"".join([t.bytes_of[i] for i in told]) != want or (places[at] != ends).any():
+                half = len(units) // 2
+                return self.encode(units[:half]) | self.encode(units[half:]) if half else {units[0]: None}
+            found.append(ids)
+            counts.append(np.diff(at, prepend=-1))
+        # Each unit's numbers in a row: its count, its ids by the first, by the second.
+        n_a, n_b = counts
+        to = np.cumsum(1 + n_a + n_b)
+        heads = to - 1 - n_a - n_b
+        row = np.empty(to[-1], "<i4")
+        row[heads] = n_a
+        first, own = np.repeat(heads + 1 - np.cumsum(n_a) + n_a, n_a), np.repeat(to - np.cumsum(n_b), n_b)
+        row[first + np.arange(len(first))] = found[0]
+        row[own + np.arange(len(own))] = found[1]
+        packed = row.tobytes()
+        return {u: packed[i:k] for u, i, k in zip(units, (4 * heads).tolist(), (4 * to).tolist())}
+
+    def learn(self, texts: list[list[str]]) -> dict[str, bytes | None]:
+        """``encode`` of the units of all ``texts`` that were not known.  They are known
+        then, but for long ones."""
+        known = self.known
+        known.trim()
+        new = [u for u in dict.fromkeys(u for units in texts if len(units) > 1 for u in units) if u not in known]
+        made = self.encode([u for u in new if not u.isspace()] or [" "])
+        # What is one unit may be a text that must stay whole.
+        for u in (*(u for u in new if u.isspace()), *(u for units in texts if len(units) == 1 for u in units)):
+            if u not in made and u not in known:
+                made |= self.encode([u])
+        known.add(made)
+        return made
 
 
 def _lists(values: pa.Array, sizes) -> pa.ListArray:
@@ -152,15 +181,11 @@ class _Batch:
         self.rows: list[tuple[pa.Array, np.ndarray]] = []
         self.chars = 0
 
-    def add(self, row: pa.Array, units: list[str], tokens: Tokenizers) -> None:
+    def add(self, row: pa.Array, units: list[str], made: dict[str, bytes | None], known: dict[str, bytes | None]) -> None:
         """A text without tokens has no units."""
-        known, number = tokens.known, self.number
-        known.trim()
+        number = self.number
         fresh = [u for u in dict.fromkeys(units) if u not in number]
-        new = [u for u in fresh if u not in known]
-        made = tokens.encode(new) if new else {}
         found = [made[u] if u in made else known[u] for u in fresh]
-        known.add(made)
         if None in found:
             units = []
         else:
@@ -196,8 +221,10 @@ def tokenised(docs: DataFrame, tokenizers: Callable[[], Tokenizers], *, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, now = tokenizers(), _Batch()
         for part in slices(batches, 64):
-            for i, text in enumerate(part.column(1).to_pylist()):
-                now.add(part.column(0).slice(i, 1), tokens.split(text) if text else [], tokens)
+            texts = [tokens.split(text) if text else [] for text in part.column(1).to_pylist()]
+            made = tokens.learn(texts)
+            for i, units in enumerate(texts):
+                now.add(part.column(0).slice(i, 1), units, made, tokens.known)
                 if now.chars >= BATCH_CHARS:
                     yield now.record(tokens)
                     now = _Batch()
@@ -218,15 +245,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def places(ends: Column, cuts: Column) -> Column:
     """For every cut (an element of ``ends``; both ascend) its place in ``ends``.
 
-    Sorted together, a cut stands twice; m cuts stand before the m-th one."""
-    return let(F.sort_array(F.concat(ends, cuts)), lambda s: F.transform(
+    Short lists are searched; in others both are sorted together: a cut stands
+    twice, and m cuts stand before the m-th one, so work stays linear."""
+    merged = let(F.sort_array(F.concat(ends, cuts)), lambda s: F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda k: s[k] == s[k - 1]), lambda k, m: k - 1 - m
     ))
+    return F.when(F.size(ends) <= SEARCHED, F.transform(cuts, lambda c: (F.array_position(ends, c) - 1).cast("int"))).otherwise(merged)
 
 
 def _ids(tokens: Column, after: Column, to: Column) -> Column:
-    """The ids behind place ``after`` up to place ``to``, in decimal."""
-    return F.when(to - after == 1, tokens[to].cast("string")).otherwise(F.array_join(F.transform(F.sequence(after + 1, to), lambda i: tokens[i].cast("string")), ","))
+    """The ids (decimal) behind place ``after`` up to place ``to``."""
+    return F.when(to - after == 1, tokens[to]).otherwise(F.array_join(F.slice(tokens, after + 2, to - after), ","))
 
 
 def unit_links(unit: Column) -> Column:
@@ -237,19 +266,21 @@ def unit_links(unit: Column) -> Column:
     one link, that of its last tokens.  The unit's end is always a cut."""
     a, b = unit["a"], unit["b"]
     link = lambda i, k: a[i].cast("long") * SHIFT + b[k]
+    text = lambda ids: ids.cast("array<string>")
     told = lambda groups, links: F.struct(groups.alias("groups"), links.alias("links"))
 
-    def made(p: Column, q: Column) -> Column:
+    def made(p: Column, q: Column, a_text: Column, b_text: Column) -> Column:
         before = lambda x, m: F.when(m == 0, F.lit(-1)).otherwise(x[m - 1])
-        group = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda m: F.concat(_ids(a, before(p, m), p[m]), F.lit("|"), _ids(b, before(q, m), q[m])))
+        group = F.transform(p, lambda to, m: F.concat(_ids(a_text, before(p, m), to), F.lit("|"), _ids(b_text, before(q, m), q[m])))
         return told(F.array_join(group, ";"), F.zip_with(p, q, link))
 
     # Units that end their tokens at the same places, and units that are one token to
     # either side, need no merge.
-    text = lambda ids: ids.cast("array<string>")
     alike = told(F.array_join(F.zip_with(text(a), text(b), lambda x, y: F.concat(x, F.lit("|"), y)), ";"), F.zip_with(a, b, lambda x, y: x.cast("long") * SHIFT + y))
     single = told(F.concat(F.array_join(text(a), ","), F.lit("|"), F.array_join(text(b), ",")), F.array(link(F.size(a) - 1, F.size(b) - 1)))
-    merged = let(F.array_intersect(unit["a_ends"], unit["b_ends"]), lambda c: let(places(unit["a_ends"], c), lambda p: let(places(unit["b_ends"], c), lambda q: made(p, q))))
+    merged = let(F.array_intersect(unit["a_ends"], unit["b_ends"]), lambda c: let(places(unit["a_ends"], c), lambda p: let(places(unit["b_ends"], c), lambda q: let(
+        text(a), lambda a_text: let(text(b), lambda b_text: made(p, q, a_text, b_text))
+    ))))
     return F.when(unit["a_ends"] == unit["b_ends"], alike).when((F.size(a) == 1) | (F.size(b) == 1), single).otherwise(merged)
 
 
@@ -257,10 +288,11 @@ def aligned(tokens: DataFrame, groups: Callable[[Column], Column] = lambda g: g)
     """``tokens`` as a row per text: id, n_a, n_b, n_links, groups, links."""
 
     def of(texts: Column, units: Column) -> Column:
-        return let(F.transform(units, lambda u: u["groups"]), lambda g: let(F.transform(units, lambda u: u["links"]), lambda x: F.transform(texts, lambda t: F.struct(
+        # A text's units are looked up once, for both their groups and their links.
+        return F.transform(texts, lambda t: let(F.transform(t["units"], lambda u: units[u]), lambda own: F.struct(
             t["id"].alias("id"), t["n_a"].alias("n_a"), t["n_b"].alias("n_b"),
-            groups(F.array_join(F.transform(t["units"], lambda u: g[u]), ";")).alias("groups"), F.flatten(F.transform(t["units"], lambda u: x[u])).alias("links"),
-        ))))
+            groups(F.array_join(own["groups"], ";")).alias("groups"), F.flatten(own["links"]).alias("links"),
+        )))
 
     every = let(F.transform("units", unit_links), lambda units: of(F.col("texts"), units))
     df = tokens.select(F.inline(every))

@@ -92,3 +92,30 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: (*x[:6], hashlib.sha256(x[6].encode()).hexdigest() if x[6] else "") for (i, _), x in zip(rows, brute([t for _, t in rows]))}
     assert {r["doc_id"]: tuple(r)[1:] for r in query(spark, sf_dir).collect()} == want
+
+
+def test_new_units_of_many_texts_are_encoded_together():
+    """In one call, by halves where a unit's bytes do not come back; values as alone."""
+    tokens = public_pair()
+    texts = [tokens.split(f"zq{i}word and\n zq{i}more,  ") for i in range(64)] + [[" zq", "▁b", " qz"]]
+    one, calls = tokens.encode, []
+    tokens.encode = lambda units: calls.append(len(units)) or one(units)
+    try:
+        made = tokens.learn(texts)
+        assert len(calls) < 20 and max(calls) > 128 and tokens.learn(texts[:64]) == tokens.encode([" "])
+    finally:
+        tokens.encode = one
+    assert made["▁b"] is None and all((made[u] if u in made else tokens.known[u]) == one([u])[u] for units in texts for u in units)
+
+
+def test_long_units(spark):
+    """Of more tokens than are searched one by one, and of just as many."""
+    import random
+
+    from docskein.llm.alignment import SEARCHED
+
+    rng = random.Random(7)
+    pool = ["the", "tion", "é", "ß", "ЖД", "q", "20", "_", "-", "(", "});", "Az", "xk"]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([400, 3000, *range(SEARCHED // 2, SEARCHED + 8, 2)])]
+    got = {r[0]: tuple(r)[1:] for r in align(spark.createDataFrame(rows, SCHEMA), public_pair, digest=False).collect()}
+    assert got == {i: x for (i, _), x in zip(rows, brute([t for _, t in rows]))}
